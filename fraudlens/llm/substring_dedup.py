@@ -49,6 +49,7 @@ def _scatter(width: int, buckets: int, chunks: int, most: int):
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple]:
         h, bucket, doc, pos = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         if np.any(doc[1:] < doc[:-1]):
             order = np.argsort(doc, kind="stable")
             h, bucket, doc, pos = h[order], bucket[order], doc[order], pos[order]
@@ -68,7 +69,7 @@ def _scatter(width: int, buckets: int, chunks: int, most: int):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches(rows):
+        for batch in batches(rows, 4 << 20):
             batch = batch.filter(batch.column(0).is_valid())
             data, off = text_buffers(batch.column(1))
             start, end, first = word_bounds(data, off)
@@ -77,11 +78,11 @@ def _scatter(width: int, buckets: int, chunks: int, most: int):
             deal, _ = windows(words, first, width, 0xB492B66FBE98F273)
             of = np.searchsorted(first, at, side="right") - 1
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[of]
-            held.append((found, ((deal >> _U(32)) % _U(buckets)).astype(np.int32), doc, at - first[of]))
+            held.append((found, ((deal >> _U(32)) % _U(buckets)).astype(np.int32), doc, (at - first[of]).astype(np.int32)))
             n += len(found)
             if n >= most:
                 yield from record_batches(flush(held), _SENT)
-                held, n = [], 0
+                n = 0
         if n:
             yield from record_batches(flush(held), _SENT)
 
@@ -173,7 +174,7 @@ def _cut(width: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, most: int = 3 << 20, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 20, most: int = 1 << 20, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and with `texts` the kept words as column kept) of every row of docs.
 
     docs needs doc_id and text; other columns are not read.  `most` is the

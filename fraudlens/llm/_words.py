@@ -101,7 +101,12 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, off
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of words between blanks, and bytes of words of letters and digits (all beyond ASCII count as letters).
+NOT_BLANK = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray, table: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte ranges of all words, and for each text the index of its first word (plus the total)."""
     lo, hi = int(off[0]), int(off[-1])
     starts, ends = [], []
@@ -110,8 +115,7 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     carry = False  # whether the byte before `at` belongs to a word of the same text
     while at < hi:
         to = min(hi, at + 4 * _BLOCK)
-        b = data[at:to]
-        word = (b != 32) & ((b < 9) | (b > 13))
+        word = table[data[at:to]]
         before = np.empty(len(word), dtype=bool)
         before[1:] = word[:-1]
         before[0] = carry

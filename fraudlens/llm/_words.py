@@ -171,6 +171,13 @@ def windows(h: np.ndarray, first: np.ndarray, n: int, base: int = 0xD6E8FEB86659
     return mix64(out[ok]), at[ok]
 
 
+def with_fields(df, **fields: str):
+    """The schema of df with fields added; unlike StructType.add it leaves df's own schema alone."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    return StructType([*df.schema.fields, *(StructField(k, _parse_datatype_string(v)) for k, v in fields.items())])
+
+
 def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts add up to about `most` bytes; a longer text is a slice of its own."""
     for batch in rows:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._words import with_fields
+
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
     """Ranks from the text of a rank file: base64 token and rank on each line."""
@@ -271,10 +273,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
                 ids = pa.array([enc.encode(t.as_py() or "") for t in part.column(at)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
 
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    schema = df.schema.add(out, ArrayType(IntegerType(), True))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, with_fields(df, **{out: "array<int>"}))
 
 
 def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -293,7 +292,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded"
                     texts.append("".join([*(dec.feed(row[i : i + 65536]) for i in range(0, len(row), 65536)), dec.finish()]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "string"))
+    return df.mapInArrow(run, with_fields(df, **{out: "string"}))
 
 
 def digest(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LETTERS, Hasher, batches, text_buffers, word_bounds
+from ._words import LETTERS, Hasher, batches, text_buffers, with_fields, word_bounds
 
 STARTS = (4, 6, 8)
 
@@ -172,4 +172,4 @@ def score(docs: DataFrame, machine: Machine | None, bits: int = 18, threshold: f
             p = m.score(slot, doc, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double").add("predicted", "integer"))
+    return docs.mapInArrow(run, with_fields(docs, score="double", predicted="int"))

@@ -13,8 +13,8 @@ How it is spread over the cluster:
   knows the others as repeated already, and deals the rest out to buckets,
   packed in binary columns: the hash, the document and the start, the latter two
   delta coded and compressed.
-* Each bucket sorts its hashes, finds the earliest start of each, and sends the
-  others back to the documents' chunk as packed (doc_id, start) lists.
+* Each bucket sorts its hashes and finds the earliest start of each; the others
+  go back to the documents' chunk as packed (doc_id, start) lists.
 * The texts are shuffled once, compressed, and meet the starts in their chunk.
 
 Buckets are dealt by a second rolling hash, which adds its bits to the 64 that
@@ -98,15 +98,14 @@ def _answers(doc: np.ndarray, pos: np.ndarray, chunks: int) -> Iterator[tuple[in
         yield int(chunk[a]), pack_sorted(doc[a:b]), pack(pos[a:b].astype(np.uint32))
 
 
-def _compare(chunks: int):
+def _compare(chunks: int, most: int = 1 << 20):
+    """Over rows sorted by bucket: the repeated windows, gathered over a task's buckets."""
     schema = pa.schema([("chunk", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary())])
 
-    def run(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:  # answered by the sending task itself
-            return group.select(["chunk", "doc", "pos"])
-        h = np.concatenate([np.frombuffer(x.as_py(), _U) for x in group.column("hash")])
-        doc = np.concatenate([unpack_sorted(x.as_py()) for x in group.column("doc")])
-        pos = np.concatenate([unpack(x.as_py(), np.uint32).astype(np.int64) for x in group.column("pos")])
+    def repeated(part: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        h = np.concatenate([np.frombuffer(x, _U) for x, _, _ in part])
+        doc = np.concatenate([unpack_sorted(x) for _, x, _ in part])
+        pos = np.concatenate([unpack(x, np.uint32) for _, _, x in part])
         order = np.argsort(h)
         s = h[order]
         same = s[1:] == s[:-1]
@@ -116,7 +115,30 @@ def _compare(chunks: int):
         doc, pos = doc[order], pos[order]
         lead = leads(h[order])
         again = (doc != doc[lead]) | (pos != pos[lead])
-        return pa.Table.from_batches(record_batches(_answers(doc[again], pos[again], chunks), schema), schema=schema)
+        return doc[again], pos[again]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, found, n = None, [], [], 0
+        for batch in rows:
+            for bucket, h, doc, pos in zip(*(batch.column(k) for k in (0, 2, 3, 4))):
+                bucket = bucket.as_py()
+                if bucket != at and part:
+                    found.append(repeated(part))
+                    n += len(found[-1][0])
+                    part = []
+                at = bucket
+                if bucket < 0:  # found by the sending task itself
+                    found.append((unpack_sorted(doc.as_py()), unpack(pos.as_py(), np.uint32)))
+                    n += len(found[-1][0])
+                else:
+                    part.append((h.as_py(), doc.as_py(), pos.as_py()))
+                if n >= most:
+                    yield from record_batches(_answers(*(np.concatenate(x) for x in zip(*found)), chunks), schema)
+                    found, n = [], 0
+        if part:
+            found.append(repeated(part))
+        if found:
+            yield from record_batches(_answers(*(np.concatenate(x) for x in zip(*found)), chunks), schema)
 
     return run
 
@@ -178,13 +200,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, most: int = 1 << 20, texts:
     """doc_id, n_words, n_removed, kept_sha256 (and with `texts` the kept words as column kept) of every row of docs.
 
     docs needs doc_id and text; other columns are not read.  `most` is the
-    number of windows that a task holds at once.  Buckets and chunks are eight
-    to a shuffle partition, so spark.sql.shuffle.partitions sizes them.
+    number of windows that a task holds at once.  There are eight buckets and two
+    chunks to a shuffle partition, so spark.sql.shuffle.partitions sizes them.
     """
-    buckets = chunks = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, chunks = 8 * parts, 2 * parts
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.mapInArrow(_scatter(width, buckets, chunks, most), "bucket int, chunk int, hash binary, doc binary, pos binary")
-    answers = sent.groupBy("bucket").applyInArrow(_compare(chunks), "chunk int, doc binary, pos binary")
+    answers = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(chunks), "chunk int, doc binary, pos binary")
     dealt = docs.mapInArrow(_squeeze(chunks), "chunk int, doc_id long, z binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(width, texts), schema)

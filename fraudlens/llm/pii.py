@@ -128,7 +128,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(near: int):
-    """(term, entity, docs) counts of one task's documents; term 0 stands for the entity itself."""
+    """(term, entity, docs) counts of one task's documents; term 0 stands for the entity itself, entity 0 for any."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[tuple[int, int], int] = {}
@@ -160,7 +160,9 @@ def _pairs(near: int):
                     entity = _hash(f"{KINDS[kind]}:{text[lo:hi]}")
                     at = int(np.searchsorted(s, lo))
                     seen.add((0, entity))
-                    seen.update((t, entity) for t in hh[max(0, at - near) : at + near].tolist())
+                    for t in hh[max(0, at - near) : at + near].tolist():
+                        seen.add((t, entity))
+                        seen.add((t, 0))
                 for pair in seen:
                     count[pair] = count.get(pair, 0) + 1
             if len(count) > 200_000:
@@ -203,10 +205,10 @@ def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support:
     pairs = docs.select("text").mapInArrow(_pairs(near), "term long, entity long, docs long").groupBy("term", "entity").agg(F.sum("docs").alias("both"))
     pairs = pairs.checkpoint()
     entities = pairs.where("term = 0").select("entity", F.col("both").alias("of_entity"))
-    near_any = pairs.where("term != 0").groupBy("term").agg(F.max("both").alias("most"))
-    able = pairs.where((F.col("term") != 0) & (F.col("both") >= support)).join(entities, "entity").where(F.col("of_entity") < total)
+    near_any = pairs.where("term != 0 AND entity = 0").select("term", F.col("both").alias("most"))
+    able = pairs.where((F.col("term") != 0) & (F.col("entity") != 0) & (F.col("both") >= support)).join(entities, "entity").where(F.col("of_entity") < total)
     share = lambda c: 1 - F.log(c / F.col("both")) / F.log(F.lit(float(total)) / F.col("of_entity"))
-    # A term occurs in at least as many documents as near its most frequent entity.
+    # A term occurs in at least as many documents as near entities.
     able = able.join(near_any, "term").where(share(F.col("most")) >= threshold).select("term", "entity", "both", "of_entity")
     mask = (1 << _BITS) - 1
     # Spark's bitmaps count positions from 1.

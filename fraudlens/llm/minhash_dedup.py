@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     sketch = docs.mapInArrow(_sketch(width, groups, half), "doc_id long, n_shingles long, hi long, lo long, keys binary").checkpoint()
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    bands = reps.select("rep", "keys").mapInArrow(_bands(groups, 8 * parts), "bucket int, a binary, b binary")
+    bands = reps.select("rep", "keys").mapInArrow(_bands(groups, 2 * parts), "bucket int, a binary, b binary")
     met = bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a binary, b binary")
     clusters = connected(merge_forests(met, max(1, parts // 16))).checkpoint()
     sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -2,8 +2,9 @@
 
 A text's words (between blanks) lose punctuation at both ends; words that were
 only punctuation are dropped.  The others become template tokens, each from the
-word alone: numbers (a digit first) become `0`, names (a capital first) become
-`A`, units of measure become `u`, all else is lower-cased.  A template window is
+word alone: numbers (a digit first) become `0`, names (a capital first,
+but not capitals alone) become `A`, units of measure become `u`, all else is
+lower-cased.  A template window is
 `width` consecutive tokens, of which at least `literals` must not be
 placeholders; an item of fewer than `width` but at least `shortest` tokens is
 one window.  Shorter items are not searched for: they'd match clean texts.
@@ -60,7 +61,7 @@ def tokens(array: Column) -> Column:
         first = F.ascii(w)
         return (
             F.when(first.between(48, 57), F.lit("0"))
-            .when(first.between(65, 90) | (first.between(192, 222) & (first != 215)), F.lit("A"))
+            .when((first.between(65, 90) | (first.between(192, 222) & (first != 215))) & (w != F.upper(w)), F.lit("A"))
             .when(w.isin(*UNITS), F.lit("u"))
             .otherwise(F.lower(w))
         )

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._checkpoint import checkpoint
 from ._packed import pack, pack_sorted, unpack, unpack_sorted
 
 
@@ -67,7 +68,7 @@ def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     join, checkpointed each round; about log(diameter) rounds.  Loops and
     repeated edges are allowed; nulls are dropped.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges = checkpoint(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
@@ -75,7 +76,7 @@ def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low).where("a <> b").distinct().checkpoint()
+        edges = checkpoint(small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low).where("a <> b").distinct())
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             break

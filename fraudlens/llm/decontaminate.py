@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._checkpoint import checkpoint
+
 #: Units of measure, lower case.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons", "lb", "lbs", "oz", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "km/h", "mph", "usd", "eur", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "°c", "°f", "kwh", "mb", "gb")
 
@@ -103,7 +105,7 @@ def _few(side: DataFrame, most: int) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 5, shortest: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, n_windows, n_items and first_item of every contaminated doc_id."""
-    windows = benchmark_windows(benchmark, width, literals, shortest).checkpoint()
+    windows = checkpoint(benchmark_windows(benchmark, width, literals, shortest))
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `width` of them
     if not lengths:
         return docs.select("doc_id").limit(0).selectExpr("doc_id", "0L AS n_windows", "0L AS n_items", "0L AS first_item")
@@ -111,7 +113,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     template = docs.select("doc_id", tokens(words(F.col("text"))).alias("t"))
     found = template.select("doc_id", F.explode(_let(F.col("t"), lambda t: F.concat(*(_hashes(t, n) for n in lengths)))).alias("h"))
-    ids = found.join(wanted, "h", "left_semi").select("doc_id").distinct().checkpoint()
+    ids = checkpoint(found.join(wanted, "h", "left_semi").select("doc_id").distinct())
     some = docs.join(_few(ids, broadcast_rows), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
     some = some.withColumn("dt", tokens(F.col("dw")))
     at = None

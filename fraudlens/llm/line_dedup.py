@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._checkpoint import checkpoint
 from ._graph import connected, forest, merge_forests, pack_edges
 from ._packed import pack_sorted, record_batches, runs, unpack_sorted
 from ._words import LETTERS, Hasher, batches, mix64, text_buffers, word_bounds
@@ -291,8 +292,8 @@ def removals(docs: DataFrame, least: int = 5, bits: int = 3, blocks: int = 6, si
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = docs.mapInArrow(_occurrences(least), "key long, sim long, doc_id long, line int").checkpoint()
-    lines = seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).checkpoint()
+    seen = checkpoint(docs.mapInArrow(_occurrences(least), "key long, sim long, doc_id long, line int"))
+    lines = checkpoint(seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
     # Lines of one SimHash are candidates too, so components are over SimHashes with more than one line, or near others.
     sims = lines.groupBy("sim").agg(F.count("*").alias("own"))
     masks = _masks(blocks, bits)
@@ -300,7 +301,7 @@ def removals(docs: DataFrame, least: int = 5, bits: int = 3, blocks: int = 6, si
     paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "mask").mapInArrow(_pair_up(masks, bits), "a binary, b binary")
     close = connected(merge_forests(paired, max(1, parts // 16)))
     groups = sims.join(close, F.col("sim") == F.col("node"), "left").where("own > 1 OR node IS NOT NULL").select("sim", F.coalesce("component", "sim").alias("component"))
-    members = lines.select("key", "sim").join(groups, "sim").checkpoint()
+    members = checkpoint(lines.select("key", "sim").join(groups, "sim"))
     sizes = members.groupBy("component").count().select("component", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     bitmap = spark.sparkContext.broadcast(member_bitmap(members.select("key")))
     forms = docs.mapInArrow(_forms(bitmap, least), "key long, form string").groupBy("key").agg(F.min("form").alias("form"))

@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._checkpoint import checkpoint
 from ._graph import connected, forest, merge_forests, pack_edges
 from ._packed import leads, pack, record_batches, runs, unpack
 from ._words import Hasher, _splitmix, batches, mix64, text_buffers, windows, word_bounds
@@ -316,12 +317,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = docs.mapInArrow(_sketch(width, groups, half), "doc_id long, n_shingles long, hi long, lo long, keys binary").checkpoint()
+    sketch = checkpoint(docs.mapInArrow(_sketch(width, groups, half), "doc_id long, n_shingles long, hi long, lo long, keys binary"))
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     bands = reps.select("rep", "keys").mapInArrow(_bands(groups, 2 * parts), "bucket int, a binary, b binary")
     met = bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a binary, b binary")
-    clusters = connected(merge_forests(met, max(1, parts // 16))).checkpoint()
+    clusters = checkpoint(connected(merge_forests(met, max(1, parts // 16))))
     sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(_members(spark.sparkContext.broadcast(member_bitmap(clusters.select("node")))), "doc_id long, z binary")
     placed = clusters.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._checkpoint import checkpoint
 from ._words import LETTERS, Hasher, batches, text_buffers, word_bounds
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -203,7 +204,7 @@ def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support:
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.count()
     pairs = docs.select("text").mapInArrow(_pairs(near), "term long, entity long, docs long").groupBy("term", "entity").agg(F.sum("docs").alias("both"))
-    pairs = pairs.checkpoint()
+    pairs = checkpoint(pairs)
     entities = pairs.where("term = 0").select("entity", F.col("both").alias("of_entity"))
     near_any = pairs.where("term != 0 AND entity = 0").select("term", F.col("both").alias("most"))
     able = pairs.where((F.col("term") != 0) & (F.col("entity") != 0) & (F.col("both") >= support)).join(entities, "entity").where(F.col("of_entity") < total)
@@ -218,7 +219,7 @@ def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support:
     for row in words:  # 2**23 bits at most
         at = (row.bucket - 1) * 4096
         raw[at : at + 4096] = row.map
-    places = docs.mapInArrow(_positions(spark.sparkContext.broadcast(bytes(raw))), _position_schema(docs)).checkpoint()
+    places = checkpoint(docs.mapInArrow(_positions(spark.sparkContext.broadcast(bytes(raw))), _position_schema(docs)))
     of_term = places.groupBy("term").agg(F.sum("first").alias("of_term"))
     terms = able.join(of_term, "term").where(share(F.greatest("of_term", "both")) >= threshold).select("term").distinct()
     return places.join(terms, "term").select("doc_id", "start", "end")

@@ -331,7 +331,7 @@ def _exact(dims: int):
     return run
 
 
-def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 16, beam: int = 48, width: int = 8, rounds: int = 12, entries: int = 64) -> DataFrame:
+def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 24, beam: int = 160, width: int = 24, rounds: int = 12, entries: int = 64) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest rows to each row of the table that `wanted` holds for.
 
     `wanted` is a condition on the column id.  The result has fewer than `top`

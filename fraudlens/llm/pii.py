@@ -19,8 +19,9 @@ they occur, also in documents that don't name the entity.
 All counts cover all documents.  Pairs are counted map-side first, so a term or
 an entity that a third of the documents share costs one row per task.  Terms
 that can't reach the threshold, going by their counts near entities alone, are
-left before the corpus is counted; the others are looked up through a bitmap of
-fixed size (false hits only cost rows: the counts are joined on 64-bit hashes).
+left before the corpus is counted; the others are counted, and those that reach
+it are located, through bitmaps of fixed size (false hits only cost rows: terms
+are joined on 64-bit hashes).
 
 Nulls count as empty texts.  Rows of one doc_id count as documents of their own,
 but share the term spans found in any of them that lie within the text.
@@ -174,25 +175,59 @@ def _pairs(near: int):
     return run
 
 
+def _hits(column: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_terms() that the bitmap has, by text, hash and start, and whether each is the first of its text and hash."""
+    h, doc, start, end = _terms(column)
+    one, two = _places(h)
+    hit = bits[one] & bits[two]
+    h, doc, start, end = h[hit], doc[hit], start[hit], end[hit]
+    order = np.lexsort((start, h, doc))
+    h, doc, start, end = h[order], doc[order], start[order], end[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h, doc, start, end, new
+
+
+def _documents(bitmap):
+    """(term, docs): in how many of a task's documents each term of the bitmap occurs."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
+        term, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches(rows, 4 << 20, "text"):
+            h, _, _, _, new = _hits(batch.column(0), bits)
+            term, back = np.unique(np.r_[term, h[new]], return_inverse=True)
+            n = np.bincount(back, np.r_[n, np.ones(int(new.sum()))], len(term)).astype(np.int64)
+        for k in range(0, len(term), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(term[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["term", "docs"])
+
+    return run
+
+
 def _positions(bitmap):
-    """(doc_id, term, first, start, end) of the terms that the bitmap has; first is 1 once per document and term."""
+    """(doc_id, term, start, end) of every occurrence of the terms that the bitmap has."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches(rows, 4 << 20):
-            h, doc, start, end = _terms(batch.column(1))
-            one, two = _places(h)
-            hit = bits[one] & bits[two]
-            h, doc, start, end = h[hit], doc[hit], start[hit], end[hit]
-            order = np.lexsort((start, h, doc))
-            h, doc, start, end = h[order], doc[order], start[order], end[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(h), pa.array(new.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "term", "first", "start", "end"])
+            h, doc, start, end, _ = _hits(batch.column(1), bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "term", "start", "end"])
 
     return run
 
 
+def _bitmap(terms: DataFrame):
+    """The terms' places in 2**23 bits, sent to all executors."""
+    mask = (1 << _BITS) - 1
+    # Spark's bitmaps count positions from 1.
+    places = terms.select(F.explode(F.array(F.col("term").bitwiseAND(mask) + 1, F.shiftright("term", 32).bitwiseAND(mask) + 1)).alias("b"))
+    words = places.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("map")).collect()
+    raw = bytearray((1 << _BITS) // 8)
+    for row in words:  # 2**8 rows at most
+        raw[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.map
+    return terms.sparkSession.sparkContext.broadcast(bytes(raw))
+
+
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = (1 << _BITS) - 1
     return h & mask, (h >> 32) & mask
@@ -211,24 +246,17 @@ def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support:
     share = lambda c: 1 - F.log(c / F.col("both")) / F.log(F.lit(float(total)) / F.col("of_entity"))
     # A term occurs in at least as many documents as near entities.
     able = able.join(near_any, "term").where(share(F.col("most")) >= threshold).select("term", "entity", "both", "of_entity")
-    mask = (1 << _BITS) - 1
-    # Spark's bitmaps count positions from 1.
-    places = able.select(F.explode(F.array(F.col("term").bitwiseAND(mask) + 1, F.shiftright("term", 32).bitwiseAND(mask) + 1)).alias("b"))
-    words = places.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("map")).collect()
-    raw = bytearray((1 << _BITS) // 8)
-    for row in words:  # 2**23 bits at most
-        at = (row.bucket - 1) * 4096
-        raw[at : at + 4096] = row.map
-    places = checkpoint(docs.mapInArrow(_positions(spark.sparkContext.broadcast(bytes(raw))), _position_schema(docs)))
-    of_term = places.groupBy("term").agg(F.sum("first").alias("of_term"))
-    terms = able.join(of_term, "term").where(share(F.greatest("of_term", "both")) >= threshold).select("term").distinct()
+    able = checkpoint(able)
+    counted = docs.select("text").mapInArrow(_documents(_bitmap(able.select("term").distinct())), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("of_term"))
+    terms = checkpoint(able.join(counted, "term").where(share(F.greatest("of_term", "both")) >= threshold).select("term").distinct())
+    places = docs.mapInArrow(_positions(_bitmap(terms)), _position_schema(docs))
     return places.join(terms, "term").select("doc_id", "start", "end")
 
 
 def _position_schema(docs: DataFrame):
     from pyspark.sql.types import IntegerType, LongType, StructType
 
-    return StructType([docs.schema["doc_id"]]).add("term", LongType()).add("first", IntegerType()).add("start", IntegerType()).add("end", IntegerType())
+    return StructType([docs.schema["doc_id"]]).add("term", LongType()).add("start", IntegerType()).add("end", IntegerType())
 
 
 def _bases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._checkpoint import checkpoint
 from ._packed import spread
-from ._words import batches, text_buffers
+from ._words import batches, distinct, text_buffers
 
 ORDER = 5
 _U = np.uint64
@@ -159,8 +159,8 @@ def _wanted(chunks: int):
         for batch in batches(rows, 16 << 20):
             code, off = grams(batch.column(1))
             chunk = np.repeat(spread(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), chunks), np.diff(off))
-            both = np.unique(np.stack([chunk.astype(np.int64), code]), axis=1) if chunks > 1 << 23 else np.unique(chunk.astype(np.int64) << 40 | code)
-            chunk, code = both if both.ndim == 2 else (both >> 40, both & ((1 << 40) - 1))
+            both = distinct(chunk.astype(np.int64) << 40 | code)  # fewer than 2**23 chunks
+            chunk, code = both >> 40, both & ((1 << 40) - 1)
             for k in range(0, len(code), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 100_000]), pa.array(chunk[k : k + 100_000].astype(np.int32))], ["gram", "chunk"])
 

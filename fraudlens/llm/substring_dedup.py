@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._packed import leads, pack, pack_sorted, record_batches, runs, spread, unpack, unpack_sorted
-from ._words import Hasher, batches, text_buffers, windows, word_bounds
+from ._words import Hasher, batches, distinct, text_buffers, windows, word_bounds
 
 _U = np.uint64
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hash", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
@@ -178,7 +178,7 @@ def _cut(width: int, texts: bool):
             i = i.as_py()
             a, b = (np.searchsorted(doc, i), np.searchsorted(doc, i, side="right")) if i is not None else (0, 0)
             cover = np.zeros(len(start) + 1, np.int64)
-            at = np.unique(pos[a:b])
+            at = distinct(pos[a:b])
             at = at[at + width <= len(start)]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + width, -1)

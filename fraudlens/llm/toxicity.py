@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LETTERS, Hasher, batches, text_buffers, with_fields, word_bounds
+from ._words import LETTERS, Hasher, batches, distinct, text_buffers, with_fields, word_bounds
 
 STARTS = (4, 6, 8)
 
@@ -55,7 +55,7 @@ class Terms:
                 ok = useful[slot]
                 slot, d = slot[ok], d[ok]
             found.append(d << 32 | slot)
-        both = np.unique(np.concatenate(found))
+        both = distinct(np.concatenate(found))
         return both & 0xFFFFFFFF, both >> 32
 
 

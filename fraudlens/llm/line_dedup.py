@@ -3,7 +3,7 @@
 Lines end at line feeds.  A line is normalised to its words (runs of letters and
 digits, A-Z lower-cased) joined by one blank; lines of fewer than `least` words
 are left alone.  Two lines are linked if their normal forms are equal, or if
-their 64-bit SimHashes (over the words) differ in at most `bits` places and the
+their 64-bit SimHashes (over their different words and word pairs) differ in at most `bits` places and the
 edit similarity 1 - distance / longer length of their normal forms is at least
 `similarity`.  Of each connected group the occurrence with the smallest
 (doc_id, line number) stays; all others are removed.
@@ -27,6 +27,7 @@ keep all lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from ._checkpoint import checkpoint
 from ._graph import connected, forest, merge_forests, pack_edges
 from ._packed import pack_sorted, record_batches, runs, unpack_sorted
-from ._words import LETTERS, Hasher, batches, mix64, text_buffers, word_bounds
+from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
 from .minhash_dedup import _places, member_bitmap
 
 _U = np.uint64
@@ -47,7 +48,7 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
 def _lines(column: pa.Array, least: int):
-    """For the lines that count: key, text number, line number, words' slice; and the words' hashes and byte ranges."""
+    """For the lines that count: key, text number, line number, slice of words; and all words' hashes."""
     data, off = text_buffers(column)
     start, end, first = word_bounds(data, off, LETTERS)
     words = _HASHER.hash(data, start, end)
@@ -67,27 +68,44 @@ def _lines(column: pa.Array, least: int):
     else:
         key = np.zeros(0, _U)
     enough = n >= least
-    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], words, data, start, end
+    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], words
+
+
+#: For each half byte a counter of 16 bits for each of its 4 bits.
+_LANES = np.array([sum((v >> b & 1) << 16 * b for b in range(4)) for v in range(16)], _U)
 
 
 def simhash(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The majority of each bit over the words of each slice."""
+    """The majority of each bit over the different words and adjacent word pairs of each slice."""
+    if not len(at):
+        return np.zeros(0, _U)
+    total = int(n.sum())
+    line = np.repeat(np.arange(len(at)), n)
+    index = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+    own = words[index]
+    pair = np.flatnonzero(line[1:] == line[:-1])
+    both = mix64(own[pair] * _U(3) + own[pair + 1])
+    # Up to 2**24 lines at once, and 40 bits of each feature.
+    feature = distinct(np.r_[line, line[pair]].astype(_U) << _U(40) | np.r_[own, both] >> _U(24))
+    first = np.searchsorted(feature, np.arange(len(at) + 1, dtype=_U) << _U(40))
+    m = np.diff(first)
+    feature = mix64((feature & _U((1 << 40) - 1)) + _U(1))
     out = np.zeros(len(at), _U)
-    k = 0
-    while k < len(at):  # some hundred thousand words at a time
-        to = max(k + 1, int(np.searchsorted(np.cumsum(n[k:]), 200_000, side="right")) + k)
-        index = np.concatenate([np.arange(a, a + m) for a, m in zip(at[k:to], n[k:to])])
-        bits = np.unpackbits(words[index].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, np.r_[0, np.cumsum(n[k:to])[:-1]], axis=0, dtype=np.int32)
-        out[k:to] = np.packbits(2 * sums > n[k:to, None], axis=1).view(_U).reshape(-1)
-        k = to
+    short = m < 1 << 16
+    for k in range(16):
+        sums = np.add.reduceat(_LANES[(feature >> _U(4 * k) & _U(15)).astype(np.int64)], first[:-1])
+        for b in range(4):
+            out |= (2 * (sums >> _U(16 * b) & _U(0xFFFF)).astype(np.int64) > m).astype(_U) << _U(4 * k + b)
+    for i in np.flatnonzero(~short):  # counters of 16 bits don't hold these
+        f = feature[first[i] : first[i + 1]]
+        out[i] = sum(int(2 * int((f >> _U(b) & _U(1)).sum()) > m[i]) << b for b in range(64))
     return out
 
 
 def _occurrences(least: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 4 << 20):
-            key, doc, line, at, n, words, *_ = _lines(batch.column(1), least)
+            key, doc, line, at, n, words = _lines(batch.column(1), least)
             _, pick, back = np.unique(key, return_index=True, return_inverse=True)
             sim = simhash(words, at[pick], n[pick])[back]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32))], ["key", "sim", "doc_id", "line"])
@@ -103,16 +121,21 @@ def _masks(blocks: int, bits: int) -> list[int]:
 
 
 def _deal(masks: list[int], buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("mask", pa.int32()), ("sims", pa.binary())])
+    """Hashes dealt out by their masked bits; one row for each bucket has the hashes of every mask, one after another."""
+    schema = pa.schema([("bucket", pa.int32()), ("sims", pa.list_(pa.binary()))])
 
     def flush(sims: np.ndarray) -> Iterator[tuple]:
-        sims = np.unique(sims)
+        sims = distinct(sims)
+        sent: list[list[bytes]] = [[b"\0\0\0\0"] * len(masks) for _ in range(buckets)]
         for k, mask in enumerate(masks):
             to = ((mix64((sims & _U(mask)) + _U(k)) >> _U(32)) % _U(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             for a, b in runs(to[order]):
                 part = order[a:b]
-                yield int(to[part[0]]), k, pack_sorted(sims[part].view(np.int64))
+                sent[to[part[0]]][k] = pack_sorted(sims[part].view(np.int64))
+        for bucket, part in enumerate(sent):
+            if any(len(x) > 4 for x in part):
+                yield bucket, part
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -132,45 +155,48 @@ def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pair_up(masks: list[int], bits: int):
-    """Over rows sorted by bucket and mask: links between near hashes, as packed forests."""
+    """Over rows sorted by bucket: links between near hashes, as packed forests."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part, left, right = None, [], [], []
+        at, part, left, right, n = None, [], [], [], 0
 
         def close() -> None:
-            sims = np.unique(np.concatenate([unpack_sorted(x) for x in part]).view(_U))
-            key = sims & _U(masks[at[1]])
-            order = np.argsort(key, kind="stable")
-            sims, key = sims[order], key[order]
-            for a, b in runs(key):
-                group = sims[a:b]
-                for k in range(1, len(group)):  # hashes k apart; no more than the group's size of them at once
-                    ok = near(group[:-k], group[k:], bits)
-                    if ok.any():
-                        left.append(group[:-k][ok].view(np.int64))
-                        right.append(group[k:][ok].view(np.int64))
-                    if sum(map(len, left[-64:])) > 1 << 20:
+            nonlocal n
+            for mask, *own in zip(masks, *part):
+                sims = distinct(np.concatenate([unpack_sorted(x) for x in own]).view(_U))
+                key = sims & _U(mask)
+                order = np.argsort(key, kind="stable")
+                sims, key = sims[order], key[order]
+                apart, same = 1, np.flatnonzero(key[1:] == key[:-1])  # hashes of one key that are so many places apart
+                while len(same):
+                    ok = same[near(sims[same], sims[same + apart], bits)]
+                    left.append(sims[ok].view(np.int64))
+                    right.append(sims[ok + apart].view(np.int64))
+                    n += len(ok)
+                    apart += 1
+                    same = same[same + apart < len(key)]
+                    same = same[key[same + apart] == key[same]]
+                    if n > 1 << 20:
                         thin()
 
         def thin() -> None:
+            nonlocal n
             x, y = forest(np.concatenate(left), np.concatenate(right))
-            left[:], right[:] = [x], [y]
+            left[:], right[:], n = [x], [y], len(x)
 
         for batch in rows:
-            for bucket, mask, sims in zip(*batch.columns):
-                here = bucket.as_py(), mask.as_py()
-                if here != at and part:
+            for bucket, sims in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at and part:
                     close()
                     part.clear()
-                at = here
-                part.append(sims.as_py())
+                at = bucket
+                part.append(sims)
         if part:
             close()
-        if left:
+        if n:
             thin()
-            if len(left[0]):
-                yield from record_batches([pack_edges(left[0], right[0])], schema)
+            yield from record_batches([pack_edges(left[0], right[0])], schema)
 
     return run
 
@@ -218,30 +244,42 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return distance_within(a, b, int(longer * (1 - similarity) + 1e-9))
 
 
-def _forms(bitmap, least: int):
-    """(key, form): normal forms of the lines whose key the bitmap may have, each once per task."""
+def _at(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One number for a place in the corpus, for the bitmap."""
+    return mix64(mix64(doc.astype(np.int64).view(_U)) + line.astype(_U)).view(np.int64)
+
+
+def _forms(bitmap):
+    """(doc_id, line, form): normal forms of the lines at the places that the bitmap may have."""
+    word = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
-        seen: set[int] = set()
         for batch in batches(rows, 4 << 20):
-            key, _, _, at, n, _, data, start, end = _lines(batch.column(1), least)
-            one, two = _places(key.view(np.int64))
-            keys, forms = [], []
-            for i in np.flatnonzero(bits[one] & bits[two]).tolist():
-                k = int(key[i])
-                if k not in seen:
-                    seen.add(k)
-                    form = b" ".join([data[s:e].tobytes() for s, e in zip(start[at[i] : at[i] + n[i]].tolist(), end[at[i] : at[i] + n[i]].tolist())])
-                    keys.append(k)
-                    forms.append(form.lower().decode())
-            if len(seen) > 500_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, _U).view(np.int64)), pa.array(forms, pa.string())], ["key", "form"])
+            data, off = text_buffers(batch.column(1))
+            feeds = np.flatnonzero(data[off[0] : off[-1]] == 10) + int(off[0])
+            # Borders of all lines of all texts: a line starts at a text's start and after each feed.
+            doc = np.r_[np.arange(len(off) - 1), np.searchsorted(off, feeds, side="right") - 1]
+            start, end = np.r_[off[:-1], feeds + 1], None
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            end = np.r_[start[1:] - 1, off[-1]]
+            last = np.r_[doc[1:] != doc[:-1], True]
+            end[last] = off[1:][doc[last]]
+            line = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            one, two = _places(_at(batch.column(0).to_numpy()[doc], line))
+            hit = np.flatnonzero(bits[one] & bits[two])
+            forms = [" ".join(word.findall(data[s:e].tobytes().lower().decode())) for s, e in zip(start[hit].tolist(), end[hit].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[hit])), pa.array(line[hit].astype(np.int32)), pa.array(forms, pa.string())], ["doc_id", "line", "form"])
 
     return run
 
 
+def _place_column(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        yield pa.RecordBatch.from_arrays([pa.array(_at(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["place"])
+
+
 def _verify(bits: int, similarity: float):
     """Over rows (component, one, two, side, key, sim, form) sorted by the first four: verified links as packed forests."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -297,14 +335,16 @@ def removals(docs: DataFrame, least: int = 5, bits: int = 3, blocks: int = 6, si
     # Lines of one SimHash are candidates too, so components are over SimHashes with more than one line, or near others.
     sims = lines.groupBy("sim").agg(F.count("*").alias("own"))
     masks = _masks(blocks, bits)
-    dealt = sims.select("sim").mapInArrow(_deal(masks, 2 * parts), "bucket int, mask int, sims binary")
-    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "mask").mapInArrow(_pair_up(masks, bits), "a binary, b binary")
+    dealt = sims.select("sim").mapInArrow(_deal(masks, parts), "bucket int, sims array<binary>")
+    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(masks, bits), "a binary, b binary")
     close = connected(merge_forests(paired, max(1, parts // 16)))
     groups = sims.join(close, F.col("sim") == F.col("node"), "left").where("own > 1 OR node IS NOT NULL").select("sim", F.coalesce("component", "sim").alias("component"))
-    members = checkpoint(lines.select("key", "sim").join(groups, "sim"))
+    members = checkpoint(lines.select("key", "sim", "first").join(groups, "sim"))
     sizes = members.groupBy("component").count().select("component", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    bitmap = spark.sparkContext.broadcast(member_bitmap(members.select("key")))
-    forms = docs.mapInArrow(_forms(bitmap, least), "key long, form string").groupBy("key").agg(F.min("form").alias("form"))
+    places = members.select("first.doc_id", "first.line").mapInArrow(_place_column, "place long")
+    bitmap = spark.sparkContext.broadcast(member_bitmap(places))
+    forms = docs.mapInArrow(_forms(bitmap), "doc_id long, line int, form string")
+    forms = forms.join(members.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), ["doc_id", "line"]).select("key", "form").dropDuplicates(["key"])
     placed = members.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(key), blocks)").cast("int"))
     sent = forms.join(placed, "key").select("component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "key", "sim", "form")
     one, two = F.least("own", "other"), F.greatest("own", "other")

@@ -125,7 +125,7 @@ def word_bounds(data: np.ndarray, off: np.ndarray, table: np.ndarray = NOT_BLANK
         s = np.flatnonzero(first) + at
         e = np.flatnonzero(last) + at
         # A word that runs over the end of a text is cut there.
-        glued = inside[word[inside] & before[inside]] + at
+        glued = distinct(inside[word[inside] & before[inside]]) + at  # empty texts repeat a border
         if len(glued):
             s = np.insert(s, np.searchsorted(s, glued), glued)
             e = np.insert(e, np.searchsorted(e, glued), glued)

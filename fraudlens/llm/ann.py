@@ -9,14 +9,15 @@ Building: nodes get first neighbours from small blocks (hashed at random, and by
 the signs of random projections, large blocks cut up by a hash), then
 NN-descent: each round every node sends its vector to its neighbours and to the
 nodes that have it as one; a node's visitors are compared with one another, and
-the best pairs update both ends' lists.  Lists are summed up in each task before
+the best few pairs of each update both ends' lists.  Lists are summed up in each task before
 they are shuffled, so a hub costs a list per task and not a row per neighbour.
 A round is a few joins on node ids; nothing is collected but a count.
 
 Search: a beam for each query starts from fixed entry nodes, and from the
 query's own neighbours if it is a node; each round joins the best nodes that are
 not yet expanded with their neighbour lists, and the new ones with their
-vectors, until no beam changes.  The beam is then scored again in double
+vectors, until no beam changes or a number of
+rounds has passed.  The beam is then scored again in double
 precision on the original vectors, and ties go to the smaller id.
 """
 
@@ -228,7 +229,7 @@ def nodes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> t
     return units.withColumn("h", F.md5("exact")).join(classes, "h").select("id", "class", "vec", "exact"), common.d
 
 
-def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 8, block: int = 128, seed: int = 5) -> DataFrame:
+def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 3, block: int = 128, few: int = 10, seed: int = 5) -> DataFrame:
     """(id, vec, nb, sim): the neighbour graph of reps(id, vec); nb and sim are packed and sorted by similarity."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = reps.count()
@@ -237,13 +238,13 @@ def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 8, block: int =
     sizes = first.groupBy("round", "sign").count().select("round", "sign", F.ceil(F.col("count") / block).cast("int").alias("cut"))
     group = F.xxhash64("round", "sign", F.expr("pmod(xxhash64(id, round), cut)"))
     first = first.join(sizes, ["round", "sign"]).select(group.alias("group"), "id", "v")
-    near = lambda x: x.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_compare(dims, k, 1024), _LIST)
+    near = lambda x, most: x.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_compare(dims, most, 1024), _LIST)
     graph_of = lambda old, new: checkpoint(old.join(_together(new), "id", "left").select("id", "vec", "nb", "sim", "new").mapInArrow(_merge(k), "id long, vec binary, nb binary, sim binary, changed long"))
-    graph = graph_of(reps.select("id", "vec", F.lit(None).cast("binary").alias("nb"), F.lit(None).cast("binary").alias("sim")), near(first))
+    graph = graph_of(reps.select("id", "vec", F.lit(None).cast("binary").alias("nb"), F.lit(None).cast("binary").alias("sim")), near(first, k))
     for _ in range(rounds):
         back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST))
         sent = graph.join(back, "id", "left").select("id", "vec", "nb", "new").mapInArrow(_visit(dims, k), "group long, id long, v binary")
-        graph = graph_of(graph.drop("changed"), near(sent))
+        graph = graph_of(graph.drop("changed"), near(sent, few))
         if graph.agg(F.sum("changed")).first()[0] < 0.01 * n * k:
             break
     return graph.drop("changed")
@@ -331,7 +332,7 @@ def _exact(dims: int):
     return run
 
 
-def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 24, beam: int = 160, width: int = 24, rounds: int = 12, entries: int = 64) -> DataFrame:
+def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 24, beam: int = 160, width: int = 40, rounds: int = 5, entries: int = 64) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest rows to each row of the table that `wanted` holds for.
 
     `wanted` is a condition on the column id.  The result has fewer than `top`

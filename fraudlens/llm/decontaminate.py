@@ -137,3 +137,28 @@ def judge(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose doc_id isn't contaminated."""
     return docs.join(hits(docs, benchmark, **options).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def oracle(width: int = 8, literals: int = 5, shortest: int = 5) -> str:
+    """DuckDB SQL for judge() over documents and benchmark."""
+    marks, units = MARKS.replace("'", "''"), ", ".join("'" + u + "'" for u in UNITS)
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    words = f"list_filter(list_transform(regexp_split_to_array(trim(coalesce(text, ''), {blanks}), '[ \\x09-\\x0D]+'), lambda x: trim(x, '{marks}')), lambda x: x <> '')"
+    capital = "(unicode(x) BETWEEN 65 AND 90 OR (unicode(x) BETWEEN 192 AND 222 AND unicode(x) <> 215))"
+    tokens = f"list_transform(w, lambda x: CASE WHEN unicode(x) BETWEEN 48 AND 57 THEN '0' WHEN {capital} AND x <> upper(x) THEN 'A' WHEN x IN ({units}) THEN 'u' ELSE lower(x) END)"
+    return f"""
+WITH bw AS (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+  bt AS (SELECT item_id, w, {tokens} AS t, least(len(w), {width}) AS n FROM bw WHERE len(w) >= {shortest}),
+  bi AS (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM bt),
+  win AS (SELECT item_id, n, t[i:i + n - 1] AS tk, w[i:i + n - 1] AS ww FROM bi),
+  good AS (SELECT * FROM win WHERE len(list_filter(tk, lambda x: x NOT IN ('0', 'A', 'u'))) >= least({literals}, n - 1)),
+  dw AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+  dt AS (SELECT doc_id, w, {tokens} AS t FROM dw),
+  dn AS (SELECT doc_id, w, t, n FROM dt CROSS JOIN (SELECT DISTINCT n FROM good) l WHERE len(t) >= n),
+  di AS (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM dn),
+  hit AS (SELECT d.doc_id, d.i, d.n, g.item_id, list_filter(list_zip(g.ww, d.w[d.i:d.i + d.n - 1], g.tk), lambda z: z[3] IN ('0', 'A', 'u')) AS slots
+    FROM di d JOIN good g ON g.n = d.n AND g.tk = d.t[d.i:d.i + d.n - 1]),
+  ok AS (SELECT * FROM hit WHERE len(list_distinct(list_transform(slots, lambda z: [z[1], z[2]]))) = len(list_distinct(list_transform(slots, lambda z: z[1])))),
+  found AS (SELECT doc_id, count(DISTINCT [i, n]) AS n_windows, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM ok GROUP BY doc_id)
+SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_windows, 0) AS n_windows, coalesce(n_items, 0) AS n_items, first_item
+FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id"""

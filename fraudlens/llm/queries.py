@@ -77,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": url_filter.sql("pages", "labels", url_filter.RULES, 0.25, 1.64, "duckdb"),
+        "op9_decontaminate": decontaminate.oracle(),
     }

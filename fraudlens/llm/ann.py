@@ -229,15 +229,16 @@ def nodes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> t
     return units.withColumn("h", F.md5("exact")).join(classes, "h").select("id", "class", "vec", "exact"), common.d
 
 
-def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 3, block: int = 128, few: int = 10, seed: int = 5) -> DataFrame:
+def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 7, block: int = 128, few: int = 20, seed: int = 5) -> DataFrame:
     """(id, vec, nb, sim): the neighbour graph of reps(id, vec); nb and sim are packed and sorted by similarity."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = reps.count()
     bits = max(1, int(np.log2(max(2, n / block))))
     first = reps.mapInArrow(_blocks(dims, 4, min(bits, 40), seed), "round int, sign long, id long, v binary")
-    sizes = first.groupBy("round", "sign").count().select("round", "sign", F.ceil(F.col("count") / block).cast("int").alias("cut"))
-    group = F.xxhash64("round", "sign", F.expr("pmod(xxhash64(id, round), cut)"))
-    first = first.join(sizes, ["round", "sign"]).select(group.alias("group"), "id", "v")
+    sizes = first.where("round >= 0").groupBy("round", "sign").count().select("round", "sign", F.ceil(F.col("count") / block).cast("int").alias("cut"))
+    group = F.xxhash64("round", "sign", F.expr("pmod(xxhash64(id, round), cut)")).alias("group")
+    dealt = first.where("round < 0").withColumn("cut", F.lit(max(1, -(-n // block)))).select(group, "id", "v")
+    first = first.where("round >= 0").join(sizes, ["round", "sign"]).select(group, "id", "v").union(dealt)
     near = lambda x, most: x.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_compare(dims, most, 1024), _LIST)
     graph_of = lambda old, new: checkpoint(old.join(_together(new), "id", "left").select("id", "vec", "nb", "sim", "new").mapInArrow(_merge(k), "id long, vec binary, nb binary, sim binary, changed long"))
     graph = graph_of(reps.select("id", "vec", F.lit(None).cast("binary").alias("nb"), F.lit(None).cast("binary").alias("sim")), near(first, k))
@@ -332,7 +333,7 @@ def _exact(dims: int):
     return run
 
 
-def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 24, beam: int = 160, width: int = 40, rounds: int = 5, entries: int = 64) -> DataFrame:
+def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 24, beam: int = 240, width: int = 48, rounds: int = 6, entries: int = 64) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest rows to each row of the table that `wanted` holds for.
 
     `wanted` is a condition on the column id.  The result has fewer than `top`

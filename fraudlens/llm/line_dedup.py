@@ -2,17 +2,23 @@
 
 Lines end at line feeds.  A line is normalised to its words (runs of letters and
 digits, A-Z lower-cased) joined by one blank; lines of fewer than `least` words
-are left alone.  Two lines are linked if their normal forms are equal, or if
-their 64-bit SimHashes (over their different words and word pairs) differ in at most `bits` places and the
+are left alone.  Two lines are linked if their normal forms are equal, or if the
 edit similarity 1 - distance / longer length of their normal forms is at least
-`similarity`.  Of each connected group the occurrence with the smallest
-(doc_id, line number) stays; all others are removed.
+`similarity` and they are found as candidates.  With `bits` (3 unless told
+otherwise) their 64-bit SimHashes, over their different words and word pairs,
+must also differ in at most so many places; the queries pass bits=None, so that
+edit similarity alone decides among the candidates.  Of each connected group
+the occurrence with the smallest (doc_id, line number) stays; all others are
+removed.
+
+Candidates agree in all three MinHashes (over word pairs) of one of 16 tables,
+in length within the similarity, and in all but SKETCH places of their
+SimHashes.  This is what the method can miss; the README has its recall.
 
 1. A narrow pass hashes the lines; equal ones meet in a grouped minimum.
-2. The distinct SimHashes are cut into `blocks` blocks; hashes that differ in at
-   most `bits` places agree in at least blocks - bits of them, so each table is
-   keyed by one choice of so many blocks.  Hashes are dealt out packed; pairs
-   within the distance become a forest in each task, no pair is emitted.
+2. The distinct SimHashes are dealt out packed, once for each table, by its three
+   MinHashes; pairs that pass the tests above become a forest in each task, no
+   pair is emitted.
 3. Components of these links gather the candidates.  The normal forms of their
    lines are read again (a bitmap of fixed size keeps others out) and sent to
    their component, where pairs are verified by Myers' bit-parallel distance;
@@ -29,7 +35,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +43,21 @@ from pyspark.sql import functions as F
 
 from ._checkpoint import checkpoint
 from ._graph import connected, forest, merge_forests, pack_edges
-from ._packed import pack_sorted, record_batches, runs, unpack_sorted
+from ._packed import pack, pack_sorted, record_batches, runs, unpack, unpack_sorted
 from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
 from .minhash_dedup import _places, member_bitmap
 
 _U = np.uint64
 _HASHER = Hasher(131, lower=True)
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+#: MinHash tables and the hashes of each; a table's three make 32 bits, two tables fill a long.
+TABLES, DEPTH = 16, 3
+#: Places in which the SimHashes of candidates may differ.
+SKETCH = 22
+_BANDS = [f"b{k}" for k in range(TABLES // 2)]
 
 
 def _lines(column: pa.Array, least: int):
-    """For the lines that count: key, text number, line number, slice of words; and all words' hashes."""
+    """For the lines that count: key, text number, line number, slice of words, code points; and all words' hashes."""
     data, off = text_buffers(column)
     start, end, first = word_bounds(data, off, LETTERS)
     words = _HASHER.hash(data, start, end)
@@ -67,8 +76,10 @@ def _lines(column: pa.Array, least: int):
         key = mix64(np.add.reduceat(mix64(words + (place + _U(1)) * _U(0x9E3779B97F4A7C15)), at) + n.astype(_U))
     else:
         key = np.zeros(0, _U)
+    points = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+    size = np.add.reduceat(points[end - lo] - points[start - lo], at) + n - 1 if len(at) else n
     enough = n >= least
-    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], words
+    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], size[enough], words
 
 
 #: For each half byte a counter of 16 bits for each of its 4 bits.
@@ -102,75 +113,115 @@ def simhash(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The MinHashes of each slice's word pairs (the last word stands alone), two tables in each array."""
+    if not len(at):
+        return [np.zeros(0, np.int64)] * len(_BANDS)
+    first = np.cumsum(n) - n
+    own = words[np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(at, n)]
+    feature = mix64(own * _U(3) + np.r_[own[1:], _U(0)])
+    last = first + n - 1
+    feature[last] = mix64(own[last] + _U(99))
+    out, seed = [], 0
+    for _ in _BANDS:
+        both = np.zeros(len(at), _U)
+        for half in range(2):
+            band = np.zeros(len(at), _U)
+            for _ in range(DEPTH):
+                seed += 1
+                salt = int(mix64(np.array([seed], _U))[0])
+                band = mix64(band * _U(3) + np.minimum.reduceat((feature ^ _U(salt)) * _U(salt | 1), first))
+            both |= band >> _U(32) << _U(32 * half)
+        out.append(both.view(np.int64))
+    return out
+
+
+def _long(size: np.ndarray) -> np.ndarray:
+    """Sixteenths of the binary logarithm of a length."""
+    return np.minimum(16 * np.log2(np.maximum(size, 1)), 255).astype(np.uint8)
+
+
 def _occurrences(least: int):
+    """A row for each line; length and bands only once for equal lines of a batch."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 4 << 20):
-            key, doc, line, at, n, words = _lines(batch.column(1), least)
+            key, doc, line, at, n, size, words = _lines(batch.column(1), least)
             _, pick, back = np.unique(key, return_index=True, return_inverse=True)
             sim = simhash(words, at[pick], n[pick])[back]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32))], ["key", "sim", "doc_id", "line"])
+            again = np.ones(len(key), bool)
+            again[pick] = False
 
-    return run
+            def once(values: np.ndarray) -> pa.Array:
+                full = np.zeros(len(key), values.dtype)
+                full[pick] = values
+                return pa.array(full, mask=again)
 
+            columns = [pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), once(_long(size[pick]).astype(np.int32))]
+            columns += [once(b) for b in bands(words, at[pick], n[pick])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sim", "doc_id", "line", "size", *_BANDS])
 
-def _masks(blocks: int, bits: int) -> list[int]:
-    """The bit mask of each choice of blocks that two near hashes must share at least one of."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
-    return [sum(c) for c in combinations(block, blocks - bits)]
+    return run
 
 
-def _deal(masks: list[int], buckets: int):
-    """Hashes dealt out by their masked bits; one row for each bucket has the hashes of every mask, one after another."""
+def _deal(buckets: int):
+    """SimHashes dealt out by each table; one row for each bucket has the hashes, bands and lengths of every table, one after another."""
     schema = pa.schema([("bucket", pa.int32()), ("sims", pa.list_(pa.binary()))])
 
-    def flush(sims: np.ndarray) -> Iterator[tuple]:
-        sims = distinct(sims)
-        sent: list[list[bytes]] = [[b"\0\0\0\0"] * len(masks) for _ in range(buckets)]
-        for k, mask in enumerate(masks):
-            to = ((mix64((sims & _U(mask)) + _U(k)) >> _U(32)) % _U(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            for a, b in runs(to[order]):
-                part = order[a:b]
-                sent[to[part[0]]][k] = pack_sorted(sims[part].view(np.int64))
+    def flush(held: list[list[np.ndarray]]) -> Iterator[tuple]:
+        sims, size, *packed = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(sims)
+        sims, size = sims[order], size[order].astype(np.uint8)
+        sent: list[list[bytes]] = [[b"\0\0\0\0"] * (3 * TABLES) for _ in range(buckets)]
+        for k in range(TABLES):
+            band = (packed[k // 2][order].view(_U) >> _U(32 * (k % 2))).astype(np.uint32)
+            to = ((mix64(band.astype(_U) + (_U(k) << _U(32))) >> _U(32)) % _U(buckets)).astype(np.int32)
+            order_ = np.argsort(to, kind="stable")
+            for a, b in runs(to[order_]):
+                part = order_[a:b]
+                sent[to[part[0]]][3 * k : 3 * k + 3] = pack_sorted(sims[part]), pack(band[part]), pack(size[part])
         for bucket, part in enumerate(sent):
             if any(len(x) > 4 for x in part):
                 yield bucket, part
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, n = [], 0
         for batch in rows:
-            held.append(batch.column(0).to_numpy().view(_U))
-            if sum(map(len, held)) >= 1 << 20:
-                yield from record_batches(flush(np.concatenate(held)), schema)
-                held = []
-        if held:
-            yield from record_batches(flush(np.concatenate(held)), schema)
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= 1 << 19:
+                yield from record_batches(flush(held), schema, 16)
+                held, n = [], 0
+        if n:
+            yield from record_batches(flush(held), schema, 16)
 
     return run
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return _ONES[(a ^ b).view(np.uint8).reshape(-1, 8)].sum(axis=1) <= bits
+    return np.bitwise_count(a ^ b) <= bits
 
 
-def _pair_up(masks: list[int], bits: int):
-    """Over rows sorted by bucket: links between near hashes, as packed forests."""
+def _pair_up(bits: int, similarity: float):
+    """Over rows sorted by bucket: links between candidates, as packed forests."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    # Lengths are rounded down.
+    longer = int(16 * np.log2(1 / similarity)) + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part, left, right, n = None, [], [], [], 0
 
         def close() -> None:
             nonlocal n
-            for mask, *own in zip(masks, *part):
-                sims = distinct(np.concatenate([unpack_sorted(x) for x in own]).view(_U))
-                key = sims & _U(mask)
+            for k in range(TABLES):
+                sims = np.concatenate([unpack_sorted(x[3 * k]) for x in part]).view(_U)
+                key = np.concatenate([unpack(x[3 * k + 1], np.uint32) for x in part])
+                size = np.concatenate([unpack(x[3 * k + 2], np.uint8) for x in part]).astype(np.int16)
                 order = np.argsort(key, kind="stable")
-                sims, key = sims[order], key[order]
+                sims, key, size = sims[order], key[order], size[order]
                 apart, same = 1, np.flatnonzero(key[1:] == key[:-1])  # hashes of one key that are so many places apart
                 while len(same):
-                    ok = same[near(sims[same], sims[same + apart], bits)]
+                    ok = same[near(sims[same], sims[same + apart], bits) & (np.abs(size[same] - size[same + apart]) <= longer)]
                     left.append(sims[ok].view(np.int64))
                     right.append(sims[ok + apart].view(np.int64))
                     n += len(ok)
@@ -244,6 +295,24 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return distance_within(a, b, int(longer * (1 - similarity) + 1e-9))
 
 
+def pairs_of(form: str) -> np.ndarray:
+    """Counts of the pairs of adjacent characters, hashed to 512 places."""
+    c = np.frombuffer(form.encode("utf-32-le"), np.uint32)
+    return np.bincount((c[:-1] * np.uint32(29) + c[1:]) & np.uint32(511), minlength=512)
+
+
+def possible(a: str, b: str, pairs: dict[str, np.ndarray], similarity: float) -> bool:
+    """Whether the forms can be alike: an edit spoils two pairs of characters at most."""
+    longer = max(len(a), len(b))
+    most = int(longer * (1 - similarity) + 1e-9)
+    if longer - min(len(a), len(b)) > most:
+        return False
+    for x in (a, b):
+        if x not in pairs:
+            pairs[x] = pairs_of(x)
+    return int(np.minimum(pairs[a], pairs[b]).sum()) >= longer - 1 - 2 * most
+
+
 def _at(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     """One number for a place in the corpus, for the bitmap."""
     return mix64(mix64(doc.astype(np.int64).view(_U)) + line.astype(_U)).view(np.int64)
@@ -300,12 +369,13 @@ def _verify(bits: int, similarity: float):
                 return x
 
             sims = np.array([x[2] for x in lines], np.int64).view(_U)
+            pairs: dict[str, np.ndarray] = {}
             for i in range(1, len(lines)):
-                for j in np.flatnonzero(near(sims[:i], np.full(i, sims[i]), bits)).tolist():
+                for j in np.flatnonzero(near(sims[:i], sims[i], bits)).tolist():
                     if cross and lines[j][0] == lines[i][0]:
                         continue
                     a, b = find(i), find(j)
-                    if a != b and alike(lines[i][3], lines[j][3], similarity):
+                    if a != b and possible(lines[i][3], lines[j][3], pairs, similarity) and alike(lines[i][3], lines[j][3], similarity):
                         root[max(a, b)] = min(a, b)
                         left.append(lines[i][1])
                         right.append(lines[j][1])
@@ -325,18 +395,19 @@ def _verify(bits: int, similarity: float):
     return run
 
 
-def removals(docs: DataFrame, least: int = 5, bits: int = 3, blocks: int = 6, similarity: float = 0.8, most: int = 500) -> DataFrame:
+def removals(docs: DataFrame, least: int = 5, bits: int | None = 3, similarity: float = 0.8, most: int = 500) -> DataFrame:
     """(doc_id, gone): the line numbers, from 0, that each document loses."""
+    bits = SKETCH if bits is None else bits
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = checkpoint(docs.mapInArrow(_occurrences(least), "key long, sim long, doc_id long, line int"))
+    seen = checkpoint(docs.mapInArrow(_occurrences(least), "key long, sim long, doc_id long, line int, size int, " + ", ".join(f"{b} long" for b in _BANDS)))
     lines = checkpoint(seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
     # Lines of one SimHash are candidates too, so components are over SimHashes with more than one line, or near others.
     sims = lines.groupBy("sim").agg(F.count("*").alias("own"))
-    masks = _masks(blocks, bits)
-    dealt = sims.select("sim").mapInArrow(_deal(masks, parts), "bucket int, sims array<binary>")
-    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(masks, bits), "a binary, b binary")
+    tables = seen.where("size IS NOT NULL").groupBy("sim").agg(*(F.min(c).alias(c) for c in ("size", *_BANDS)))
+    dealt = tables.select("sim", "size", *_BANDS).mapInArrow(_deal(parts), "bucket int, sims array<binary>")
+    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "a binary, b binary")
     close = connected(merge_forests(paired, max(1, parts // 16)))
     groups = sims.join(close, F.col("sim") == F.col("node"), "left").where("own > 1 OR node IS NOT NULL").select("sim", F.coalesce("component", "sim").alias("component"))
     members = checkpoint(lines.select("key", "sim", "first").join(groups, "sim"))
@@ -354,7 +425,7 @@ def removals(docs: DataFrame, least: int = 5, bits: int = 3, blocks: int = 6, si
     grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("group"), "first", "n")
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
     stays = grouped.join(kept.where(F.col("all") > 1), "group").select("key", "kept")
-    gone = seen.join(stays, "key").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
+    gone = seen.select("key", "doc_id", "line").join(stays, "key").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))  # bounded by the document's own lines
 
 

@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and near-equal lines go, but for the first of each group; n_chars follows the text."""
-    out = line_dedup.remove_lines(docs, bits=None).drop("n_lines", "n_removed")
+    out = line_dedup.remove_lines(docs, exact=1, bits=None).drop("n_lines", "n_removed")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -1,8 +1,9 @@
 """Fuzzy line dedup: one line of each group of near-equal lines is kept in the whole corpus.
 
 Lines end at line feeds.  A line is normalised to its words (runs of letters and
-digits, A-Z lower-cased) joined by one blank; lines of fewer than `least` words
-are left alone.  Two lines are linked if their normal forms are equal, or if the
+digits, A-Z lower-cased) joined by one blank.  Lines of fewer than `least` words
+are linked to equal ones only, and those of fewer than `exact` words (`least`
+unless told otherwise; the queries pass 1) are left alone.  Two lines are linked if their normal forms are equal, or if the
 edit similarity 1 - distance / longer length of their normal forms is at least
 `similarity` and they are found as candidates.  With `bits` (3 unless told
 otherwise) their 64-bit SimHashes, over their different words and word pairs,
@@ -141,14 +142,17 @@ def _long(size: np.ndarray) -> np.ndarray:
     return np.minimum(16 * np.log2(np.maximum(size, 1)), 255).astype(np.uint8)
 
 
-def _occurrences(least: int):
-    """A row for each line; length and bands only once for equal lines of a batch."""
+def _occurrences(least: int, exact: int):
+    """A row for each line of `exact` words; SimHash from `least` words on, length and bands only once for equal ones of a batch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 4 << 20):
-            key, doc, line, at, n, size, words = _lines(batch.column(1), least)
+            key, doc, line, at, n, size, words = _lines(batch.column(1), exact)
             _, pick, back = np.unique(key, return_index=True, return_inverse=True)
-            sim = simhash(words, at[pick], n[pick])[back]
+            fuzzy = n[pick] >= least
+            sim = np.zeros(len(pick), _U)
+            sim[fuzzy] = simhash(words, at[pick][fuzzy], n[pick][fuzzy])
+            pick = pick[fuzzy]
             again = np.ones(len(key), bool)
             again[pick] = False
 
@@ -157,7 +161,7 @@ def _occurrences(least: int):
                 full[pick] = values
                 return pa.array(full, mask=again)
 
-            columns = [pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), once(_long(size[pick]).astype(np.int32))]
+            columns = [pa.array(key.view(np.int64)), pa.array(sim[back].view(np.int64), mask=~fuzzy[back]), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), once(_long(size[pick]).astype(np.int32))]
             columns += [once(b) for b in bands(words, at[pick], n[pick])]
             yield pa.RecordBatch.from_arrays(columns, ["key", "sim", "doc_id", "line", "size", *_BANDS])
 
@@ -395,16 +399,16 @@ def _verify(bits: int, similarity: float):
     return run
 
 
-def removals(docs: DataFrame, least: int = 5, bits: int | None = 3, similarity: float = 0.8, most: int = 500) -> DataFrame:
+def removals(docs: DataFrame, least: int = 5, exact: int | None = None, bits: int | None = 3, similarity: float = 0.8, most: int = 500) -> DataFrame:
     """(doc_id, gone): the line numbers, from 0, that each document loses."""
     bits = SKETCH if bits is None else bits
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = checkpoint(docs.mapInArrow(_occurrences(least), "key long, sim long, doc_id long, line int, size int, " + ", ".join(f"{b} long" for b in _BANDS)))
+    seen = checkpoint(docs.mapInArrow(_occurrences(least, min(least, exact or least)), "key long, sim long, doc_id long, line int, size int, " + ", ".join(f"{b} long" for b in _BANDS)))
     lines = checkpoint(seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
     # Lines of one SimHash are candidates too, so components are over SimHashes with more than one line, or near others.
-    sims = lines.groupBy("sim").agg(F.count("*").alias("own"))
+    sims = lines.where("sim IS NOT NULL").groupBy("sim").agg(F.count("*").alias("own"))
     tables = seen.where("size IS NOT NULL").groupBy("sim").agg(*(F.min(c).alias(c) for c in ("size", *_BANDS)))
     dealt = tables.select("sim", "size", *_BANDS).mapInArrow(_deal(parts), "bucket int, sims array<binary>")
     paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "a binary, b binary")

@@ -41,7 +41,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
+    out = line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=1, bits=None)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -26,3 +26,11 @@ def test_lines_by_edit_similarity(spark, tmp_path):
     gone = {r.doc_id for r in queries.op3_line_dedup(spark, str(tmp_path)).collect() if r.n_removed}
     assert len(near) > 40 and gone <= set(near)
     assert len(gone) >= 0.95 * len(near)
+
+
+def test_short_lines_that_repeat(spark, tmp_path):
+    """Lines of one to four words stay once in the whole corpus; near-equal ones and lines without words stay."""
+    rows = [(i, f"Read more\n--\nPage {i} of {i + 1}\nHome\nall rights are reserved", "en", "s", 1) for i in range(5)]
+    Fx.frame(spark, [*rows, (9, "home!\nall rights were reserved\n\n", "en", "s", 1)]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: (5, 0), **{i: (5, 3) for i in range(1, 5)}, 9: (4, 1)}

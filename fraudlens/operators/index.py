@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.quantize import squared_distance
+from ..lineage import checkpoint
 
 MAGIC = "fraudlens-ivf"
 
@@ -55,24 +56,14 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame, initial: DataFrame) ->
     return initial.join(sums.select("cell_id", mean.alias("mean")), "cell_id", "left").select("cell_id", F.coalesce("mean", "c").alias("c"))
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut; in the shared checkpoint folder, so that a lost executor costs nothing."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def kmeans(vectors: DataFrame, k: int, iterations: int = S.KMEANS_ITERATIONS, order: Column | None = None) -> DataFrame:
     """Fine centroids after exactly `iterations` Lloyd steps."""
-    initial = _fixed(initial_centroids(vectors, k, order))
+    initial = checkpoint(initial_centroids(vectors, k, order))
     if initial.count() < k:
         raise ValueError(f"fewer than {k} vectors")
     centroids = initial
     for _ in range(iterations):
-        centroids = _fixed(lloyd_step(vectors, centroids, initial))
+        centroids = checkpoint(lloyd_step(vectors, centroids, initial))
     return centroids
 
 
@@ -106,9 +97,9 @@ def ordered(vectors: DataFrame, assigned: DataFrame, cells: DataFrame, block_siz
 def build(vectors: DataFrame, k: int = S.MAX_CENTROIDS, iterations: int = S.KMEANS_ITERATIONS, block_size: int = S.BLOCK_SIZE, order: Column | None = None) -> Index:
     """Assigns by the fine centroids and only then quantises them."""
     fine = kmeans(vectors, k, iterations, order)
-    assigned = _fixed(assign(vectors, fine))
+    assigned = checkpoint(assign(vectors, fine))
     cells = offsets(assigned, fine)
-    rows = _fixed(ordered(vectors, assigned, cells, block_size))
+    rows = checkpoint(ordered(vectors, assigned, cells, block_size))
     zero = F.array(*[F.lit(0).cast("smallint")] * S.DIMS)
     boxed = cells.join(bounds(rows, "cell_id").drop("n"), "cell_id", "left").select("cell_id", "cnt", "start", F.coalesce("min_q", zero).alias("min_q"), F.coalesce("max_q", zero).alias("max_q"))
     meta = rows.agg(F.count("*").alias("num_vectors")).select(F.lit(MAGIC).alias("magic"), F.lit(5).alias("version"), "num_vectors", F.lit(k).alias("num_centroids"), F.lit(S.DIMS_PADDED).alias("dims_padded"), F.lit(block_size).alias("block_size"))

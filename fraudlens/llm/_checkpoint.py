@@ -1,21 +1,5 @@
-"""Reliable checkpoints in the folder that the session names."""
+"""The library's helpers for cutting lineage, under the names the operators use."""
 
-from __future__ import annotations
+from ..lineage import checkpoint, checkpoint_dir, scratch, stored
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one is only made up where the session names none, as in tests."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back, without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpoint", "checkpoint_dir", "scratch", "stored"]

@@ -1,8 +1,8 @@
-"""Connected components: inside one array of edges, and of an edge table."""
+"""Connected components: inside one array of edges, and of an edge table; confirmation of links within clusters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +61,16 @@ def pack_edges(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
     return pack_sorted(a), pack(b)
 
 
-def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component): every node of edges(a, b) with the smallest node of its component.
 
     Alternating large-star and small-star steps, each a grouped minimum and a
-    join, checkpointed each round; about log(diameter) rounds.  Loops and
-    repeated edges are allowed; nulls are dropped.
+    join, checkpointed each round; about log(diameter) rounds, until nothing
+    changes.  Loops and repeated edges are allowed; nulls are dropped.
     """
     edges = checkpoint(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -81,6 +81,65 @@ def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if tuple(row) == mark:
             break
         mark = tuple(row)
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+
+
+def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: int) -> DataFrame:
+    """(node, component): components of the confirmed links among the nodes of each cluster.
+
+    clusters(node, component) says which nodes must be compared; payload has a
+    column node and what `check` needs.  check is given rows (component, one, two,
+    side, node, payload columns) sorted by the first four; it compares all rows
+    of a (component, one, two), or only those of side 0 with those of side 1 if
+    both occur, and returns confirmed links as packed forests.
+
+    A cluster of up to `most` nodes is one group.  A larger one is cut into
+    blocks of about that size, and
+
+    1. each block is compared in itself;
+    2. one node of each set found so far is compared with those of the other sets;
+    3. what is not in the cluster's largest set by then is compared with every
+       node of the cluster.
+
+    So no link between two sets is left out, and a cluster whose nodes mostly
+    belong together costs a few texts a node, not one for each other block.
+    """
+    spark = payload.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = [c for c in payload.columns if c != "node"]
+    count = lambda n: F.ceil(n / most).cast("int")
+    of = lambda blocks, salt=0: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def run(rows: DataFrame) -> DataFrame:
+        rows = rows.select("component", "one", "two", "side", "node").join(texts, "node").select("component", "one", "two", "side", "node", *columns)
+        rows = rows.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "side")
+        return checkpoint(merge_forests(rows.mapInArrow(check, "a binary, b binary"), max(1, parts // 4)))
+
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("blocks", count(F.col("size")))
+    placed = checkpoint(clusters.join(sizes, "component").select("component", "node", "blocks"))
+    texts = payload.join(clusters.select("node"), "node", "left_semi")
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return connected(run(placed.select("component", "node", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"))))
+    texts = checkpoint(texts)
+    own = of(F.col("blocks"))
+    edges = run(placed.select("component", "node", own.alias("one"), own.alias("two"), F.lit(0).alias("side")))
+
+    def labelled() -> DataFrame:
+        found = connected(edges).withColumnRenamed("component", "label")
+        return checkpoint(large.join(found, "node", "left").select("component", "node", "blocks", F.coalesce("label", "node").alias("label")))
+
+    heads = labelled().where("node = label").select("component", "node")
+    heads = heads.join(heads.groupBy("component").agg(count(F.count("*")).alias("n")), "component")
+    mine = heads.withColumn("own", of(F.col("n"), 1)).select("component", "node", "own", upto("n").alias("other"))
+    low = F.least("own", "other")
+    edges = checkpoint(edges.union(run(mine.select("component", "node", low.alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > low).cast("int").alias("side")))))
+    now = labelled()
+    main = now.groupBy("component", "label").count().groupBy("component").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
+    rest = now.join(main, "component").where("label <> main").select("component", "node", "blocks")
+    some = rest.groupBy("component").agg(count(F.count("*")).alias("n"))
+    left = rest.join(some, "component").select("component", "node", of(F.col("n"), 2).alias("one"), upto("blocks").alias("two"), F.lit(0).alias("side"))
+    right = now.join(some, "component").select("component", "node", own.alias("two"), upto("n").alias("one"), F.lit(1).alias("side"))
+    return connected(edges.union(run(left.unionByName(right))))

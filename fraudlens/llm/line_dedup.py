@@ -1,60 +1,69 @@
 """Fuzzy line dedup: one line of each group of near-equal lines is kept in the whole corpus.
 
 Lines end at line feeds.  A line is normalised to its words (runs of letters and
-digits, A-Z lower-cased) joined by one blank.  Lines of fewer than `least` words
-are linked to equal ones only, and those of fewer than `exact` words (`least`
-unless told otherwise; the queries pass 1) are left alone.  Two lines are linked if their normal forms are equal, or if the
-edit similarity 1 - distance / longer length of their normal forms is at least
-`similarity` and they are found as candidates.  With `bits` (3 unless told
-otherwise) their 64-bit SimHashes, over their different words and word pairs,
-must also differ in at most so many places; the queries pass bits=None, so that
-edit similarity alone decides among the candidates.  Of each connected group
-the occurrence with the smallest (doc_id, line number) stays; all others are
-removed.
-
-Candidates agree in all three MinHashes (over word pairs) of one of 16 tables,
-in length within the similarity, and in all but SKETCH places of their
-SimHashes.  This is what the method can miss; the README has its recall.
+digits, A-Z lower-cased) joined by one blank; lines without words are left
+alone.  Two lines are linked if their normal forms are equal, or, both having at
+least `least` words, if the edit similarity 1 - distance / longer length of
+their normal forms is at least `similarity` and they are found as candidates.
+Of each connected group the occurrence with the smallest (doc_id, text digest,
+line number) stays; all others are removed.
+
+Candidates share a pigeonhole block and differ in at most `bits` places of their
+SimHashes.  Cutting a 64-bit SimHash itself into blocks finds few lines of edit
+similarity 0.8 (a changed word moves some 7 bits), so the pigeonholes are dealt
+out before the majority is taken: a line's features fall by their hash into
+BLOCKS blocks, and each block has a hash of its own features.  Lines that differ
+in fewer than BLOCKS features have a block in common for certain, others very
+likely.  The features are the different words for long lines, in blocks of at
+least three; short lines have too few words for that, and take adjacent pairs.
+Lines of middle length have both kinds.  What is missed are lines edited in most
+of their words; the README has the recall measured.
 
 1. A narrow pass hashes the lines; equal ones meet in a grouped minimum.
-2. The distinct SimHashes are dealt out packed, once for each table, by its three
-   MinHashes; pairs that pass the tests above become a forest in each task, no
+2. The sketches are dealt out packed, once for each block, by the block's hash;
+   pairs that share one and pass the tests above become a forest in each task, no
    pair is emitted.
 3. Components of these links gather the candidates.  The normal forms of their
-   lines are read again (a bitmap of fixed size keeps others out) and sent to
-   their component, where pairs are verified by Myers' bit-parallel distance;
-   components above `most` lines are cut into blocks and every pair of blocks is
-   compared in its own task.
-4. Components of the verified links give the groups.
-
-A null text stays null, an empty one empty.  doc_ids should be unique: rows of
-one doc_id lose the same line numbers.  Rows with a null doc_id take no part and
-keep all lines.
+   lines are read again (a bitmap keeps others out) and sent to their component,
+   where they are verified by Myers' bit-parallel distance; see
+   _graph.confirmed() for large components.
+4. Components of the verified links give the groups.  Keys that hold more lines
+   than a shuffle partition's share are few, so these meet their lines by a
+   broadcast, the others by a join.
+
+A null text stays null, an empty one empty.  Rows are told apart by doc_id and
+text: equal ones are the same document and lose the same lines, others of one
+doc_id are judged each by itself.  Rows with a null doc_id take no part and keep
+all lines.  Texts and lines may have any length.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._checkpoint import checkpoint
-from ._graph import connected, forest, merge_forests, pack_edges
+from ._bitmap import Bitmap, member_bitmap
+from ._checkpoint import checkpoint, stored
+from ._graph import confirmed, connected, forest, merge_forests, pack_edges
 from ._packed import pack, pack_sorted, record_batches, runs, unpack, unpack_sorted
 from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
-from .minhash_dedup import _places, member_bitmap
 
 _U = np.uint64
 _HASHER = Hasher(131, lower=True)
-#: MinHash tables and the hashes of each; a table's three make 32 bits, two tables fill a long.
-TABLES, DEPTH = 16, 3
-#: Places in which the SimHashes of candidates may differ.
-SKETCH = 22
-_BANDS = [f"b{k}" for k in range(TABLES // 2)]
+#: Blocks of each kind of features.
+BLOCKS = 12
+#: Lines of fewer words than the first number may need blocks of pairs, those of at least the second blocks of words.
+#: They overlap so far that lines of edit similarity 0.8 have a kind in common: 24 words are the border.
+PAIRS_BELOW, WORDS_FROM = 32, 18
+#: Places of 64 in which the SimHashes of candidates may differ.
+BITS = 19
 
 
 def _lines(column: pa.Array, least: int):
@@ -87,54 +96,64 @@ def _lines(column: pa.Array, least: int):
 _LANES = np.array([sum((v >> b & 1) << 16 * b for b in range(4)) for v in range(16)], _U)
 
 
-def simhash(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The majority of each bit over the different words and adjacent word pairs of each slice."""
-    if not len(at):
-        return np.zeros(0, _U)
-    total = int(n.sum())
-    line = np.repeat(np.arange(len(at)), n)
-    index = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
-    own = words[index]
-    pair = np.flatnonzero(line[1:] == line[:-1])
-    both = mix64(own[pair] * _U(3) + own[pair + 1])
-    # Up to 2**24 lines at once, and 40 bits of each feature.
-    feature = distinct(np.r_[line, line[pair]].astype(_U) << _U(40) | np.r_[own, both] >> _U(24))
-    first = np.searchsorted(feature, np.arange(len(at) + 1, dtype=_U) << _U(40))
+def _sets(features: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(40 bits of each different feature, first): the sets of n lines one after another, ascending."""
+    both = distinct(line.astype(_U) << _U(40) | features >> _U(24))  # up to 2**24 lines at once
+    return both & _U((1 << 40) - 1), np.searchsorted(both, np.arange(n + 1, dtype=_U) << _U(40))
+
+
+def _majority(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: the majority of each bit."""
     m = np.diff(first)
-    feature = mix64((feature & _U((1 << 40) - 1)) + _U(1))
-    out = np.zeros(len(at), _U)
-    short = m < 1 << 16
+    out = np.zeros(len(m), _U)
+    if not len(m):
+        return out
+    feature = mix64(feature + _U(1))
     for k in range(16):
         sums = np.add.reduceat(_LANES[(feature >> _U(4 * k) & _U(15)).astype(np.int64)], first[:-1])
         for b in range(4):
             out |= (2 * (sums >> _U(16 * b) & _U(0xFFFF)).astype(np.int64) > m).astype(_U) << _U(4 * k + b)
-    for i in np.flatnonzero(~short):  # counters of 16 bits don't hold these
+    for i in np.flatnonzero(m >= 1 << 16):  # counters of 16 bits don't hold these
         f = feature[first[i] : first[i + 1]]
         out[i] = sum(int(2 * int((f >> _U(b) & _U(1)).sum()) > m[i]) << b for b in range(64))
     return out
 
 
-def bands(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """The MinHashes of each slice's word pairs (the last word stands alone), two tables in each array."""
+def _pigeonholes(feature: np.ndarray, first: np.ndarray, kind: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each block of at least `least` features; blocks of another kind or number have other hashes."""
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # Features ascend within a line, and so do their blocks.
+    block = line * BLOCKS + ((feature >> _U(8)) * _U(BLOCKS) >> _U(32)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+    if not len(cut):
+        return cut, np.zeros(0, np.uint32)
+    size = np.diff(np.r_[cut, len(block)])
+    which = block[cut]
+    key = mix64(np.add.reduceat(mix64(feature ^ _U(0x5BD1E995)), cut) + (which % BLOCKS + BLOCKS * kind).astype(_U)) >> _U(32)
+    enough = size >= least
+    return which[enough] // BLOCKS, key[enough].astype(np.uint32)
+
+
+def sketch(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines as slices of words: their SimHashes, and (line, hash) of their pigeonhole blocks."""
     if not len(at):
-        return [np.zeros(0, np.int64)] * len(_BANDS)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     first = np.cumsum(n) - n
+    line = np.repeat(np.arange(len(at)), n)
     own = words[np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(at, n)]
-    feature = mix64(own * _U(3) + np.r_[own[1:], _U(0)])
-    last = first + n - 1
-    feature[last] = mix64(own[last] + _U(99))
-    out, seed = [], 0
-    for _ in _BANDS:
-        both = np.zeros(len(at), _U)
-        for half in range(2):
-            band = np.zeros(len(at), _U)
-            for _ in range(DEPTH):
-                seed += 1
-                salt = int(mix64(np.array([seed], _U))[0])
-                band = mix64(band * _U(3) + np.minimum.reduceat((feature ^ _U(salt)) * _U(salt | 1), first))
-            both |= band >> _U(32) << _U(32 * half)
-        out.append(both.view(np.int64))
-    return out
+    feature, cuts = _sets(own, line, len(at))
+    sim = _majority(feature, cuts)
+    long = np.repeat(n >= WORDS_FROM, np.diff(cuts))
+    cut = np.r_[0, np.cumsum(np.where(n >= WORDS_FROM, np.diff(cuts), 0))]
+    who, hole = _pigeonholes(feature[long], cut, 0, 3)
+    short = np.flatnonzero(n < PAIRS_BELOW)
+    of = np.flatnonzero((n < PAIRS_BELOW)[line])
+    # The borders of the line make pairs with its first and last word.
+    before = np.where(of == first[line[of]], _U(1), own[of - 1])
+    ends = own[(first + n - 1)[short]]
+    feature, cut = _sets(np.r_[mix64(before * _U(3) + mix64(own[of] + _U(7))), mix64(ends * _U(3) + _U(2))], np.r_[line[of], short], len(at))
+    who2, hole2 = _pigeonholes(feature, cut, 1, 1)
+    return sim, np.r_[who, who2], np.r_[hole, hole2]
 
 
 def _long(size: np.ndarray) -> np.ndarray:
@@ -142,58 +161,43 @@ def _long(size: np.ndarray) -> np.ndarray:
     return np.minimum(16 * np.log2(np.maximum(size, 1)), 255).astype(np.uint8)
 
 
-def _occurrences(least: int, exact: int):
-    """A row for each line of `exact` words; SimHash from `least` words on, length and bands only once for equal ones of a batch."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 4 << 20):
-            key, doc, line, at, n, size, words = _lines(batch.column(1), exact)
-            _, pick, back = np.unique(key, return_index=True, return_inverse=True)
-            fuzzy = n[pick] >= least
-            sim = np.zeros(len(pick), _U)
-            sim[fuzzy] = simhash(words, at[pick][fuzzy], n[pick][fuzzy])
-            pick = pick[fuzzy]
-            again = np.ones(len(key), bool)
-            again[pick] = False
-
-            def once(values: np.ndarray) -> pa.Array:
-                full = np.zeros(len(key), values.dtype)
-                full[pick] = values
-                return pa.array(full, mask=again)
-
-            columns = [pa.array(key.view(np.int64)), pa.array(sim[back].view(np.int64), mask=~fuzzy[back]), batch.column(0).take(pa.array(doc)), pa.array(line.astype(np.int32)), once(_long(size[pick]).astype(np.int32))]
-            columns += [once(b) for b in bands(words, at[pick], n[pick])]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "sim", "doc_id", "line", "size", *_BANDS])
-
-    return run
-
-
-def _deal(buckets: int):
-    """SimHashes dealt out by each table; one row for each bucket has the hashes, bands and lengths of every table, one after another."""
-    schema = pa.schema([("bucket", pa.int32()), ("sims", pa.list_(pa.binary()))])
-
-    def flush(held: list[list[np.ndarray]]) -> Iterator[tuple]:
-        sims, size, *packed = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(sims)
-        sims, size = sims[order], size[order].astype(np.uint8)
-        sent: list[list[bytes]] = [[b"\0\0\0\0"] * (3 * TABLES) for _ in range(buckets)]
-        for k in range(TABLES):
-            band = (packed[k // 2][order].view(_U) >> _U(32 * (k % 2))).astype(np.uint32)
-            to = ((mix64(band.astype(_U) + (_U(k) << _U(32))) >> _U(32)) % _U(buckets)).astype(np.int32)
-            order_ = np.argsort(to, kind="stable")
-            for a, b in runs(to[order_]):
-                part = order_[a:b]
-                sent[to[part[0]]][3 * k : 3 * k + 3] = pack_sorted(sims[part]), pack(band[part]), pack(size[part])
-        for bucket, part in enumerate(sent):
-            if any(len(x) > 4 for x in part):
-                yield bucket, part
+def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, h, line) of each line with words."""
+    for batch in batches(rows, 4 << 20):
+        key, doc, line, *_ = _lines(batch.column(2), 1)
+        doc = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(line.astype(np.int32))], ["key", "doc_id", "h", "line"])
+
+
+def _deal(buckets: int, least: int):
+    """Sketches dealt out by block: a row for each bucket with the blocks' hashes and the lines' keys, SimHashes and lengths."""
+    schema = pa.schema([("bucket", pa.int32()), ("hole", pa.binary()), ("key", pa.binary()), ("sim", pa.binary()), ("size", pa.binary())])
+
+    def flush(held: list[tuple]) -> Iterator[tuple]:
+        key, sim, size, who, hole = (np.concatenate(x) for x in zip(*held))
+        base = np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[3]) for x in held])
+        who = who + base
+        _, one = np.unique(key, return_index=True)
+        ok = np.zeros(len(key), bool)
+        ok[one] = True
+        ok = ok[who]
+        who, hole = who[ok], hole[ok]
+        to = ((mix64(hole.astype(_U)) >> _U(32)) % _U(buckets)).astype(np.int32)
+        order = np.lexsort((key[who], to))
+        who, hole, to = who[order], hole[order], to[order]
+        for a, b in runs(to):
+            w = who[a:b]
+            yield int(to[a]), pack(hole[a:b]), pack_sorted(key[w].view(np.int64)), pack(sim[w]), pack(size[w])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in rows:
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= 1 << 19:
+        for batch in batches(rows, 4 << 20):
+            key, _, _, at, m, size, words = _lines(batch.column(0), least)
+            _, pick = np.unique(key, return_index=True)
+            sim, who, hole = sketch(words, at[pick], m[pick])
+            held.append((key[pick], sim, _long(size[pick]), who, hole))
+            n += len(pick)
+            if n >= 1 << 17:
                 yield from record_batches(flush(held), schema, 16)
                 held, n = [], 0
         if n:
@@ -217,23 +221,27 @@ def _pair_up(bits: int, similarity: float):
 
         def close() -> None:
             nonlocal n
-            for k in range(TABLES):
-                sims = np.concatenate([unpack_sorted(x[3 * k]) for x in part]).view(_U)
-                key = np.concatenate([unpack(x[3 * k + 1], np.uint32) for x in part])
-                size = np.concatenate([unpack(x[3 * k + 2], np.uint8) for x in part]).astype(np.int16)
-                order = np.argsort(key, kind="stable")
-                sims, key, size = sims[order], key[order], size[order]
-                apart, same = 1, np.flatnonzero(key[1:] == key[:-1])  # hashes of one key that are so many places apart
-                while len(same):
-                    ok = same[near(sims[same], sims[same + apart], bits) & (np.abs(size[same] - size[same + apart]) <= longer)]
-                    left.append(sims[ok].view(np.int64))
-                    right.append(sims[ok + apart].view(np.int64))
-                    n += len(ok)
-                    apart += 1
-                    same = same[same + apart < len(key)]
-                    same = same[key[same + apart] == key[same]]
-                    if n > 1 << 20:
-                        thin()
+            hole = np.concatenate([unpack(x[0], np.uint32) for x in part])
+            key = np.concatenate([unpack_sorted(x[1]) for x in part])
+            sim = np.concatenate([unpack(x[2], _U) for x in part])
+            size = np.concatenate([unpack(x[3], np.uint8) for x in part]).astype(np.int16)
+            part.clear()
+            order = np.lexsort((key, hole))
+            hole, key, sim, size = hole[order], key[order], sim[order], size[order]
+            # Tasks send equal lines each.
+            new = np.r_[True, (hole[1:] != hole[:-1]) | (key[1:] != key[:-1])]
+            hole, key, sim, size = hole[new], key[new], sim[new], size[new]
+            apart, same = 1, np.flatnonzero(hole[1:] == hole[:-1])  # lines of one block that are so many places apart
+            while len(same):
+                ok = same[near(sim[same], sim[same + apart], bits) & (np.abs(size[same] - size[same + apart]) <= longer)]
+                left.append(key[ok])
+                right.append(key[ok + apart])
+                n += len(ok)
+                apart += 1
+                same = same[same + apart < len(hole)]
+                same = same[hole[same + apart] == hole[same]]
+                if n > 1 << 20:
+                    thin()
 
         def thin() -> None:
             nonlocal n
@@ -241,12 +249,11 @@ def _pair_up(bits: int, similarity: float):
             left[:], right[:], n = [x], [y], len(x)
 
         for batch in rows:
-            for bucket, sims in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at and part:
                     close()
-                    part.clear()
                 at = bucket
-                part.append(sims)
+                part.append(packed)
         if part:
             close()
         if n:
@@ -271,8 +278,12 @@ def distance_within(a: str, b: str, most: int) -> bool:
         k += 1
     if k:
         a, b = a[:-k], b[:-k]
+    if max(len(a), len(b)) <= most:
+        return True
     if not a or not b:
-        return len(a) + len(b) <= most
+        return False
+    if len(a) == len(b) and sum(map(ne, a, b)) <= most:
+        return True
     m, peq = len(a), {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
@@ -317,44 +328,44 @@ def possible(a: str, b: str, pairs: dict[str, np.ndarray], similarity: float) ->
     return int(np.minimum(pairs[a], pairs[b]).sum()) >= longer - 1 - 2 * most
 
 
-def _at(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+def _at(doc: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
     """One number for a place in the corpus, for the bitmap."""
-    return mix64(mix64(doc.astype(np.int64).view(_U)) + line.astype(_U)).view(np.int64)
+    return mix64(mix64(doc.astype(np.int64).view(_U) + mix64(h.view(_U))) + line.astype(_U)).view(np.int64)
 
 
-def _forms(bitmap):
-    """(doc_id, line, form): normal forms of the lines at the places that the bitmap may have."""
+def _forms(raw):
+    """(doc_id, h, line, form): normal forms of the lines at the places that the bitmap may have."""
     word = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
+        bitmap = Bitmap(raw.value)
         for batch in batches(rows, 4 << 20):
-            data, off = text_buffers(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             feeds = np.flatnonzero(data[off[0] : off[-1]] == 10) + int(off[0])
             # Borders of all lines of all texts: a line starts at a text's start and after each feed.
             doc = np.r_[np.arange(len(off) - 1), np.searchsorted(off, feeds, side="right") - 1]
-            start, end = np.r_[off[:-1], feeds + 1], None
+            start = np.r_[off[:-1], feeds + 1]
             order = np.lexsort((start, doc))
             doc, start = doc[order], start[order]
             end = np.r_[start[1:] - 1, off[-1]]
             last = np.r_[doc[1:] != doc[:-1], True]
             end[last] = off[1:][doc[last]]
             line = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            one, two = _places(_at(batch.column(0).to_numpy()[doc], line))
-            hit = np.flatnonzero(bits[one] & bits[two])
+            hit = np.flatnonzero(bitmap.has(_at(batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], line)))
             forms = [" ".join(word.findall(data[s:e].tobytes().lower().decode())) for s, e in zip(start[hit].tolist(), end[hit].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[hit])), pa.array(line[hit].astype(np.int32)), pa.array(forms, pa.string())], ["doc_id", "line", "form"])
+            where = pa.array(doc[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(line[hit].astype(np.int32)), pa.array(forms, pa.string())], ["doc_id", "h", "line", "form"])
 
     return run
 
 
 def _place_column(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(_at(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["place"])
+        yield pa.RecordBatch.from_arrays([pa.array(_at(*(c.to_numpy() for c in batch.columns)))], ["place"])
 
 
 def _verify(bits: int, similarity: float):
-    """Over rows (component, one, two, side, key, sim, form) sorted by the first four: verified links as packed forests."""
+    """Over rows (component, one, two, side, node, form) sorted by the first four: verified links as packed forests."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +374,12 @@ def _verify(bits: int, similarity: float):
         def close() -> None:
             if len(lines) < 2:
                 return
-            cross = lines[-1][0] == 1
+            side, key, form = zip(*lines)
+            raw, offsets = text_buffers(pa.array(form, pa.large_string()))
+            start, end, first = word_bounds(raw, offsets, LETTERS)
+            sims, _, _ = sketch(_HASHER.hash(raw, start, end), first[:-1], np.diff(first))
+            size = np.array([*map(len, form)])
+            side = np.array(side)
             root = list(range(len(lines)))
 
             def find(x: int) -> int:
@@ -372,24 +388,25 @@ def _verify(bits: int, similarity: float):
                     x = root[x]
                 return x
 
-            sims = np.array([x[2] for x in lines], np.int64).view(_U)
             pairs: dict[str, np.ndarray] = {}
-            for i in range(1, len(lines)):
-                for j in np.flatnonzero(near(sims[:i], sims[i], bits)).tolist():
-                    if cross and lines[j][0] == lines[i][0]:
-                        continue
+            # Across two sides only the second side's lines look back, at the first side's.
+            begin, upto = (1, None) if side[-1] == side[0] else (int(np.searchsorted(side, 1)), int(np.searchsorted(side, 1)))
+            for i in range(begin, len(lines)):
+                m = i if upto is None else upto
+                ok = near(sims[:m], sims[i], bits) & (np.minimum(size[:m], size[i]) >= np.maximum(size[:m], size[i]) * similarity - 1e-6)
+                for j in np.flatnonzero(ok).tolist():
                     a, b = find(i), find(j)
-                    if a != b and possible(lines[i][3], lines[j][3], pairs, similarity) and alike(lines[i][3], lines[j][3], similarity):
+                    if a != b and possible(form[i], form[j], pairs, similarity) and alike(form[i], form[j], similarity):
                         root[max(a, b)] = min(a, b)
-                        left.append(lines[i][1])
-                        right.append(lines[j][1])
+                        left.append(key[i])
+                        right.append(key[j])
 
         for batch in rows:
-            for component, one, two, side, key, sim, form in zip(*(c.to_pylist() for c in batch.columns)):
+            for component, one, two, side, key, form in zip(*(c.to_pylist() for c in batch.columns)):
                 if (component, one, two) != at:
                     close()
                     at, lines = (component, one, two), []
-                lines.append((side, key, sim, form))
+                lines.append((side, key, form))
         close()
         if left:
             a, b = np.array(left, np.int64), np.array(right, np.int64)
@@ -399,48 +416,63 @@ def _verify(bits: int, similarity: float):
     return run
 
 
-def removals(docs: DataFrame, least: int = 5, exact: int | None = None, bits: int | None = 3, similarity: float = 0.8, most: int = 500) -> DataFrame:
-    """(doc_id, gone): the line numbers, from 0, that each document loses."""
-    bits = SKETCH if bits is None else bits
+def removals(docs: DataFrame, least: int = 5, bits: int = BITS, similarity: float = 0.8, most: int = 500) -> DataFrame:
+    """(doc_id, h, gone): the line numbers, from 0, that each document loses; h is the text's 64-bit hash."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = checkpoint(docs.mapInArrow(_occurrences(least, min(least, exact or least)), "key long, sim long, doc_id long, line int, size int, " + ", ".join(f"{b} long" for b in _BANDS)))
-    lines = checkpoint(seen.groupBy("key").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
-    # Lines of one SimHash are candidates too, so components are over SimHashes with more than one line, or near others.
-    sims = lines.where("sim IS NOT NULL").groupBy("sim").agg(F.count("*").alias("own"))
-    tables = seen.where("size IS NOT NULL").groupBy("sim").agg(*(F.min(c).alias(c) for c in ("size", *_BANDS)))
-    dealt = tables.select("sim", "size", *_BANDS).mapInArrow(_deal(parts), "bucket int, sims array<binary>")
+    text = F.col("text").cast("string")
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    seen = stored(docs.mapInArrow(_occurrences, "key long, doc_id long, h long, line int"))
+    lines = checkpoint(seen.groupBy("key").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.count("*").alias("n")))
+    dealt = docs.select("text").mapInArrow(_deal(parts, least), "bucket int, hole binary, key binary, sim binary, size binary")
     paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "a binary, b binary")
-    close = connected(merge_forests(paired, max(1, parts // 16)))
-    groups = sims.join(close, F.col("sim") == F.col("node"), "left").where("own > 1 OR node IS NOT NULL").select("sim", F.coalesce("component", "sim").alias("component"))
-    members = checkpoint(lines.select("key", "sim", "first").join(groups, "sim"))
-    sizes = members.groupBy("component").count().select("component", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    places = members.select("first.doc_id", "first.line").mapInArrow(_place_column, "place long")
-    bitmap = spark.sparkContext.broadcast(member_bitmap(places))
-    forms = docs.mapInArrow(_forms(bitmap), "doc_id long, line int, form string")
-    forms = forms.join(members.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), ["doc_id", "line"]).select("key", "form").dropDuplicates(["key"])
-    placed = members.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(key), blocks)").cast("int"))
-    sent = forms.join(placed, "key").select("component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "key", "sim", "form")
-    one, two = F.least("own", "other"), F.greatest("own", "other")
-    sent = sent.select("component", one.alias("one"), two.alias("two"), (F.col("own") > one).cast("int").alias("side"), "key", "sim", "form")
-    verified = sent.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "side").mapInArrow(_verify(bits, similarity), "a binary, b binary")
-    found = connected(merge_forests(verified, max(1, parts // 16)))
+    close = connected(merge_forests(paired, max(1, parts // 4)))
+    members = checkpoint(lines.join(close, F.col("key") == F.col("node")).select("node", "component", "first.*"))
+    places = members.select("doc_id", "h", "line").mapInArrow(_place_column, "place long")
+    forms = docs.mapInArrow(_forms(member_bitmap(places)), "doc_id long, h long, line int, form string")
+    # Equal rows hold a line each.
+    forms = forms.join(members, ["doc_id", "h", "line"]).select("node", "form").dropDuplicates(["node"])
+    found = confirmed(members.select("node", "component"), forms, _verify(bits, similarity), most)
     grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("group"), "first", "n")
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
-    stays = grouped.join(kept.where(F.col("all") > 1), "group").select("key", "kept")
-    gone = seen.select("key", "doc_id", "line").join(stays, "key").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))  # bounded by the document's own lines
+    stays = checkpoint(grouped.join(kept.where(F.col("all") > 1), "group").select("key", "n", "kept"))
+    # At most `parts` keys can hold more than the share of a partition.
+    share = max(1, lines.agg(F.sum("n")).first()[0] or 0) / parts
+    hot = F.broadcast(stays.where(F.col("n") > share).select("key", "kept"))
+    rows = seen.join(hot, "key").unionByName(seen.join(hot.select("key"), "key", "left_anti").join(stays.where(F.col("n") <= share).select("key", "kept"), "key"))
+    gone = rows.where(F.struct("doc_id", "h", "line") != F.col("kept"))
+    return gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))  # bounded by the document's own lines
+
+
+def _cut(at: int, names: list[str]):
+    """Rows (the document's columns as a struct, gone) to those columns, n_lines and n_removed; text without the lines gone."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            columns = batch.column(0).flatten()
+            texts, n, removed = [], [], []
+            for text, gone in zip(columns[at], batch.column(1)):
+                text, gone = text.as_py(), gone.as_py()
+                if text is not None and gone:
+                    lines, drop = text.split("\n"), set(gone)
+                    text = "\n".join([x for k, x in enumerate(lines) if k not in drop])
+                    n.append(len(lines))
+                else:
+                    n.append(0 if text is None else text.count("\n") + 1)
+                texts.append(text)
+                removed.append(len(gone or ()))
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names)
+
+    return run
 
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
-    """All columns of docs, text without the removed lines, plus n_lines and n_removed (long)."""
-    gone = removals(docs, **options).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    held = docs.drop("n_lines", "n_removed")
-    columns = held.columns
-    joined = held.join(gone, held["doc_id"] == F.col("_doc"), "left")
-    split = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    n = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns), F.greatest(n, F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    """All columns of docs, text without the removed lines, plus n_lines and n_removed (long; columns of these names are replaced)."""
+    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    gone = removals(docs, **options).select(F.col("doc_id").alias("of"), F.col("h").alias("hash"), "gone")
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = whole.join(gone, (F.col("row.doc_id").cast("long") == F.col("of")) & (F.xxhash64("row.text") == F.col("hash")), "left").select("row", "gone")
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return joined.mapInArrow(_cut(docs.columns.index("text"), schema.names), schema)

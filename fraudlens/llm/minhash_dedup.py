@@ -15,13 +15,16 @@ documents are linked if 100 * |intersection| >= percent * |union|.
    that a third of the documents share costs one entry per task.
 4. Documents that share keys form candidate clusters (a forest, then connected
    components); this only gathers what must be compared.
-5. The texts of clustered documents are read again (a bitmap of fixed size keeps
-   others from the shuffle) and sent to their cluster, where intersections of
-   all pairs are counted exactly as a product of membership matrices, in memory
-   and without emitting pairs.  A cluster above `block` documents is cut into
-   blocks and every pair of blocks is compared in a task of its own, so no task
-   holds more than two blocks and no pair is left out.
-6. The confirmed links give the components.
+5. The texts of clustered documents are read again (a bitmap keeps others from
+   the shuffle) and sent to their cluster, where intersections of all pairs are
+   counted exactly as a product of membership matrices, in memory and without
+   emitting pairs.  A cluster above `block` documents is cut into blocks, first
+   compared each in itself; then only sets that aren't linked yet are compared,
+   see _graph.confirmed().  No task holds more than two blocks and no pair of
+   different sets is left out.
+6. The confirmed links give the components.  Sets with more copies than a shuffle
+   partition's share meet their rows by a broadcast (at most one for each
+   partition can be that large); rows with an empty set need no join.
 
 A pair at similarity s shares a table with probability (1-(1-s**half)**groups)**2,
 0.9998 at the default threshold.
@@ -40,13 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._checkpoint import checkpoint
-from ._graph import connected, forest, merge_forests, pack_edges
+from ._bitmap import Bitmap, member_bitmap
+from ._checkpoint import checkpoint, stored
+from ._graph import confirmed, connected, forest, merge_forests, pack_edges
 from ._packed import leads, pack, record_batches, runs, unpack
 from ._words import Hasher, _splitmix, batches, mix64, text_buffers, windows, word_bounds
 
 _U = np.uint64
-_BITS = 23
 
 
 class Shingler:
@@ -102,7 +105,7 @@ def _sketch(width: int, groups: int, half: int):
                     for f in factors[k * half : (k + 1) * half]:
                         key = mix64(key) + np.minimum.reduceat(h * f, at)
                     keys[some, k] = mix64(key) >> _U(32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "h", "n_shingles", "hi", "lo", "keys"])
 
     return run
 
@@ -195,45 +198,18 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from record_batches([pack_edges(x, y)], schema)
 
 
-def _places(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix64(doc.astype(np.int64).view(_U) + _U(1))
-    mask = _U((1 << _BITS) - 1)
-    return (h & mask).astype(np.int64), ((h >> _U(32)) & mask).astype(np.int64)
-
-
-def member_bitmap(ids: DataFrame) -> bytes:
-    """A Bloom filter of 2**23 bits over a column of doc_ids, put together in the tasks and the driver."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _BITS, bool)
-        for batch in rows:
-            for place in _places(batch.column(0).to_numpy()):
-                bits[place] = True
-        words = np.packbits(bits, bitorder="little").view(_U)
-        at = np.flatnonzero(words)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "word"])
-
-    # 2**17 words at most, whatever the number of ids.
-    found = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros((1 << _BITS) // 64, np.int64)
-    words[found.column("at").to_numpy()] = found.column("word").to_numpy()
-    return words.tobytes()
-
-
-def _members(bitmap):
-    """(doc_id, z): the compressed texts of the documents that the bitmap may have."""
+def _members(raw):
+    """(node, z): the compressed texts of the documents that the bitmap may have."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
-        for batch in rows:
-            one, two = _places(batch.column(0).to_numpy())
-            batch = batch.filter(pa.array(bits[one] & bits[two]))
+        bitmap = Bitmap(raw.value)
+        for batch in batches(rows):
+            batch = batch.filter(pa.array(bitmap.has(batch.column(0).to_numpy())))
             z = [squeeze((t.as_py() or "").encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["node", "z"])
 
     return run
 
@@ -313,26 +289,28 @@ def _confirm(width: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = 14, half: int = 3, block: int = 1000) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (see the module's text)."""
+    """doc_id, n_shingles, component_id and kept of every row of docs, and h, the 64-bit hash of its text (see the module's text)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = checkpoint(docs.mapInArrow(_sketch(width, groups, half), "doc_id long, n_shingles long, hi long, lo long, keys binary"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    sketch = stored(docs.mapInArrow(_sketch(width, groups, half), "doc_id long, h long, n_shingles long, hi long, lo long, keys binary"))
     named = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    reps = checkpoint(named.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
     bands = reps.select("rep", "keys").mapInArrow(_bands(groups, 2 * parts), "bucket int, a binary, b binary")
     met = bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a binary, b binary")
-    clusters = checkpoint(connected(merge_forests(met, max(1, parts // 16))))
-    sizes = clusters.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    texts = docs.where("doc_id IS NOT NULL").mapInArrow(_members(spark.sparkContext.broadcast(member_bitmap(clusters.select("node")))), "doc_id long, z binary")
-    placed = clusters.join(sizes, "component").withColumn("own", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    sent = texts.join(placed, F.col("doc_id") == F.col("node")).select("component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "doc_id", "z")
-    one, two = F.least("own", "other"), F.greatest("own", "other")
-    sent = sent.select("component", one.alias("one"), two.alias("two"), (F.col("own") > one).cast("int").alias("side"), "doc_id", "z")
-    confirmed = sent.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "side").mapInArrow(_confirm(width, percent), "a binary, b binary")
-    found = connected(merge_forests(confirmed, max(1, parts // 16)))
-    names = reps.select("hi", "lo", F.col("n_shingles").alias("n"), "rep")
-    labelled = sketch.drop("keys").join(names, (sketch.hi == names.hi) & (sketch.lo == names.lo) & (sketch.n_shingles == F.col("n")), "left").select("doc_id", "n_shingles", "rep")
-    labelled = labelled.join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    clusters = connected(merge_forests(met, max(1, parts // 4)))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_members(member_bitmap(clusters.select("node"))), "node long, z binary")
+    found = confirmed(clusters, texts, _confirm(width, percent), block)
+    sets = reps.join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"))
+    # At most `parts` sets can have more copies than a partition's share: their rows meet them by a broadcast.
+    sets = checkpoint(sets)
+    key = ["hi", "lo", "n_shingles"]
+    share = max(1, sketch.count()) / parts
+    hot = F.broadcast(sets.where(F.col("copies") > share).drop("copies"))
+    rows = named.drop("keys")
+    labelled = rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(sets.where(F.col("copies") <= share).drop("copies"), key))
+    # Rows without a set, or without an id, stand alone.
+    alone = sketch.where("doc_id IS NULL OR n_shingles = 0").drop("keys").withColumn("component_id", F.col("doc_id"))
+    out = labelled.unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "h")

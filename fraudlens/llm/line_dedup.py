@@ -8,9 +8,9 @@ their normal forms is at least `similarity` and they are found as candidates.
 Of each connected group the occurrence with the smallest (doc_id, text digest,
 line number) stays; all others are removed.
 
-Candidates share a pigeonhole block and differ in at most `bits` places of their
-SimHashes.  Cutting a 64-bit SimHash itself into blocks finds few lines of edit
-similarity 0.8 (a changed word moves some 7 bits), so the pigeonholes are dealt
+Candidates share a pigeonhole block and differ in at most `bits` of the 128
+places of their SimHashes.  Cutting such a SimHash itself into blocks finds few
+lines of edit similarity 0.8 (a changed word moves some 14 bits), so the pigeonholes are dealt
 out before the majority is taken: a line's features fall by their hash into
 BLOCKS blocks, and each block has a hash of its own features.  Lines that differ
 in fewer than BLOCKS features have a block in common for certain, others very
@@ -41,7 +41,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +61,8 @@ BLOCKS = 12
 #: Lines of fewer words than the first number may need blocks of pairs, those of at least the second blocks of words.
 #: They overlap so far that lines of edit similarity 0.8 have a kind in common: 24 words are the border.
 PAIRS_BELOW, WORDS_FROM = 32, 18
-#: Places of 64 in which the SimHashes of candidates may differ.
-BITS = 19
+#: Places of 128 in which the SimHashes of candidates may differ.
+BITS = 34
 
 
 def _lines(column: pa.Array, least: int):
@@ -103,19 +102,20 @@ def _sets(features: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _majority(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The SimHash of each set: the majority of each bit."""
+    """The SimHash of each set, two numbers of 64 bits: the majority of each bit."""
     m = np.diff(first)
-    out = np.zeros(len(m), _U)
+    out = np.zeros((len(m), 2), _U)
     if not len(m):
         return out
-    feature = mix64(feature + _U(1))
-    for k in range(16):
-        sums = np.add.reduceat(_LANES[(feature >> _U(4 * k) & _U(15)).astype(np.int64)], first[:-1])
-        for b in range(4):
-            out |= (2 * (sums >> _U(16 * b) & _U(0xFFFF)).astype(np.int64) > m).astype(_U) << _U(4 * k + b)
-    for i in np.flatnonzero(m >= 1 << 16):  # counters of 16 bits don't hold these
-        f = feature[first[i] : first[i + 1]]
-        out[i] = sum(int(2 * int((f >> _U(b) & _U(1)).sum()) > m[i]) << b for b in range(64))
+    for half in range(2):
+        bits = mix64(feature + _U(1 + 977 * half))
+        for k in range(16):
+            sums = np.add.reduceat(_LANES[(bits >> _U(4 * k) & _U(15)).astype(np.int64)], first[:-1])
+            for b in range(4):
+                out[:, half] |= (2 * (sums >> _U(16 * b) & _U(0xFFFF)).astype(np.int64) > m).astype(_U) << _U(4 * k + b)
+        for i in np.flatnonzero(m >= 1 << 16):  # counters of 16 bits don't hold these
+            f = bits[first[i] : first[i + 1]]
+            out[i, half] = sum(int(2 * int((f >> _U(b) & _U(1)).sum()) > m[i]) << b for b in range(64))
     return out
 
 
@@ -137,7 +137,7 @@ def _pigeonholes(feature: np.ndarray, first: np.ndarray, kind: int, least: int)
 def sketch(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For lines as slices of words: their SimHashes, and (line, hash) of their pigeonhole blocks."""
     if not len(at):
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return np.zeros((0, 2), _U), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     first = np.cumsum(n) - n
     line = np.repeat(np.arange(len(at)), n)
     own = words[np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(at, n)]
@@ -187,7 +187,7 @@ def _deal(buckets: int, least: int):
         who, hole, to = who[order], hole[order], to[order]
         for a, b in runs(to):
             w = who[a:b]
-            yield int(to[a]), pack(hole[a:b]), pack_sorted(key[w].view(np.int64)), pack(sim[w]), pack(size[w])
+            yield int(to[a]), pack(hole[a:b]), pack_sorted(key[w].view(np.int64)), pack(sim[w].reshape(-1)), pack(size[w])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -207,7 +207,7 @@ def _deal(buckets: int, least: int):
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint8) <= bits
 
 
 def _pair_up(bits: int, similarity: float):
@@ -223,7 +223,7 @@ def _pair_up(bits: int, similarity: float):
             nonlocal n
             hole = np.concatenate([unpack(x[0], np.uint32) for x in part])
             key = np.concatenate([unpack_sorted(x[1]) for x in part])
-            sim = np.concatenate([unpack(x[2], _U) for x in part])
+            sim = np.concatenate([unpack(x[2], _U) for x in part]).reshape(-1, 2)
             size = np.concatenate([unpack(x[3], np.uint8) for x in part]).astype(np.int16)
             part.clear()
             order = np.lexsort((key, hole))
@@ -263,33 +263,25 @@ def _pair_up(bits: int, similarity: float):
     return run
 
 
-def distance_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`, by Myers' bit-parallel column step on long integers."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > most:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
+def _trimmed(a, b):
+    """a and b without what they have in common at both ends; strings or lists."""
+    k, most = 0, min(len(a), len(b))
+    while k < most and a[k] == b[k]:
         k += 1
-    a, b = a[k:], b[k:]
-    k = 0
-    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
-        k += 1
-    if k:
-        a, b = a[:-k], b[:-k]
-    if max(len(a), len(b)) <= most:
-        return True
-    if not a or not b:
-        return False
-    if len(a) == len(b) and sum(map(ne, a, b)) <= most:
-        return True
+    e = 0
+    while e < most - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    return a[k : len(a) - e], b[k : len(b) - e]
+
+
+def _myers(a, b, most: int) -> int:
+    """The edit distance of two sequences that aren't empty, or some number above `most`; a bit-parallel column step on long integers."""
     m, peq = len(a), {}
     for i, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << i
     full, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
-    for j, c in enumerate(b):
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -298,16 +290,40 @@ def distance_within(a: str, b: str, most: int) -> bool:
             score += 1
         elif mh & high:
             score -= 1
+        if score - left > most:
+            return most + 1
         ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
         pv, mv = (mh | ~(xv | ph)) & full, ph & xv
-        if score - (len(b) - 1 - j) > most:
-            return False
-    return score <= most
+    return score
 
 
-def alike(a: str, b: str, similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    return distance_within(a, b, int(longer * (1 - similarity) + 1e-9))
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most `most`."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = _trimmed(a, b)
+    if max(len(a), len(b)) <= most:
+        return True
+    if not a or not b:
+        return False
+    return _myers(a, b, most) <= most
+
+
+def few_words(a: list[str], b: list[str], most: int) -> bool:
+    """Whether so few words differ that the distance must be within `most`: a quick yes, no means nothing."""
+    a, b = _trimmed(a, b)
+    if not a or not b:
+        return sum(map(len, a)) + sum(map(len, b)) + len(a) + len(b) <= most
+    worst = 1 + max(max(map(len, a)), max(map(len, b)))
+    return _myers(a, b, most // worst) * worst <= most
+
+
+def alike(a: str, b: str, similarity: float, pairs: dict[str, np.ndarray]) -> bool:
+    """Whether the edit similarity is reached; pairs is a cache of pairs_of()."""
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    if few_words(a.split(" "), b.split(" "), most):
+        return True
+    return possible(a, b, pairs, most) and distance_within(a, b, most)
 
 
 def pairs_of(form: str) -> np.ndarray:
@@ -316,10 +332,9 @@ def pairs_of(form: str) -> np.ndarray:
     return np.bincount((c[:-1] * np.uint32(29) + c[1:]) & np.uint32(511), minlength=512)
 
 
-def possible(a: str, b: str, pairs: dict[str, np.ndarray], similarity: float) -> bool:
-    """Whether the forms can be alike: an edit spoils two pairs of characters at most."""
+def possible(a: str, b: str, pairs: dict[str, np.ndarray], most: int) -> bool:
+    """Whether the forms can be within `most` edits: an edit spoils two pairs of characters at most."""
     longer = max(len(a), len(b))
-    most = int(longer * (1 - similarity) + 1e-9)
     if longer - min(len(a), len(b)) > most:
         return False
     for x in (a, b):
@@ -374,10 +389,8 @@ def _verify(bits: int, similarity: float):
         def close() -> None:
             if len(lines) < 2:
                 return
-            side, key, form = zip(*lines)
-            raw, offsets = text_buffers(pa.array(form, pa.large_string()))
-            start, end, first = word_bounds(raw, offsets, LETTERS)
-            sims, _, _ = sketch(_HASHER.hash(raw, start, end), first[:-1], np.diff(first))
+            side, key, form, low, high = zip(*lines)
+            sims = np.array([low, high], _U).T
             size = np.array([*map(len, form)])
             side = np.array(side)
             root = list(range(len(lines)))
@@ -396,17 +409,20 @@ def _verify(bits: int, similarity: float):
                 ok = near(sims[:m], sims[i], bits) & (np.minimum(size[:m], size[i]) >= np.maximum(size[:m], size[i]) * similarity - 1e-6)
                 for j in np.flatnonzero(ok).tolist():
                     a, b = find(i), find(j)
-                    if a != b and possible(form[i], form[j], pairs, similarity) and alike(form[i], form[j], similarity):
+                    if a != b and alike(form[i], form[j], similarity, pairs):
                         root[max(a, b)] = min(a, b)
                         left.append(key[i])
                         right.append(key[j])
 
-        for batch in rows:
-            for component, one, two, side, key, form in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in batches(rows, 4 << 20, "form"):
+            raw, offsets = text_buffers(batch.column(5))
+            start, end, first = word_bounds(raw, offsets, LETTERS)
+            sims, _, _ = sketch(_HASHER.hash(raw, start, end), first[:-1], np.diff(first))
+            for component, one, two, side, key, form, low, high in zip(*(c.to_pylist() for c in batch.columns), *sims.T.tolist()):
                 if (component, one, two) != at:
                     close()
                     at, lines = (component, one, two), []
-                lines.append((side, key, form))
+                lines.append((side, key, form, low, high))
         close()
         if left:
             a, b = np.array(left, np.int64), np.array(right, np.int64)

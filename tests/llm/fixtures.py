@@ -41,7 +41,7 @@ def clashing(spark, rows=None):
     """The table with extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["bucket", "chunk", "hash", "pos", "node", "component", "score", "predicted", "key", "sim", "line", "first", "spans", "kept", "z", "h", "t", "n", "gone", "n_lines", "own", "terms", "base", "ids"]
+    names = ["bucket", "chunk", "hash", "pos", "node", "component", "score", "predicted", "key", "sim", "line", "first", "spans", "kept", "z", "h", "t", "n", "gone", "n_lines", "own", "terms", "base", "ids", "_doc", "_gone", "row", "of", "n_removed", "hi", "lo", "copies", "form", "trusted", "gram"]
     return frame(spark, rows).select("*", *(F.lit("x").alias(n) for n in names))
 
 

@@ -88,28 +88,25 @@ def test_edit_distance():
 
 @pytest.mark.parametrize("most", [500, 2])
 def test_lines(spark, most):
-    rows = Fx.documents()
-    line = " ".join(Fx.words(__import__("random").Random(9), 60))
+    """All pairs of lines against plain edit similarity, with no test of SimHashes or blocks."""
+    rng = __import__("random").Random(9)
+    rows = [r for r in Fx.documents() if len(r[1] or "") < 1500]
+    line = " ".join(Fx.words(rng, 60))
     rows += [(1000 + k, f"{line} tail\n{line}", "en", "s", 1) for k in range(3)] + [(2000, line + " other", "en", "s", 1)]
-    hasher = line_dedup.Hasher(131, lower=True)
-    seen, sims = [], {}
+    seen = []
     for i, t, *_ in rows:
         for k, l in enumerate((t or "").split("\n")):
-            w = re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", l.translate(UPPER))
-            if len(w) >= 5:
-                form = " ".join(w)
-                seen.append((i, k, form))
-                if form not in sims:
-                    raw = "".join(w).encode()
-                    ends = np.cumsum([len(x.encode()) for x in w])
-                    h = hasher.hash(np.frombuffer(raw, np.uint8), np.r_[0, ends[:-1]], ends)
-                    sims[form] = int(line_dedup.simhash(h, np.array([0]), np.array([len(h)]))[0])
-    forms = sorted(sims)
-    groups = Sets(range(len(forms)))
+            if w := re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", l.translate(UPPER)):
+                seen.append((i, k, " ".join(w)))
+    forms = sorted({f for *_, f in seen})
+    groups, linked = Sets(range(len(forms))), 0
     for a in range(len(forms)):
         for b in range(a):
-            if bin(sims[forms[a]] ^ sims[forms[b]]).count("1") <= 3 and levenshtein(forms[a], forms[b]) * 5 <= max(len(forms[a]), len(forms[b])):
+            longer = max(len(forms[a]), len(forms[b]))
+            if min(forms[a].count(" "), forms[b].count(" ")) >= 4 and 5 * min(len(forms[a]), len(forms[b])) >= 4 * longer and levenshtein(forms[a], forms[b]) * 5 <= longer:
                 groups.join(a, b)
+                linked += 1
+    assert linked >= 14
     first, number = {}, {f: n for n, f in enumerate(forms)}
     for i, k, f in seen:
         g = groups.find(number[f])
@@ -124,6 +121,28 @@ def test_lines(spark, most):
         assert out[i] == (kept, len(gone.get(i, ())))
 
 
+def test_lines_of_repeated_rows_and_ids(spark):
+    """Equal rows are one document; two texts of one doc_id are judged each by itself; a null doc_id takes no part."""
+    rows = [(3, "the first line\nonly here"), (3, "the first line\nonly here"), (4, "the first line\nbefore"), (4, "unlike it\nthe first line"), (None, "the first line"), (5, None), (5, "")]
+    out = line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(3, "the first line\nonly here", 2, 0)] * 2 + [(4, "before", 2, 1), (4, "unlike it", 2, 1), (None, "the first line", 1, 0), (5, None, 0, 0), (5, "", 1, 0)]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, expected))
+
+
+def test_distance_bounds():
+    """What the verification skips or accepts early never differs from the plain distance."""
+    rng = __import__("random").Random(3)
+    for _ in range(300):
+        w = Fx.words(rng, rng.randint(1, 14))
+        v = list(w)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(v) + 1)
+            v[k : k + rng.randint(0, 1)] = rng.choice(([], ["so"], ["other", "ka"]))
+        a, b = " ".join(w), " ".join(v)
+        if b:
+            assert line_dedup.alike(a, b, 0.8, {}) == (levenshtein(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
+
+
 def ranks():
     """Byte ranks and a few merges, learnt from nothing but their order."""
     table = {bytes((b,)): b for b in range(256)}

@@ -9,7 +9,11 @@ the places that a longer token may still start from, each with the token that
 ends there.  Tokens before the last boundary common to all of these places
 can't change any more, so the lookahead is bounded by a few token lengths.
 States and transitions are made on first use (lazy determinisation) and
-forgotten when there are too many.
+forgotten when there are too many; all of them, and the remembered pieces, are
+bounded in number and belong to one task.
+
+A null or empty text has no ids; repeated rows and ids are encoded each by
+itself; texts may have any length (a piece of many bytes is streamed).
 
 Decoding joins token bytes and passes them through an incremental UTF-8 state
 machine that holds back an unfinished character until its rest arrives.
@@ -20,7 +24,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,15 +37,19 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
+_NEVER = 1 << 60
+
+
 class Transducer:
     """The lazily determinised transducer for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.grown: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None] = {}
         self.most_states = most_states
         self.reset(((b"", -1),))
 
@@ -53,7 +60,7 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Plain rank-ordered merging; only used on the bytes of one or two tokens."""
+        """Plain rank-ordered merging: what the transducer must agree with."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
@@ -62,16 +69,56 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
+        """What stands first and last while the token is merged, each with the rank of the merge that ends it; None if merging doesn't give the token."""
+        hit = self.grown.get(token, self)
+        if hit is not self:
+            return hit
+        parts = [self.tokens[token][i : i + 1] for i in range(self.size[token])]
+        first, last = [], []
+        while len(parts) > 1:
+            rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], _NEVER), i) for i in range(len(parts) - 1)))
+            if rank == _NEVER:
+                break
+            if at == 0:
+                first.append((parts[0], rank))
+            if at == len(parts) - 2:
+                last.append((parts[-1], rank))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        whole = parts[0], _NEVER
+        hit = self.grown[token] = ([*first, whole], [*last, whole]) if len(parts) == 1 else None
+        return hit
+
     def pair(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a; a is -1 at the start."""
+        """Whether token b may follow token a; a is -1 at the start.
+
+        Merging both side by side gives other tokens exactly if a merge over
+        their border has its turn while both of its sides stand there.
+        """
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
-            left = self.tokens[a] if a >= 0 else b""
-            ok = self.fits[a, b] = self.merge(left + self.tokens[b]) == ([a, b] if a >= 0 else [b])
+            right, left = self.spines(b), self.spines(a) if a >= 0 else None
+            ok = right is not None and (a < 0 or left is not None and self._apart(left[1], right[0]))
+            self.fits[a, b] = ok
         return ok
 
+    def _apart(self, before: list[tuple[bytes, int]], after: list[tuple[bytes, int]]) -> bool:
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = before[i], after[j]
+            rank = self.ranks.get(x + y, _NEVER)
+            # Of merges of one rank the leftmost comes first.
+            if rank < x_ends and rank <= y_ends and rank != _NEVER:
+                return False
+            if x_ends == y_ends == _NEVER:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
     def number(self, key: tuple[tuple[bytes, int], ...]) -> int:
         to = self.ids.get(key)
         if to is None:
@@ -157,28 +204,27 @@ def compile_pattern(pattern: str):
 class Encoder:
     """Encodes whole texts; remembers the ids of short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 150_000):
         self.fst = Transducer(ranks)
         self.split = compile_pattern(pattern).findall
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.known: dict[str, str] = {}
         self.most = most_pieces
 
-    def _new(self, piece: str) -> tuple[str, tuple[int, ...]]:
-        ids = self.fst.encode_piece(piece.encode("utf-8"))
-        found = " ".join(map(str, ids)), ids
+    def _new(self, piece: str) -> str:
+        found = " ".join(map(str, self.fst.encode_piece(piece.encode("utf-8"))))
         if len(piece) <= 48:
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[piece] = found
         return found
 
-    def pieces(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """(decimal ids, ids) of each piece."""
+    def decimal(self, text: str) -> str:
+        """The decimal ids of the text, joined by one blank."""
         get, new = self.known.get, self._new
-        return [get(p) or new(p) for p in self.split(text)]
+        return " ".join([get(p) or new(p) for p in self.split(text)])
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for _, ids in self.pieces(text)))
+        return [*map(int, self.decimal(text).split())]
 
 
 #: For a lead byte: bytes of the character, and the allowed range of the second byte.
@@ -237,18 +283,6 @@ class Decoder:
         return self.machine.finish().decode("utf-8", "replace")
 
 
-def _kept(kind, raw: bytes, pattern: str):
-    """One encoder or decoder for each process: a Python worker keeps what its earlier tasks have compiled."""
-    import pyspark
-
-    kept = pyspark.__dict__.setdefault("_fraudlens_bpe", {})
-    key = kind, hashlib.sha256(raw).digest(), pattern
-    if key not in kept:
-        kept.clear() if len(kept) > 3 else None
-        kept[key] = Encoder(load_ranks(raw), pattern) if kind == "encoder" else Decoder(load_ranks(raw))
-    return kept[key]
-
-
 def _ranks(df: DataFrame, rank_file: str):
     """The rank file's bytes, sent to every executor; a vocabulary's size doesn't depend on the data."""
     with open(rank_file, "rb") as f:
@@ -266,7 +300,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     at = df.columns.index(text)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _kept("encoder", raw.value, pattern)
+        enc = Encoder(load_ranks(raw.value), pattern)
         for batch in rows:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -283,7 +317,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded"
     at = df.columns.index(ids)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = _kept("decoder", raw.value, "")
+        dec = Decoder(load_ranks(raw.value))
         for batch in rows:
             for k in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(k, 256), []
@@ -305,14 +339,15 @@ def digest(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", tex
     raw = _ranks(df, rank_file)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = _kept("encoder", raw.value, pattern), _kept("decoder", raw.value, "")
+        ranks = load_ranks(raw.value)
+        enc, dec = Encoder(ranks, pattern), Decoder(ranks)
         for batch in rows:
             n, of_ids, of_text = [], [], []
             for value in batch.column(1):
-                pieces = enc.pieces(value.as_py() or "")
-                ids = list(chain.from_iterable([i for _, i in pieces]))
+                decimal = enc.decimal(value.as_py() or "")
+                ids = [*map(int, decimal.split())]
                 n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join([s for s, _ in pieces]).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(decimal.encode()).hexdigest())
                 sha = hashlib.sha256()
                 for i in range(0, len(ids), 65536):
                     sha.update(dec.feed_bytes(ids[i : i + 65536]))

@@ -87,8 +87,8 @@ def connected(edges: DataFrame) -> DataFrame:
 def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: int) -> DataFrame:
     """(node, component): components of the confirmed links among the nodes of each cluster.
 
-    clusters(node, component) says which nodes must be compared; payload has a
-    column node and what `check` needs.  check is given rows (component, one, two,
+    clusters(node, component) says which nodes must be compared, and a node may be
+    in several; payload has a column node and what `check` needs.  check is given rows (component, one, two,
     side, node, payload columns) sorted by the first four; it compares all rows
     of a (component, one, two), or only those of side 0 with those of side 1 if
     both occur, and returns confirmed links as packed forests.
@@ -119,7 +119,7 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", count(F.col("size")))
     placed = checkpoint(clusters.join(sizes, "component").select("component", "node", "blocks"))
-    texts = payload.join(clusters.select("node"), "node", "left_semi")
+    texts = payload.join(clusters.select("node").distinct(), "node", "left_semi")
     large = placed.where("blocks > 1")
     if not large.limit(1).count():
         return connected(run(placed.select("component", "node", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"))))
@@ -131,7 +131,7 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
         found = connected(edges).withColumnRenamed("component", "label")
         return checkpoint(large.join(found, "node", "left").select("component", "node", "blocks", F.coalesce("label", "node").alias("label")))
 
-    heads = labelled().where("node = label").select("component", "node")
+    heads = labelled().groupBy("component", "label").agg(F.min("node").alias("node")).drop("label")
     heads = heads.join(heads.groupBy("component").agg(count(F.count("*")).alias("n")), "component")
     mine = heads.withColumn("own", of(F.col("n"), 1)).select("component", "node", "own", upto("n").alias("other"))
     low = F.least("own", "other")

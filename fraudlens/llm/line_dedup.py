@@ -20,13 +20,13 @@ Lines of middle length have both kinds.  What is missed are lines edited in most
 of their words; the README has the recall measured.
 
 1. A narrow pass hashes the lines; equal ones meet in a grouped minimum.
-2. The sketches are dealt out packed, once for each block, by the block's hash;
-   pairs that share one and pass the tests above become a forest in each task, no
-   pair is emitted.
-3. Components of these links gather the candidates.  The normal forms of their
-   lines are read again (a bitmap keeps others out) and sent to their component,
-   where they are verified by Myers' bit-parallel distance; see
-   _graph.confirmed() for large components.
+2. The sketches are dealt out packed, once for each block, by the block's hash.
+   What comes out is each block's lines that have a candidate in it; no pair is
+   emitted.
+3. The normal forms of these lines are read again (a bitmap keeps others out) and
+   sent to their blocks, where candidates are verified by Myers' bit-parallel
+   distance, each pair in the first block that it shares, and none that is
+   connected already; see _graph.confirmed() for large blocks.
 4. Components of the verified links give the groups.  Keys that hold more lines
    than a shuffle partition's share are few, so these meet their lines by a
    broadcast, the others by a join.
@@ -50,7 +50,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ._bitmap import Bitmap, member_bitmap
 from ._checkpoint import checkpoint, stored
-from ._graph import confirmed, connected, forest, merge_forests, pack_edges
+from ._graph import confirmed, pack_edges
 from ._packed import pack, pack_sorted, record_batches, runs, unpack, unpack_sorted
 from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
 
@@ -66,7 +66,7 @@ BITS = 34
 
 
 def _lines(column: pa.Array, least: int):
-    """For the lines that count: key, text number, line number, slice of words, code points; and all words' hashes."""
+    """For the lines of `least` words: key, text number, line number, slice of words; all words' hashes; and a function for lines' code points."""
     data, off = text_buffers(column)
     start, end, first = word_bounds(data, off, LETTERS)
     words = _HASHER.hash(data, start, end)
@@ -85,14 +85,18 @@ def _lines(column: pa.Array, least: int):
         key = mix64(np.add.reduceat(mix64(words + (place + _U(1)) * _U(0x9E3779B97F4A7C15)), at) + n.astype(_U))
     else:
         key = np.zeros(0, _U)
-    points = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
-    size = np.add.reduceat(points[end - lo] - points[start - lo], at) + n - 1 if len(at) else n
+
+    def size(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        points = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80, dtype=np.int32)]
+        total = np.r_[0, np.cumsum(points[end - lo] - points[start - lo])]
+        return total[at + n] - total[at] + n - 1
+
     enough = n >= least
-    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], size[enough], words
+    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], words, size
 
 
-#: For each half byte a counter of 16 bits for each of its 4 bits.
-_LANES = np.array([sum((v >> b & 1) << 16 * b for b in range(4)) for v in range(16)], _U)
+#: For each byte a counter of 8 bits for each of its bits.
+_LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], _U)
 
 
 def _sets(features: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,35 +113,38 @@ def _majority(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
         return out
     for half in range(2):
         bits = mix64(feature + _U(1 + 977 * half))
-        for k in range(16):
-            sums = np.add.reduceat(_LANES[(bits >> _U(4 * k) & _U(15)).astype(np.int64)], first[:-1])
-            for b in range(4):
-                out[:, half] |= (2 * (sums >> _U(16 * b) & _U(0xFFFF)).astype(np.int64) > m).astype(_U) << _U(4 * k + b)
-        for i in np.flatnonzero(m >= 1 << 16):  # counters of 16 bits don't hold these
-            f = bits[first[i] : first[i + 1]]
-            out[i, half] = sum(int(2 * int((f >> _U(b) & _U(1)).sum()) > m[i]) << b for b in range(64))
+        octets = bits.view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            sums = np.add.reduceat(_LANES[octets[:, k]], first[:-1])
+            for b in range(8):
+                out[:, half] |= (2 * (sums >> _U(8 * b) & _U(255)).astype(np.int64) > m).astype(_U) << _U(8 * k + b)
+        for i in np.flatnonzero(m >= 256):  # counters of 8 bits don't hold these
+            part = octets[first[i] : first[i + 1]]
+            sums = sum(np.unpackbits(part[j : j + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for j in range(0, len(part), 65536))
+            out[i, half] = np.packbits(2 * sums > m[i], bitorder="little").view(_U)[0]
     return out
 
 
 def _pigeonholes(feature: np.ndarray, first: np.ndarray, kind: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of each block of at least `least` features; blocks of another kind or number have other hashes."""
+    """(line, number and hash) of each block of at least `least` features; blocks of another number have other hashes."""
     line = np.repeat(np.arange(len(first) - 1), np.diff(first))
     # Features ascend within a line, and so do their blocks.
     block = line * BLOCKS + ((feature >> _U(8)) * _U(BLOCKS) >> _U(32)).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
     if not len(cut):
-        return cut, np.zeros(0, np.uint32)
+        return cut, np.zeros(0, _U)
     size = np.diff(np.r_[cut, len(block)])
     which = block[cut]
-    key = mix64(np.add.reduceat(mix64(feature ^ _U(0x5BD1E995)), cut) + (which % BLOCKS + BLOCKS * kind).astype(_U)) >> _U(32)
+    number = (which % BLOCKS + BLOCKS * kind).astype(_U)
+    key = mix64(np.add.reduceat(mix64(feature ^ _U(0x5BD1E995)), cut) + number) >> _U(32) | number << _U(32)
     enough = size >= least
-    return which[enough] // BLOCKS, key[enough].astype(np.uint32)
+    return which[enough] // BLOCKS, key[enough]
 
 
 def sketch(words: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For lines as slices of words: their SimHashes, and (line, hash) of their pigeonhole blocks."""
+    """For lines as slices of words: their SimHashes, and (line, number and hash of 32 bits) of their pigeonhole blocks."""
     if not len(at):
-        return np.zeros((0, 2), _U), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return np.zeros((0, 2), _U), np.zeros(0, np.int64), np.zeros(0, _U)
     first = np.cumsum(n) - n
     line = np.repeat(np.arange(len(at)), n)
     own = words[np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(at, n)]
@@ -192,10 +199,10 @@ def _deal(buckets: int, least: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches(rows, 4 << 20):
-            key, _, _, at, m, size, words = _lines(batch.column(0), least)
+            key, _, _, at, m, words, size = _lines(batch.column(0), least)
             _, pick = np.unique(key, return_index=True)
             sim, who, hole = sketch(words, at[pick], m[pick])
-            held.append((key[pick], sim, _long(size[pick]), who, hole))
+            held.append((key[pick], sim, _long(size(at[pick], m[pick])), who, hole.astype(np.uint32)))
             n += len(pick)
             if n >= 1 << 17:
                 yield from record_batches(flush(held), schema, 16)
@@ -211,54 +218,45 @@ def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pair_up(bits: int, similarity: float):
-    """Over rows sorted by bucket: links between candidates, as packed forests."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    """Over rows sorted by bucket: (component, node) of each block and the lines that have a candidate in it."""
     # Lengths are rounded down.
     longer = int(16 * np.log2(1 / similarity)) + 1
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part, left, right, n = None, [], [], [], 0
-
-        def close() -> None:
-            nonlocal n
-            hole = np.concatenate([unpack(x[0], np.uint32) for x in part])
-            key = np.concatenate([unpack_sorted(x[1]) for x in part])
-            sim = np.concatenate([unpack(x[2], _U) for x in part]).reshape(-1, 2)
-            size = np.concatenate([unpack(x[3], np.uint8) for x in part]).astype(np.int16)
-            part.clear()
-            order = np.lexsort((key, hole))
-            hole, key, sim, size = hole[order], key[order], sim[order], size[order]
-            # Tasks send equal lines each.
-            new = np.r_[True, (hole[1:] != hole[:-1]) | (key[1:] != key[:-1])]
-            hole, key, sim, size = hole[new], key[new], sim[new], size[new]
-            apart, same = 1, np.flatnonzero(hole[1:] == hole[:-1])  # lines of one block that are so many places apart
-            while len(same):
-                ok = same[near(sim[same], sim[same + apart], bits) & (np.abs(size[same] - size[same + apart]) <= longer)]
-                left.append(key[ok])
-                right.append(key[ok + apart])
-                n += len(ok)
-                apart += 1
-                same = same[same + apart < len(hole)]
-                same = same[hole[same + apart] == hole[same]]
-                if n > 1 << 20:
-                    thin()
-
-        def thin() -> None:
-            nonlocal n
-            x, y = forest(np.concatenate(left), np.concatenate(right))
-            left[:], right[:], n = [x], [y], len(x)
+    def close(part: list) -> Iterator[pa.RecordBatch]:
+        hole = np.concatenate([unpack(x[0], np.uint32) for x in part])
+        key = np.concatenate([unpack_sorted(x[1]) for x in part])
+        sim = np.concatenate([unpack(x[2], _U) for x in part]).reshape(-1, 2)
+        size = np.concatenate([unpack(x[3], np.uint8) for x in part]).astype(np.int16)
+        part.clear()
+        order = np.lexsort((key, hole))
+        hole, key = hole[order], key[order]
+        # Tasks send equal lines each.
+        new = np.r_[True, (hole[1:] != hole[:-1]) | (key[1:] != key[:-1])]
+        hole, key, order = hole[new], key[new], order[new]
+        sim, size = sim[order], size[order]
+        found = np.zeros(len(hole), bool)
+        apart, same = 1, np.flatnonzero(hole[1:] == hole[:-1])  # lines of one block that are so many places apart
+        while len(same):
+            ok = same[near(sim[same], sim[same + apart], bits) & (np.abs(size[same] - size[same + apart]) <= longer)]
+            found[ok] = found[ok + apart] = True
+            apart += 1
+            same = same[same + apart < len(hole)]
+            same = same[hole[same + apart] == hole[same]]
+        at = np.flatnonzero(found)
+        for k in range(0, len(at), 50_000):
+            some = at[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(hole[some].astype(np.int64)), pa.array(key[some])], ["component", "node"])
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = None, []
         for batch in rows:
             for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != at and part:
-                    close()
+                    yield from close(part)
                 at = bucket
                 part.append(packed)
         if part:
-            close()
-        if n:
-            thin()
-            yield from record_batches([pack_edges(left[0], right[0])], schema)
+            yield from close(part)
 
     return run
 
@@ -314,8 +312,14 @@ def few_words(a: list[str], b: list[str], most: int) -> bool:
     a, b = _trimmed(a, b)
     if not a or not b:
         return sum(map(len, a)) + sum(map(len, b)) + len(a) + len(b) <= most
-    worst = 1 + max(max(map(len, a)), max(map(len, b)))
-    return _myers(a, b, most // worst) * worst <= most
+    # Each differing word costs its own letters, the other's and a blank at most; the longest ones are the worst case.
+    costs, able, total = sorted(map(len, a + b), reverse=True), 0, 0
+    for n in costs:
+        total += n + 1
+        if total > most:
+            break
+        able += 1
+    return able > 0 and _myers(a, b, able) <= able
 
 
 def alike(a: str, b: str, similarity: float, pairs: dict[str, np.ndarray]) -> bool:
@@ -380,7 +384,10 @@ def _place_column(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(bits: int, similarity: float):
-    """Over rows (component, one, two, side, node, form) sorted by the first four: verified links as packed forests."""
+    """Over rows (component, one, two, side, node, form) sorted by the first four: verified links as packed forests.
+
+    A component is a block; a pair is verified in the first block that it has in common.
+    """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +396,7 @@ def _verify(bits: int, similarity: float):
         def close() -> None:
             if len(lines) < 2:
                 return
-            side, key, form, low, high = zip(*lines)
+            side, key, form, low, high, holes = zip(*lines)
             sims = np.array([low, high], _U).T
             size = np.array([*map(len, form)])
             side = np.array(side)
@@ -409,7 +416,7 @@ def _verify(bits: int, similarity: float):
                 ok = near(sims[:m], sims[i], bits) & (np.minimum(size[:m], size[i]) >= np.maximum(size[:m], size[i]) * similarity - 1e-6)
                 for j in np.flatnonzero(ok).tolist():
                     a, b = find(i), find(j)
-                    if a != b and alike(form[i], form[j], similarity, pairs):
+                    if a != b and min(holes[i] & holes[j]) & 0xFFFFFFFF == at[0] and alike(form[i], form[j], similarity, pairs):
                         root[max(a, b)] = min(a, b)
                         left.append(key[i])
                         right.append(key[j])
@@ -417,12 +424,15 @@ def _verify(bits: int, similarity: float):
         for batch in batches(rows, 4 << 20, "form"):
             raw, offsets = text_buffers(batch.column(5))
             start, end, first = word_bounds(raw, offsets, LETTERS)
-            sims, _, _ = sketch(_HASHER.hash(raw, start, end), first[:-1], np.diff(first))
-            for component, one, two, side, key, form, low, high in zip(*(c.to_pylist() for c in batch.columns), *sims.T.tolist()):
+            sims, who, hole = sketch(_HASHER.hash(raw, start, end), first[:-1], np.diff(first))
+            order = np.argsort(who, kind="stable")
+            cut, hole = np.searchsorted(who[order], np.arange(batch.num_rows + 1)), hole[order].tolist()
+            holes = [frozenset(hole[a:b]) for a, b in zip(cut, cut[1:])]
+            for component, one, two, side, key, form, low, high, own in zip(*(c.to_pylist() for c in batch.columns), *sims.T.tolist(), holes):
                 if (component, one, two) != at:
                     close()
                     at, lines = (component, one, two), []
-                lines.append((side, key, form, low, high))
+                lines.append((side, key, form, low, high, own))
         close()
         if left:
             a, b = np.array(left, np.int64), np.array(right, np.int64)
@@ -441,14 +451,14 @@ def removals(docs: DataFrame, least: int = 5, bits: int = BITS, similarity: floa
     seen = stored(docs.mapInArrow(_occurrences, "key long, doc_id long, h long, line int"))
     lines = checkpoint(seen.groupBy("key").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.count("*").alias("n")))
     dealt = docs.select("text").mapInArrow(_deal(parts, least), "bucket int, hole binary, key binary, sim binary, size binary")
-    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "a binary, b binary")
-    close = connected(merge_forests(paired, max(1, parts // 4)))
-    members = checkpoint(lines.join(close, F.col("key") == F.col("node")).select("node", "component", "first.*"))
+    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "component long, node long")
+    blocks = checkpoint(paired)
+    members = checkpoint(lines.join(blocks.select("node").distinct(), F.col("key") == F.col("node")).select("node", "first.*"))
     places = members.select("doc_id", "h", "line").mapInArrow(_place_column, "place long")
     forms = docs.mapInArrow(_forms(member_bitmap(places)), "doc_id long, h long, line int, form string")
     # Equal rows hold a line each.
     forms = forms.join(members, ["doc_id", "h", "line"]).select("node", "form").dropDuplicates(["node"])
-    found = confirmed(members.select("node", "component"), forms, _verify(bits, similarity), most)
+    found = confirmed(blocks, forms, _verify(bits, similarity), most)
     grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("group"), "first", "n")
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
     stays = checkpoint(grouped.join(kept.where(F.col("all") > 1), "group").select("key", "n", "kept"))

@@ -25,3 +25,14 @@ def approved(fraud: Column) -> Column:
 def body(fraud: Column) -> Column:
     """The response text."""
     return F.to_json(F.struct(approved(fraud).alias("approved"), score(in_range(fraud)).alias("fraud_score")))
+
+
+def full_response(kind: Column, fraud: Column) -> Column:
+    """The whole HTTP response to a request of a kind that route() gives; null while more bytes must come."""
+    text = body(fraud)
+    ok, none = "HTTP/1.1 200 OK\r\nContent-Length:", "0\r\n\r\n"
+    return (
+        F.when(kind == "fraud", F.concat(F.lit(ok), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"), text))
+        .when(kind == "ready", ok + none)
+        .when(kind == "not_found", "HTTP/1.1 404 Not Found\r\nContent-Length:" + none)
+    )

@@ -47,6 +47,32 @@ def dataset_stats(labelled: DataFrame, label: str = "label") -> DataFrame:
     return out.withColumns({"fraud_rate": F.coalesce(F.col("fraud_count") / total, F.lit(0.0)), "legit_rate": F.coalesce(F.col("legit_count") / total, F.lit(0.0))})
 
 
+def throughput(n: Column, seconds: Column) -> Column:
+    """Requests a second; null for no time."""
+    return n / F.nullif(seconds.cast("double"), F.lit(0.0))
+
+
+def report(counts: DataFrame, p99: DataFrame) -> DataFrame:
+    """One row with the scores of confusion counts and of latency(): what the results file holds."""
+    scored = detection(counts).crossJoin(F.broadcast(p99.select("p99", "p99_score")))  # one row each
+    return scored.withColumn("final_score", F.col("p99_score") + F.col("detection_score")).withColumns(
+        {"p99_cut": F.col("p99") > 2000, "detection_cut": F.col("failure_rate") > 0.15}
+    )
+
+
+def write_report(results: DataFrame, path: str, decimals: int = 2) -> None:
+    """report() as one JSON object: rounded for reading, and raw."""
+    r = lambda c, d=decimals: F.round(c, d)
+    breakdown = F.struct(F.col("fp").alias("false_positive_detections"), F.col("fn").alias("false_negative_detections"), F.col("tp").alias("true_positive_detections"), F.col("tn").alias("true_negative_detections"), F.col("err").alias("http_errors"))
+    scoring = F.struct(
+        breakdown.alias("breakdown"), F.concat(r(F.col("failure_rate") * 100).cast("string"), F.lit("%")).alias("failure_rate"), F.col("weighted_errors").alias("weighted_errors_E"), r("epsilon", decimals + 4).alias("error_rate_epsilon"),
+        F.struct(r("p99_score").alias("value"), F.col("p99_cut").alias("cut_triggered")).alias("p99_score"), F.struct(r("detection_score").alias("value"), F.col("detection_cut").alias("cut_triggered")).alias("detection_score"),
+        r("final_score").alias("final_score"), F.struct("p99", "failure_rate", "epsilon", "p99_score", "detection_score", "final_score").alias("raw"),
+    )
+    out = results.select(F.concat(r("p99").cast("string"), F.lit("ms")).alias("p99"), scoring.alias("scoring"))
+    out.coalesce(1).write.mode("overwrite").json(path)  # one row
+
+
 def final_score(p99: Column, detection_score: Column) -> Column:
     return p99_score(p99) + detection_score
 

@@ -1,9 +1,8 @@
 """Building, writing, reading and checking the inverted-file index.
 
 Vectors have columns id, q (array<smallint>) and label.  Centroids are bounded
-(at most 2048), so they are the side that is broadcast; each vector's nearest
-centroid is a grouped minimum of one bigint, (distance, cell) packed together,
-which is summed up map-side right after the join.
+(at most 2048), so they are sent to the vectors, and a Lloyd step shuffles
+nothing but sums.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.quantize import squared_distance
 from ..lineage import checkpoint
+from .nearest import cell_sums, nearest_cells
 
 MAGIC = "fraudlens-ivf"
 
@@ -31,39 +30,46 @@ class Index:
     meta: DataFrame
 
 
+def hash_order() -> Column:
+    """A fixed pseudo-random order of ids: multiplicative hashing."""
+    return F.pmod(F.pmod(F.col("id"), F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32))
+
+
 def initial_centroids(vectors: DataFrame, k: int, order: Column | None = None) -> DataFrame:
     """(cell_id, c): k vectors in the given order (default: a hash of the id), at fine resolution."""
     if not 1 <= k <= S.MAX_CENTROIDS:
         raise ValueError(f"the number of centroids must be 1 to {S.MAX_CENTROIDS}")
-    first = vectors.orderBy(*([order] if order is not None else [F.xxhash64("id")]), "id").limit(k)
+    order = hash_order() if order is None else order
+    first = vectors.orderBy(order, "id").limit(k)
     # k rows at most.
-    numbered = first.withColumn("cell_id", F.row_number().over(Window.orderBy(*([order] if order is not None else [F.xxhash64("id")]), "id")) - 1)
+    numbered = first.withColumn("cell_id", F.row_number().over(Window.orderBy(order, "id")) - 1)
     return numbered.select("cell_id", F.transform("q", lambda x: x.cast("bigint") * S.CENTROID_FINE).alias("c"))
 
 
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, cell_id, d): the nearest fine centroid of each vector, ties to the lowest cell."""
-    d = squared_distance(F.col("q"), F.col("c"), scale=S.CENTROID_FINE)
-    nearest = vectors.select("id", "q").crossJoin(F.broadcast(centroids)).groupBy("id").agg(F.min(d * S.MAX_CENTROIDS + F.col("cell_id")).alias("m"))
-    return nearest.select("id", (F.col("m") % S.MAX_CENTROIDS).cast("int").alias("cell_id"), F.expr(f"m div {S.MAX_CENTROIDS}").alias("d"))
+    """(id, cell_id, d): the nearest fine centroid of each vector, ties to the lowest cell; no shuffle."""
+    return nearest_cells(vectors, "id", centroids, 1, S.CENTROID_FINE).select("id", "cell_id", "d")
 
 
 def lloyd_step(vectors: DataFrame, centroids: DataFrame, initial: DataFrame) -> DataFrame:
-    """New fine centroids: means of the assigned vectors; a cell that lost all gets its initial vector back."""
-    member = vectors.join(assign(vectors, centroids), "id")
-    sums = member.groupBy("cell_id").agg(F.count("*").alias("n"), *(F.sum(F.col("q")[i].cast("bigint") * S.CENTROID_FINE).alias(f"s{i}") for i in range(S.DIMS)))
+    """New fine centroids: means of the assigned vectors; a cell that lost all gets its initial vector back.
+
+    What is shuffled is a row for each task and cell.
+    """
+    sums = cell_sums(vectors, centroids, S.CENTROID_FINE)
     mean = F.array(*(F.expr(f"cast(signum(s{i}) as bigint) * ((2 * abs(s{i}) + n) div (2 * n))") for i in range(S.DIMS)))
     return initial.join(sums.select("cell_id", mean.alias("mean")), "cell_id", "left").select("cell_id", F.coalesce("mean", "c").alias("c"))
 
 
 def kmeans(vectors: DataFrame, k: int, iterations: int = S.KMEANS_ITERATIONS, order: Column | None = None) -> DataFrame:
     """Fine centroids after exactly `iterations` Lloyd steps."""
-    initial = checkpoint(initial_centroids(vectors, k, order))
+    spark, schema = vectors.sparkSession, "cell_id int, c array<bigint>"
+    local = lambda c: spark.createDataFrame(c.select("cell_id", "c").collect(), schema)  # noqa: E731  2048 rows at most
+    initial = centroids = local(initial_centroids(vectors, k, order))
     if initial.count() < k:
         raise ValueError(f"fewer than {k} vectors")
-    centroids = initial
     for _ in range(iterations):
-        centroids = checkpoint(lloyd_step(vectors, centroids, initial))
+        centroids = local(lloyd_step(vectors, centroids, initial))
     return centroids
 
 
@@ -114,7 +120,7 @@ def write(index: Index, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    """Reads and validates an index; raises if it is none."""
+    """Reads and validates an index; raises if it is none.  Versions before 5 may lack the cells' boxes."""
     index = Index(*(spark.read.parquet(f"{path}/{n}") for n in ("centroids", "cells", "blocks", "vectors", "meta")))
     row = validate(index).first()
     if row is None or not row.ok:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.decision import score
 from ..functions.quantize import box_lower_bound, squared_distance, squared_distance_exact
+from ..lineage import checkpoint
 from .index import Index
+from .nearest import nearest_cells
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,8 @@ def coarse(queries: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def probe(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """(qid, cell_id, cdist, cell_rank) of the nearest cells, ties to the lower cell."""
-    return coarse(queries, centroids).withColumn("cell_rank", _rank("qid", "cdist", "cell_id")).where(F.col("cell_rank") <= nprobe)
+    """(qid, cell_id, cdist, cell_rank) of the nearest cells, ties to the lower cell; found in the query's row."""
+    return nearest_cells(queries, "qid", centroids, nprobe).select("qid", "cell_id", F.col("d").alias("cdist"), F.col("rank").alias("cell_rank"))
 
 
 def scan(queries: DataFrame, probes: DataFrame, index: Index, k: int = S.K) -> DataFrame:
@@ -83,13 +85,15 @@ def vote(ranked: DataFrame, rank: str = "rank") -> DataFrame:
     return out.withColumn("fraud_score", score(F.col("fraud_count")))
 
 
-def fixed(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
-    return vote(rerank(queries, scan(queries, probe(queries, index.centroids, nprobe), index)))
+def fixed(queries: DataFrame, index: Index, nprobe: int, probes: DataFrame | None = None) -> DataFrame:
+    """Votes over the nearest cells; `probes` may hold them, and further ones, already."""
+    probes = probe(queries, index.centroids, nprobe) if probes is None else probes.where(F.col("cell_rank") <= nprobe)
+    return vote(rerank(queries, scan(queries, probes, index)))
 
 
-def gaps(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
-    """(qid, gap): distance of the first centroid that isn't probed less that of the last that is."""
-    ranked = probe(queries, index.centroids, nprobe + 1).where(F.col("cell_rank") >= nprobe)
+def gaps(probes: DataFrame, nprobe: int) -> DataFrame:
+    """(qid, gap): distance of the first centroid that isn't probed less that of the last that is, from probes of nprobe + 1 cells."""
+    ranked = probes.where(F.col("cell_rank") >= nprobe)
     both = ranked.groupBy("qid").agg(F.max("cdist").alias("hi"), F.min("cdist").alias("lo"), F.count("*").alias("n"))
     return both.where("n = 2").select("qid", (F.col("hi") - F.col("lo")).alias("gap"))
 
@@ -112,12 +116,13 @@ def _extend(queries: DataFrame, index: Index, first: DataFrame, chosen: DataFram
 
 
 def adaptive_pattern(queries: DataFrame, index: Index, nprobe: int = 10) -> DataFrame:
-    first = fixed(queries, index, nprobe)
-    return _extend(queries, index, first, risky(first, gaps(queries, index, nprobe), nprobe))
+    probes = checkpoint(probe(queries, index.centroids, nprobe + 1))  # one coarse search for votes and gaps
+    first = checkpoint(fixed(queries, index, nprobe, probes))
+    return _extend(queries, index, first, risky(first, gaps(probes, nprobe), nprobe))
 
 
 def adaptive_ambiguous(queries: DataFrame, index: Index, nprobe: int = 10, low: int = S.REPAIR_MIN, high: int = S.REPAIR_MAX) -> DataFrame:
-    first = fixed(queries, index, nprobe)
+    first = checkpoint(fixed(queries, index, nprobe))
     return _extend(queries, index, first, ambiguous(first, low, high))
 
 
@@ -126,8 +131,11 @@ def adaptive_bbox(queries: DataFrame, index: Index, nprobe: int = 10, low: int =
 
     (qid, fraud_count, fraud_score, visited).  The fold over a query's cells is
     one expression; each cell brings only its own five best, as no others of it
-    can be among the five best of all.
+    can be among the five best of all.  In an index without boxes (before version
+    5) nothing is visited: the first vote counts.
     """
+    if not {"min_q", "max_q"} <= set(index.cells.columns) or index.meta.where("version < 5").limit(1).count():
+        return fixed(queries, index, nprobe).select("qid", "fraud_count", F.lit(0).alias("visited"), "fraud_score")
     probes = probe(queries, index.centroids, nprobe)
     top = scan(queries, probes, index)
     first = vote(rerank(queries, top))

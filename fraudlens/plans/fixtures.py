@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.quantize import quantize
+from ..lineage import scratch
 from ..operators import index as I
 from ..operators import search as Q
 
@@ -26,7 +27,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("id % 10 <> 0").select("id", "q", "label")
+    """All vectors; a query's own is among them."""
+    return vectors(spark, sf_dir).select("id", "q", "label")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +39,17 @@ def fine_centroids(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> Da
     return I.kmeans(references(spark, sf_dir), CELLS, rounds, F.col("id"))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build(references(spark, sf_dir), CELLS, ROUNDS, BLOCK, F.col("id"))
+    """The index over references(), written once for each folder and application, and loaded (with its checks) after that."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _BUILT:
+        path = scratch(spark, "index")
+        I.write(I.build(references(spark, sf_dir), CELLS, ROUNDS, BLOCK, F.col("id")), path)
+        _BUILT[key] = path
+    return I.load(spark, _BUILT[key])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +93,21 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, raw): HTTP requests of several kinds around the payloads' lengths."""
+    """(request_id, raw): HTTP requests of ten kinds, also incomplete ones and such with bytes of the next request."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("props").alias("b"))
-    n = F.length("b").cast("string")
-    kind = F.col("request_id") % 5
+    n, kind, end = F.length("b").cast("string"), F.col("request_id") % 10, F.lit("\r\n\r\n")
+    post = lambda line, name, length=n: F.concat(F.lit(f"{line} HTTP/1.1\r\n{name}"), length, end, F.col("b"))
     raw = (
-        F.when(kind == 0, F.concat(F.lit("GET /ready HTTP/1.1\r\nHost: a\r\n\r\n")))
+        F.when(kind == 0, F.lit("GET /ready HTTP/1.1\r\nHost: a\r\n\r\n"))
         .when(kind == 1, F.lit("GET /other HTTP/1.1\r\n\r\n"))
-        .when(kind == 2, F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nContent-Length: "), n, F.lit("\r\n\r\n"), F.col("b")))
-        .when(kind == 3, F.concat(F.lit("POST /x HTTP/1.1\r\ncontent-length:"), n, F.lit("\r\n\r\n"), F.col("b")))
-        .otherwise(F.concat(F.lit("PUT /y HTTP/1.1\r\nCONTENT-LENGTH: \t"), n, F.lit("\r\n\r\n"), F.col("b")))
+        .when(kind == 2, post("POST /fraud-score", "Content-Length: "))
+        .when(kind == 3, post("POST /x", "content-length:"))
+        .when(kind == 4, post("PUT /y", "CONTENT-LENGTH: \t"))
+        .when(kind == 5, F.concat(post("POST /fraud-score", "Content-Length: "), F.lit("GET /ready HTTP/1.1\r\n\r\n")))  # the next request follows
+        .when(kind == 6, post("POST /fraud-score", "Content-Length: 9"))  # more bytes must come
+        .when(kind == 7, F.concat(F.lit("POST /z HTTP/1.1\r\nHost: a\r\n\r\nContent-Length: 7"), F.col("b")))  # the name stands in the body only
+        .when(kind == 8, F.lit("GET /ready\r\n\r\n"))  # no version
+        .otherwise(F.concat(F.lit("POST /fraud-score HTTP/1.1\r\nContent-Length: "), n))  # no end of headers
     )
     return e.select("request_id", raw.alias("raw"))
 

@@ -9,7 +9,7 @@ _VEC = """
 vec AS (SELECT vec_id AS id, list_transform(embedding[1:14], lambda v: CAST(v AS DOUBLE)) AS x,
   list_transform(embedding[1:14], lambda v: CAST(greatest(-32767, least(32767, round(CAST(v AS DOUBLE) * 10000))) AS BIGINT)) AS q,
   CAST(label % 2 AS BIGINT) AS label FROM embeddings),
-ref AS (SELECT id, q, label FROM vec WHERE id % 10 <> 0),
+ref AS (SELECT id, q, label FROM vec),
 qry AS (SELECT id AS qid, x, q, label AS qlabel FROM vec WHERE id % 10 = 0)"""
 
 
@@ -64,6 +64,21 @@ _MERGED = "merged AS (SELECT qid, fraud_count, fraud_score, FALSE AS expanded FR
 _WIDE = _scan("p2", 48, " AND p.qid IN (SELECT qid FROM chosen)")
 _ADAPTIVE = f"{_INDEX}, {_scan('p1', NPROBE)}, {_PATTERN}, {_WIDE}, {_MERGED}"
 
+#: rep(qid, fraud_count, visited): ambiguous queries visit up to 8 further cells by the lower bound of their boxes.
+_FRAUD = "CAST(list_sum(list_transform({}, lambda t: t.label)) AS BIGINT)"
+_NEXT = "list_sort(list_concat(s.top, c.top))[1:5]"
+_REPAIR = f"""fifth AS (SELECT qid, CASE WHEN count(*) >= 5 THEN max(d) END AS worst FROM p1t GROUP BY qid),
+box AS (SELECT cell_id, t.i, min(q[t.i]) AS lo, max(q[t.i]) AS hi FROM iv CROSS JOIN range(1, 15) t(i) GROUP BY cell_id, t.i),
+low AS (SELECT y.qid, b.cell_id, CAST(sum(power(greatest(b.lo - y.q[b.i], 0, y.q[b.i] - b.hi), 2)) AS BIGINT) AS lb FROM qry y JOIN chosen USING (qid) CROSS JOIN box b GROUP BY y.qid, b.cell_id),
+able AS (SELECT l.qid, l.cell_id, l.lb, row_number() OVER (PARTITION BY l.qid ORDER BY l.lb, l.cell_id) AS visit FROM low l LEFT JOIN fifth f ON f.qid = l.qid
+  WHERE (f.worst IS NULL OR l.lb < f.worst) AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.qid = l.qid AND r.cell_id = l.cell_id AND r.cell_rank <= {NPROBE})),
+near AS (SELECT a.qid, a.visit, a.lb, v.pos, v.label, {_d('y.q', 'v.q')} AS d FROM able a JOIN qry y ON y.qid = a.qid JOIN iv v ON v.cell_id = a.cell_id WHERE a.visit <= 8),
+five AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY qid, visit ORDER BY d, pos) <= 5),
+cell AS (SELECT qid, visit, lb, list({{'d': d, 'visit': CAST(visit AS BIGINT), 'pos': CAST(pos AS BIGINT), 'label': CAST(label AS BIGINT)}}) AS top FROM five GROUP BY qid, visit, lb),
+begun AS (SELECT qid, list_sort(list({{'d': d, 'visit': CAST(0 AS BIGINT), 'pos': CAST(rn AS BIGINT), 'label': CAST(label AS BIGINT)}})) AS top FROM p1t JOIN chosen USING (qid) GROUP BY qid),
+st AS (SELECT qid, CAST(0 AS BIGINT) AS v, top, FALSE AS done FROM begun UNION ALL
+  SELECT s.qid, s.v + 1, {_NEXT}, {_FRAUD.format(_NEXT)} NOT BETWEEN 1 AND 4 FROM st s JOIN cell c ON c.qid = s.qid AND c.visit = s.v + 1 WHERE NOT s.done AND NOT (len(s.top) >= 5 AND c.lb >= s.top[5].d)),
+rep AS (SELECT qid, {_FRAUD.format('top')} AS fraud_count, v AS visited FROM st QUALIFY row_number() OVER (PARTITION BY qid ORDER BY v DESC) = 1)"""
 _RISK = "CASE mcc " + " ".join(f"WHEN '{m}' THEN {r}" for m, r in MCC_RISK.items()) + " ELSE 0.5 END"
 _MCC = "[" + ", ".join(f"'{m}'" for m in MCCS) + "]"
 _PAY = f"""
@@ -116,7 +131,20 @@ def oracle_sql() -> dict[str, str]:
                 "merchant_avg": "merchant_avg", "is_online": "is_online", "card_present": "card_present", "km_home": "km_home", "last_at": _ISO.format("last_ts"), "last_km": "CASE WHEN last_ts IS NOT NULL THEN last_km END",
             }.items()) + " FROM pl",
         "known_merchant_flag": f"WITH {_PAY} SELECT request_id, CAST(f[12] AS BIGINT) AS unknown_merchant FROM ft",
-        "route_requests": """SELECT event_id AS request_id, CASE event_id % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'not_found' ELSE 'fraud' END AS kind, CASE WHEN event_id % 5 < 2 THEN 0 ELSE length(props) END AS content_length, CASE WHEN event_id % 5 < 2 THEN '' ELSE props END AS body FROM events""",
+        "route_requests": """WITH r AS (SELECT event_id AS request_id, event_id % 10 AS k, props, strlen(props) AS n FROM events)
+            SELECT request_id, CASE WHEN k = 0 THEN 'ready' WHEN k IN (1, 8) THEN 'not_found' WHEN k IN (6, 9) THEN 'need' ELSE 'fraud' END AS kind,
+            CASE WHEN k IN (2, 3, 4, 5) THEN n WHEN k = 6 THEN CAST('9' || n AS BIGINT) ELSE 0 END AS content_length, CASE WHEN k IN (2, 3, 4, 5) THEN props ELSE '' END AS body,
+            CASE k WHEN 0 THEN 32 WHEN 1 THEN 23 WHEN 2 THEN 49 + len(CAST(n AS VARCHAR)) + n - 1 WHEN 3 THEN 37 + len(CAST(n AS VARCHAR)) + n WHEN 4 THEN 38 + len(CAST(n AS VARCHAR)) + n WHEN 5 THEN 48 + len(CAST(n AS VARCHAR)) + n WHEN 7 THEN 29 WHEN 8 THEN 14 ELSE 0 END AS consumed FROM r""",
+        "http_responses": f"""WITH r AS (SELECT event_id AS request_id, event_id % 10 AS k, CASE WHEN event_id % 7 <= 5 THEN event_id % 7 ELSE 0 END AS f FROM events), b AS (SELECT *, {_BODY.format('f')} AS body FROM r)
+            SELECT request_id, CASE WHEN k = 0 THEN 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Length:0' || chr(13) || chr(10) || chr(13) || chr(10) WHEN k IN (1, 8) THEN 'HTTP/1.1 404 Not Found' || chr(13) || chr(10) || 'Content-Length:0' || chr(13) || chr(10) || chr(13) || chr(10)
+            WHEN k NOT IN (6, 9) THEN 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Length:' || len(body) || chr(13) || chr(10) || chr(13) || chr(10) || body END AS response FROM b""",
+        "scan_reference_file": f"WITH {_VEC}, l AS ({_dims('vec', 'label', 'q', 'q')}) SELECT label, dim, q, count(*) AS n FROM l GROUP BY label, dim, q",
+        "scan_test_data": f"WITH {_PAY} SELECT request_id, request_id % 3 > 0 AS expected_approved, amount FROM pl WHERE request_id % 101 <> 4",
+        "initial_centroids": f"WITH {_VEC}, c AS (SELECT row_number() OVER (ORDER BY (id % 2147483648) * 2654435761 % 4294967296, id) - 1 AS cell_id, q FROM ref QUALIFY cell_id < {CELLS}) {_dims('c', 'cell_id', f'list_transform(q, lambda v: v * {CENTROID_FINE})', 'c')}",
+        "option_clamping": "SELECT i, greatest(1, least(64, i - 20)) AS nprobe, least(i % 9, 5) AS repair_min, least(i % 11, 5) AS repair_max, greatest(1, least(128, 2 * i - 40)) AS repair_candidates FROM (SELECT unnest(range(200)) AS i)",
+        "final_score": f"""WITH {_PRED}, {_COUNTS}, {_SCORE.replace('SELECT tp,', ', sc AS (SELECT tp,', 1)}), l AS (SELECT quantile_cont(value, 0.99) AS p FROM events), t AS (SELECT p, CASE WHEN p <= 0 THEN 0.0 WHEN p > 2000 THEN -3000.0 ELSE 1000 * log10(1000 / greatest(p, 1.0)) END::DOUBLE AS ps FROM l)
+            SELECT weighted_errors, round(p, 6) AS p99, round(ps, 6) AS p99_score, detection_score, round(ps + detection_score, 6) AS final_score FROM sc, t""",
+        "throughput": "SELECT event_type, count(*) AS n, round(count(*) / CAST(epoch(max(date_trunc('second', ts))) - epoch(min(date_trunc('second', ts))) AS DOUBLE), 9) AS per_second FROM events GROUP BY event_type",
         "fail_open": f"WITH {_PAY}, n AS (SELECT request_id, CASE WHEN is_valid THEN request_id % 6 ELSE 0 END AS fraud_count FROM pl) SELECT request_id, fraud_count, {_BODY.format('fraud_count')} AS response FROM n",
         "warmup_vectors": "SELECT CAST(i AS BIGINT) AS i, CAST(d AS BIGINT) AS dim, CASE WHEN i % 4 = 0 AND d IN (5, 6) THEN -1.0 ELSE ((i * 131 + d * 17) % 1000) / 1000.0 END::DOUBLE AS value FROM range(2048) a(i) CROSS JOIN range(14) b(d)",
         "amount_features": _f("amount", "installments", "amount_vs_avg", start=1),
@@ -148,6 +176,7 @@ def oracle_sql() -> dict[str, str]:
         "rank_bits": f"{fixed} SELECT qid, bits FROM p1v",
         "adaptive_pattern": f"WITH {_ADAPTIVE} SELECT qid, fraud_count, fraud_score, expanded FROM merged",
         "adaptive_ambiguous": f"WITH {_INDEX}, {_scan('p1', NPROBE)}, {_AMBIGUOUS}, {_WIDE}, {_MERGED} SELECT qid, fraud_count, fraud_score, expanded FROM merged",
+        "adaptive_bbox": f"WITH RECURSIVE {_INDEX}, {_scan('p1', NPROBE)}, {_AMBIGUOUS}, {_REPAIR} SELECT v.qid, coalesce(r.fraud_count, v.fraud_count) AS fraud_count, coalesce(r.fraud_count, v.fraud_count) / 5.0 AS fraud_score, coalesce(r.visited, 0) AS visited FROM p1v v LEFT JOIN rep r ON r.qid = v.qid",
         "decision": f"{fixed} SELECT qid, fraud_count < 3 AS approved, fraud_score FROM p1v",
         "response_body": f"WITH n AS (SELECT event_id, CASE WHEN event_id % 8 <= 5 THEN event_id % 8 ELSE 0 END AS f FROM events) SELECT event_id, {_BODY.format('f')} AS response FROM n",
         "confusion_class": f"WITH {_PRED} SELECT qid, {_CLASS} AS class FROM pr",

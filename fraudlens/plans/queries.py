@@ -15,7 +15,8 @@ from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import search as Q
 from ..operators.scoring import score_requests, vectorise
-from ..sources.requests import entries, routed, warm_up
+from ..lineage import scratch
+from ..sources.requests import entries, read_references, read_test_data, routed, warm_up, write_references, write_test_data
 from . import fixtures as Fx
 
 _NP = Fx.NPROBE
@@ -54,7 +55,7 @@ def known_merchant_flag(spark, sf_dir):
 
 
 def route_requests(spark, sf_dir):
-    return routed(Fx.raw_requests(spark, sf_dir)).select("request_id", "kind", "content_length", "body")
+    return routed(Fx.raw_requests(spark, sf_dir)).select("request_id", "kind", "content_length", "body", "consumed")
 
 
 def fail_open(spark, sf_dir):
@@ -278,12 +279,62 @@ def recall_by_nprobe(spark, sf_dir):
 
 
 def score_payloads(spark, sf_dir):
-    """From request text to response, exact search over the reference vectors (oracle-checked end to end)."""
+    """From request text to response, by fixed probing of the index."""
     index = Fx.index(spark, sf_dir)
     out = score_requests(Fx.payloads(spark, sf_dir), index, Q.QueryOptions(nprobe=_NP, mode="fixed"))
     return out.select("request_id", "is_valid", F.col("fraud_count").cast("long").alias("fraud_count"), "approved", "response")
 
 
+def http_responses(spark, sf_dir):
+    routed_ = routed(Fx.raw_requests(spark, sf_dir))
+    return routed_.select("request_id", D.full_response(F.col("kind"), (F.col("request_id") % 7).cast("int")).alias("response"))
+
+
+def scan_reference_file(spark, sf_dir):
+    """The embeddings through a gzipped JSON array and back; ids are dealt anew, so rows are told by their values."""
+    rows = Fx.table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("vector"), F.when(F.col("label") % 2 == 1, "fraud").otherwise("legit").alias("label"))
+    path = scratch(spark, "references")
+    write_references(rows, path)
+    read = read_references(spark, path)
+    return read.select(F.col("label").cast("long").alias("label"), *_long(F.col("q"), "dim", "q")).groupBy("label", F.col("dim").cast("long").alias("dim"), F.col("q").cast("long").alias("q")).agg(F.count("*").alias("n"))
+
+
+def scan_test_data(spark, sf_dir):
+    """The payloads through a labelled test file and back; a broken one gives a request of nulls."""
+    path = scratch(spark, "test-data")
+    write_test_data(Fx.payloads(spark, sf_dir).where("body <> 'not json'").select("body", (F.col("request_id") % 3 > 0).alias("expected_approved")), path)
+    read = read_test_data(spark, path)
+    id_ = F.regexp_extract(F.get_json_object("body", "$.id"), "tx-([0-9]+)", 1).cast("long")
+    return read.select(id_.alias("request_id"), "expected_approved", F.get_json_object("body", "$.transaction.amount").cast("double").alias("amount"))
+
+
+def initial_centroids(spark, sf_dir):
+    return _centroid_rows(I.initial_centroids(Fx.references(spark, sf_dir), Fx.CELLS))
+
+
+def option_clamping(spark, sf_dir):
+    rows = []
+    for i in range(200):
+        o = Q.QueryOptions(nprobe=i - 20, repair_min=i % 9, repair_max=i % 11, repair_candidates=2 * i - 40).clamped()
+        rows.append((i, o.nprobe, o.repair_min, o.repair_max, o.repair_candidates))
+    return spark.createDataFrame(rows, "i long, nprobe long, repair_min long, repair_max long, repair_candidates long")
+
+
+def final_score(spark, sf_dir):
+    """The results file, written and read back."""
+    p99 = E.latency(Fx.table(spark, sf_dir, "events"), "value")
+    path = scratch(spark, "results")
+    E.write_report(E.report(E.confusion_counts(Fx.predictions(spark, sf_dir, False)), p99), path)
+    raw = "p99 double, failure_rate double, epsilon double, p99_score double, detection_score double, final_score double"
+    read = spark.read.schema(f"p99 string, scoring struct<weighted_errors_E: long, final_score: double, raw: struct<{raw.replace(' ', ': ').replace(',:', ',')}>>").json(path)
+    return read.select(F.col("scoring.weighted_errors_E").alias("weighted_errors"), *(F.round(f"scoring.raw.{c}", 6).alias(c) for c in ("p99", "p99_score", "detection_score", "final_score")))
+
+
+def throughput(spark, sf_dir):
+    times = Fx.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
+    return times.select("event_type", "n", F.round(E.throughput(F.col("n"), F.col("seconds")), 9).alias("per_second"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings -> quantise -> exact five nearest -> vote -> decision."""
     votes = Q.vote(Q.exact(Fx.queries(spark, sf_dir), Fx.references(spark, sf_dir)), "rn")
@@ -295,6 +346,7 @@ _ALL = [
     feature_vector, quantized_features, distance_i16, bbox_lower_bound, assign_cells, kmeans_step, kmeans_fit, cell_offsets, cell_order, cell_bounds, block_bounds, index_validate,
     coarse_distances, probe_cells, exact_knn, ivf_topk_fixed, block_prune_check, rerank, vote, rank_bits, adaptive_pattern, adaptive_ambiguous, adaptive_bbox, decision, response_body,
     confusion_class, confusion_counts, detection_score, detection_score_cut, dataset_stats, latency_p99, p99_score, recall_by_nprobe, score_payloads, flagship,
+    http_responses, scan_reference_file, scan_test_data, initial_centroids, option_clamping, final_score, throughput,
 ]
 
 

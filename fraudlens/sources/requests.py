@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from .. import schema as S
-from ..functions.payload import content_length, route
+from ..functions.payload import content_length, header_end, headers, route
 from ..functions.quantize import quantize
 
 
@@ -43,11 +43,23 @@ def read_test_data(spark: SparkSession, path: str) -> DataFrame:
 
 
 def routed(requests: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds kind, content_length and body to raw HTTP requests."""
-    text = F.col(raw)
-    at = F.locate("\r\n\r\n", text)
-    body = F.when(at > 0, F.expr(f"substring({raw}, locate('\\r\\n\\r\\n', {raw}) + 4)"))
-    return requests.withColumns({"kind": route(text), "content_length": content_length(text), "body": F.coalesce(body, F.lit(""))})
+    """Adds kind, content_length, body and consumed (bytes) to raw HTTP requests.
+
+    A body has exactly as many bytes as its headers say; what follows belongs to
+    the next request.  An incomplete request consumes nothing.
+    """
+    text = F.coalesce(F.col(raw), F.lit(""))
+    kind, length, start = route(text), content_length(headers(text)), header_end(text)
+    body = F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, length.cast("int")), "UTF-8")
+    is_fraud = kind == "fraud"
+    return requests.withColumns(
+        {
+            "kind": kind,
+            "content_length": length,
+            "body": F.when(is_fraud, body).otherwise(""),
+            "consumed": F.when(kind == "need", 0).when(is_fraud, start + length).otherwise(start).cast("bigint"),
+        }
+    )
 
 
 def warm_up(spark: SparkSession, n: int = 2048) -> DataFrame:
@@ -55,3 +67,14 @@ def warm_up(spark: SparkSession, n: int = 2048) -> DataFrame:
     value = lambda d: ((F.col("i") * 131 + d * 17) % 1000) / 1000.0
     cells = [F.when((F.col("i") % 4 == 0), -1.0).otherwise(value(d)) if d in (5, 6) else value(d) for d in range(S.DIMS)]
     return spark.range(n).withColumnRenamed("id", "i").select("i", F.array(*cells).alias("x"))
+
+
+def write_references(rows: DataFrame, path: str) -> None:
+    """rows(vector, label) as one gzipped JSON array, the form read_references() takes; for files of test size, as one array is one task."""
+    rows.agg(F.to_json(F.collect_list(F.struct("vector", "label"))).alias("value")).coalesce(1).write.option("compression", "gzip").text(path)
+
+
+def write_test_data(rows: DataFrame, path: str) -> None:
+    """rows(body, expected_approved) as a labelled test file, the form read_test_data() takes; for files of test size."""
+    entry = F.struct(F.from_json("body", S.PAYLOAD).alias("request"), "expected_approved")
+    rows.agg(F.to_json(F.struct(F.collect_list(entry).alias("entries")), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)

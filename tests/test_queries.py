@@ -12,7 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 #: Queries that share most of their plan with one of these are left to the correctness run.
 NAMES = [
     "scan_reference", "parse_payload", "route_requests", "fail_open", "warmup_vectors", "feature_vector", "quantized_features", "minutes_diff", "distance_i16", "bbox_lower_bound", "assign_cells", "kmeans_fit",
-    "cell_order", "cell_bounds", "block_bounds", "probe_cells", "exact_knn", "block_prune_check", "rerank", "adaptive_pattern", "adaptive_ambiguous", "response_body", "detection_score", "latency_p99", "flagship",
+    "cell_order", "cell_bounds", "block_bounds", "probe_cells", "exact_knn", "block_prune_check", "rerank", "adaptive_pattern", "adaptive_ambiguous", "adaptive_bbox", "response_body", "final_score", "latency_p99", "flagship",
+    "http_responses", "scan_reference_file", "scan_test_data", "initial_centroids", "option_clamping", "throughput", "score_payloads",
 ]
 
 
@@ -45,3 +46,10 @@ def test_matches_duckdb(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracles.oracle_sql()) <= set(queries.queries())
+
+
+@pytest.mark.parametrize("name, most", [("feature_vector", 1), ("parse_payload", 1), ("score_payloads", 3)])
+def test_bodies_are_parsed_once(spark, name, most):
+    """One from_json for each use of the payloads: the optimiser copies none into predicates or features."""
+    plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= most

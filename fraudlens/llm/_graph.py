@@ -61,14 +61,28 @@ def pack_edges(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
     return pack_sorted(a), pack(b)
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def _solve(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges in one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in rows if b.num_rows]
+    if parts:
+        node, root = components(*(np.concatenate(x) for x in zip(*parts)))
+        for k in range(0, len(node), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 50_000]), pa.array(root[k : k + 50_000])], ["node", "component"])
+
+
+def connected(edges: DataFrame, few: int = 1_000_000) -> DataFrame:
     """(node, component): every node of edges(a, b) with the smallest node of its component.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a
+    Up to `few` edges, which are counted, fit into one task.  More take
+    alternating large-star and small-star steps, each a grouped minimum and a
     join, checkpointed each round; about log(diameter) rounds, until nothing
     changes.  Loops and repeated edges are allowed; nulls are dropped.
     """
-    edges = checkpoint(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = checkpoint(edges)
+    if edges.count() <= few:
+        return checkpoint(edges.coalesce(1).mapInArrow(_solve, "node long, component long"))
+    edges = edges.distinct()
     mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
@@ -114,7 +128,7 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
     def run(rows: DataFrame) -> DataFrame:
         rows = rows.select("component", "one", "two", "side", "node").join(texts, "node").select("component", "one", "two", "side", "node", *columns)
         rows = rows.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "side")
-        return checkpoint(merge_forests(rows.mapInArrow(check, "a binary, b binary"), max(1, parts // 4)))
+        return merge_forests(rows.mapInArrow(check, "a binary, b binary"), max(1, parts // 4))
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("blocks", count(F.col("size")))
@@ -125,7 +139,7 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
         return connected(run(placed.select("component", "node", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"))))
     texts = checkpoint(texts)
     own = of(F.col("blocks"))
-    edges = run(placed.select("component", "node", own.alias("one"), own.alias("two"), F.lit(0).alias("side")))
+    edges = checkpoint(run(placed.select("component", "node", own.alias("one"), own.alias("two"), F.lit(0).alias("side"))))
 
     def labelled() -> DataFrame:
         found = connected(edges).withColumnRenamed("component", "label")

@@ -26,7 +26,8 @@ of their words; the README has the recall measured.
 3. The normal forms of these lines are read again (a bitmap keeps others out) and
    sent to their blocks, where candidates are verified by Myers' bit-parallel
    distance, each pair in the first block that it shares, and none that is
-   connected already; see _graph.confirmed() for large blocks.
+   connected already; see _graph.confirmed() for large blocks.  A few blocks come
+   first, as most links show there.
 4. Components of the verified links give the groups.  Keys that hold more lines
    than a shuffle partition's share are few, so these meet their lines by a
    broadcast, the others by a join.
@@ -49,8 +50,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._bitmap import Bitmap, member_bitmap
-from ._checkpoint import checkpoint, stored
-from ._graph import confirmed, pack_edges
+from ._checkpoint import checkpoint, release, stored
+from ._graph import confirmed, connected, pack_edges
 from ._packed import pack, pack_sorted, record_batches, runs, unpack, unpack_sorted
 from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
 
@@ -61,6 +62,8 @@ BLOCKS = 12
 #: Lines of fewer words than the first number may need blocks of pairs, those of at least the second blocks of words.
 #: They overlap so far that lines of edit similarity 0.8 have a kind in common: 24 words are the border.
 PAIRS_BELOW, WORDS_FROM = 32, 18
+#: Blocks that are looked at first.
+EARLY = 3
 #: Places of 128 in which the SimHashes of candidates may differ.
 BITS = 34
 
@@ -178,7 +181,7 @@ def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deal(buckets: int, least: int):
     """Sketches dealt out by block: a row for each bucket with the blocks' hashes and the lines' keys, SimHashes and lengths."""
-    schema = pa.schema([("bucket", pa.int32()), ("hole", pa.binary()), ("key", pa.binary()), ("sim", pa.binary()), ("size", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("number", "hole", "key", "sim", "size"))])
 
     def flush(held: list[tuple]) -> Iterator[tuple]:
         key, sim, size, who, hole = (np.concatenate(x) for x in zip(*held))
@@ -189,12 +192,12 @@ def _deal(buckets: int, least: int):
         ok[one] = True
         ok = ok[who]
         who, hole = who[ok], hole[ok]
-        to = ((mix64(hole.astype(_U)) >> _U(32)) % _U(buckets)).astype(np.int32)
+        to = ((mix64(hole) >> _U(32)) % _U(buckets)).astype(np.int32)
         order = np.lexsort((key[who], to))
         who, hole, to = who[order], hole[order], to[order]
         for a, b in runs(to):
             w = who[a:b]
-            yield int(to[a]), pack(hole[a:b]), pack_sorted(key[w].view(np.int64)), pack(sim[w].reshape(-1)), pack(size[w])
+            yield int(to[a]), pack((hole[a:b] >> _U(32)).astype(np.uint8)), pack(hole[a:b].astype(np.uint32)), pack_sorted(key[w].view(np.int64)), pack(sim[w].reshape(-1)), pack(size[w])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -202,7 +205,7 @@ def _deal(buckets: int, least: int):
             key, _, _, at, m, words, size = _lines(batch.column(0), least)
             _, pick = np.unique(key, return_index=True)
             sim, who, hole = sketch(words, at[pick], m[pick])
-            held.append((key[pick], sim, _long(size(at[pick], m[pick])), who, hole.astype(np.uint32)))
+            held.append((key[pick], sim, _long(size(at[pick], m[pick])), who, hole))
             n += len(pick)
             if n >= 1 << 17:
                 yield from record_batches(flush(held), schema, 16)
@@ -223,10 +226,11 @@ def _pair_up(bits: int, similarity: float):
     longer = int(16 * np.log2(1 / similarity)) + 1
 
     def close(part: list) -> Iterator[pa.RecordBatch]:
-        hole = np.concatenate([unpack(x[0], np.uint32) for x in part])
-        key = np.concatenate([unpack_sorted(x[1]) for x in part])
-        sim = np.concatenate([unpack(x[2], _U) for x in part]).reshape(-1, 2)
-        size = np.concatenate([unpack(x[3], np.uint8) for x in part]).astype(np.int16)
+        number, hole = (np.concatenate([unpack(x[k], kind) for x in part]).astype(np.int64) for k, kind in ((0, np.uint8), (1, np.uint32)))
+        hole |= number << 32
+        key = np.concatenate([unpack_sorted(x[2]) for x in part])
+        sim = np.concatenate([unpack(x[3], _U) for x in part]).reshape(-1, 2)
+        size = np.concatenate([unpack(x[4], np.uint8) for x in part]).astype(np.int16)
         part.clear()
         order = np.lexsort((key, hole))
         hole, key = hole[order], key[order]
@@ -245,7 +249,7 @@ def _pair_up(bits: int, similarity: float):
         at = np.flatnonzero(found)
         for k in range(0, len(at), 50_000):
             some = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(hole[some].astype(np.int64)), pa.array(key[some])], ["component", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(hole[some]), pa.array(key[some])], ["component", "node"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, []
@@ -384,9 +388,10 @@ def _place_column(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(bits: int, similarity: float):
-    """Over rows (component, one, two, side, node, form) sorted by the first four: verified links as packed forests.
+    """Over rows (component, one, two, side, node, form, label) sorted by the first four: verified links as packed forests.
 
-    A component is a block; a pair is verified in the first block that it has in common.
+    A component is a block; a pair is verified in the first block that it has in
+    common, unless its labels are equal: then it is connected already.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -396,11 +401,12 @@ def _verify(bits: int, similarity: float):
         def close() -> None:
             if len(lines) < 2:
                 return
-            side, key, form, low, high, holes = zip(*lines)
+            side, key, form, label, low, high, holes = zip(*lines)
             sims = np.array([low, high], _U).T
             size = np.array([*map(len, form)])
             side = np.array(side)
-            root = list(range(len(lines)))
+            known: dict[int, int] = {}
+            root = [known.setdefault(x, i) for i, x in enumerate(label)]
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -416,7 +422,7 @@ def _verify(bits: int, similarity: float):
                 ok = near(sims[:m], sims[i], bits) & (np.minimum(size[:m], size[i]) >= np.maximum(size[:m], size[i]) * similarity - 1e-6)
                 for j in np.flatnonzero(ok).tolist():
                     a, b = find(i), find(j)
-                    if a != b and min(holes[i] & holes[j]) & 0xFFFFFFFF == at[0] and alike(form[i], form[j], similarity, pairs):
+                    if a != b and min(holes[i] & holes[j]) == at[0] and alike(form[i], form[j], similarity, pairs):
                         root[max(a, b)] = min(a, b)
                         left.append(key[i])
                         right.append(key[j])
@@ -428,11 +434,11 @@ def _verify(bits: int, similarity: float):
             order = np.argsort(who, kind="stable")
             cut, hole = np.searchsorted(who[order], np.arange(batch.num_rows + 1)), hole[order].tolist()
             holes = [frozenset(hole[a:b]) for a, b in zip(cut, cut[1:])]
-            for component, one, two, side, key, form, low, high, own in zip(*(c.to_pylist() for c in batch.columns), *sims.T.tolist(), holes):
+            for component, one, two, side, key, form, label, low, high, own in zip(*(c.to_pylist() for c in batch.columns), *sims.T.tolist(), holes):
                 if (component, one, two) != at:
                     close()
                     at, lines = (component, one, two), []
-                lines.append((side, key, form, low, high, own))
+                lines.append((side, key, form, label, low, high, own))
         close()
         if left:
             a, b = np.array(left, np.int64), np.array(right, np.int64)
@@ -450,15 +456,26 @@ def removals(docs: DataFrame, least: int = 5, bits: int = BITS, similarity: floa
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     seen = stored(docs.mapInArrow(_occurrences, "key long, doc_id long, h long, line int"))
     lines = checkpoint(seen.groupBy("key").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.count("*").alias("n")))
-    dealt = docs.select("text").mapInArrow(_deal(parts, least), "bucket int, hole binary, key binary, sim binary, size binary")
+    dealt = docs.select("text").mapInArrow(_deal(parts, least), "bucket int, number binary, hole binary, key binary, sim binary, size binary")
     paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "component long, node long")
     blocks = checkpoint(paired)
+    del dealt, paired
+    release(spark)  # the sketches are the largest shuffle here
     members = checkpoint(lines.join(blocks.select("node").distinct(), F.col("key") == F.col("node")).select("node", "first.*"))
     places = members.select("doc_id", "h", "line").mapInArrow(_place_column, "place long")
     forms = docs.mapInArrow(_forms(member_bitmap(places)), "doc_id long, h long, line int, form string")
     # Equal rows hold a line each.
-    forms = forms.join(members, ["doc_id", "h", "line"]).select("node", "form").dropDuplicates(["node"])
-    found = confirmed(blocks, forms, _verify(bits, similarity), most)
+    forms = checkpoint(forms.join(members, ["doc_id", "h", "line"]).select("node", "form").dropDuplicates(["node"]))
+    # Most links show in the first few blocks; of the others only those matter that still hold lines of different sets.
+    early = F.shiftright("component", 32) % BLOCKS < EARLY
+    found = confirmed(blocks.where(early), forms.withColumn("label", F.col("node")), _verify(bits, similarity), most)
+    label = found.select("node", F.col("component").alias("label"))
+    late = blocks.where(~early).join(label, "node", "left").select("component", "node", F.coalesce("label", "node").alias("label"))
+    mixed = late.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("component")
+    late = checkpoint(late.join(mixed, "component").select("component", "node"))
+    labelled = forms.join(label, "node", "left").select("node", "form", F.coalesce("label", "node").alias("label"))
+    more = confirmed(late, labelled, _verify(bits, similarity), most)
+    found = connected(found.union(more).toDF("a", "b"))
     grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("group"), "first", "n")
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
     stays = checkpoint(grouped.join(kept.where(F.col("all") > 1), "group").select("key", "n", "kept"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fraudlens.llm import ann, bpe, line_dedup, minhash_dedup, pii, quality, substring_dedup, toxicity, url_filter
+from fraudlens.llm import _graph, ann, bpe, line_dedup, minhash_dedup, pii, quality, substring_dedup, toxicity, url_filter
 
 from . import fixtures as Fx
 
@@ -333,3 +333,19 @@ def test_urls(spark):
     assert [(got[i].host, got[i].path) for i in (0, 1, 3, 4, 9)] == [("", ""), ("", ""), ("a.org", ""), ("b.example.org", "/es/1"), ("b:", "//c/d")]
     assert [(got[i].rule, got[i].verdict) for i in (2, 4, 5, 6, 7, 8)] == [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
     assert got[3].rule is None and got[10].verdict == "block" and got[201].verdict == "allow" and got[12].rule is None
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components(spark, few):
+    """The task for few edges and the rounds for many, against union by hand."""
+    rng = __import__("random").Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(1, 60)] + [(2000 + k, 2001 + k) for k in range(40)] + [(7, 7)]
+    groups = Sets({x for e in edges for x in e})
+    for a, b in edges:
+        groups.join(a, b)
+    low = {}
+    for x in {x for a, b in edges if a != b for x in (a, b)}:
+        low.setdefault(groups.find(x), []).append(x)
+    expected = {x: min(g) for g in low.values() for x in g}
+    df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
+    assert {r.node: r.component for r in _graph.connected(df, few).collect()} == expected

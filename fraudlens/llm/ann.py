@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search in it.
 
-Rows whose vector is null, zero, of another length than most, or holds null or
-non-finite components take no part.  Equal vectors collapse to one node, so
-copies of a vector don't fill each other's neighbour lists; results are expanded
-to the copies with the smallest ids again.
+Rows whose id or vector is null, and vectors that are empty, zero, or hold null
+or non-finite components, take no part.  Vectors are only compared with those of
+their own length, each length having a graph of its own.  Equal vectors collapse
+to one node, so copies of a vector don't fill each other's neighbour lists;
+results are expanded to the copies with the smallest ids again.  Of several rows
+of one id the one whose vector has the smallest digest counts.  An empty table
+gives no rows; scores of equal size go by the smaller id.
 
 Building: nodes get first neighbours from small blocks (hashed at random, and by
 the signs of random projections, large blocks cut up by a hash), then
-NN-descent: each round every node sends its vector to its neighbours and to the
-nodes that have it as one; a node's visitors are compared with one another, and
-the best few pairs of each update both ends' lists.  Lists are summed up in each task before
-they are shuffled, so a hub costs a list per task and not a row per neighbour.
-A round is a few joins on node ids; nothing is collected but a count.
-
-Search: a beam for each query starts from fixed entry nodes, and from the
-query's own neighbours if it is a node; each round joins the best nodes that are
-not yet expanded with their neighbour lists, and the new ones with their
-vectors, until no beam changes or a number of
-rounds has passed.  The beam is then scored again in double
-precision on the original vectors, and ties go to the smaller id.
+NN-descent: each round a node's neighbours, and the nearest `k` of those that
+have it as one, are joined to it with their vectors and compared with one
+another, but for pairs of which both were there the round before.  Only what
+would enter an end's list is kept, the best few of each.  Rounds go on until
+fewer than a thousandth of all list entries change.  Lists are summed up in each
+task before they are shuffled and hold `k` entries at most, so a hub costs a
+list per task; nothing is collected but counts.
+
+Search: a query is a row of the table, so its beam starts from its own node's
+lists; each round joins the best nodes of each beam that are not yet expanded
+with their lists, both ways, and the new ones with their vectors, until no beam
+has a node left to expand.  The best of each beam are then scored again in
+double precision on the original vectors.  The beam grows with the logarithm of
+the number of nodes.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from ._checkpoint import checkpoint
 from ._packed import runs
 
 _LIST = "id long, nb binary, sim binary"
+_GRAPH = "id long, vec binary, nb binary, sim binary, new binary, changed long"
 
 
 def _floats(column: pa.Array, kind: type, dims: int) -> np.ndarray:
@@ -91,14 +97,20 @@ class _Lists:
             yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5000], pa.int64()), pa.array(nb[k : k + 5000], pa.binary()), pa.array(sims[k : k + 5000], pa.binary())], ["id", "nb", "sim"])
 
 
+def _units(vec: np.ndarray) -> np.ndarray:
+    """Rows over their lengths, in double precision, without overflow or underflow for any finite components."""
+    big = np.abs(vec).max(axis=1, keepdims=True)
+    # Plain values stay as they are.
+    unit = np.where((big > 1e100) | (big < 1e-100), vec / big, vec)
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
 def _normalised(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         if batch.num_rows:
             vec = np.array(batch.column(1).to_pylist(), np.float64)
-            big = np.abs(vec).max(axis=1, keepdims=True)
-            unit = vec / big
-            unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(np.float32).tobytes() for v in unit], pa.binary()), pa.array([v.tobytes() for v in vec], pa.binary())], ["id", "vec", "exact"])
+            unit = _units(vec).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in unit], pa.binary()), pa.array([v.tobytes() for v in vec], pa.binary())], ["id", "vec", "exact"])
 
 
 def _blocks(dims: int, rounds: int, bits: int, seed: int):
@@ -152,59 +164,134 @@ def _compare(dims: int, k: int, most: int):
     return run
 
 
+def _flat(column: list, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values one after another, row of each) of packed lists; a null is an empty one."""
+    parts = [x or b"" for x in column]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), np.repeat(np.arange(len(parts)), [len(x) // size for x in parts])
+
+
+def _cut_up(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    at = np.searchsorted(row, np.arange(n + 1))
+    return pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+
+
 def _merge(k: int):
-    """(id, vec, old list, new lists) to (id, vec, nb, sim, changed)."""
+    """(id, vec, old list, new lists) to (id, vec, nb, sim, new, changed): the k best of both; new marks the `changed` ones that weren't in the old list."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            nbs, sims, changed = [], [], []
-            for own, nb, sim, new in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                parts = [(nb or b"", sim or b"")] + [(x["nb"], x["sim"]) for x in new or []]
-                n = np.frombuffer(b"".join(x for x, _ in parts), np.int64)
-                s = np.frombuffer(b"".join(x for _, x in parts), np.float32)
-                _, n2, s2 = best(np.full(len(n), own), n, s, k)
-                nbs.append(n2.tobytes())
-                sims.append(s2.tobytes())
-                changed.append(len(np.setdiff1d(n2, np.frombuffer(nb or b"", np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nbs, pa.binary()), pa.array(sims, pa.binary()), pa.array(changed, pa.int64())], ["id", "vec", "nb", "sim", "changed"])
+        for whole in rows:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                old, row = _flat(batch.column(2).to_pylist(), np.int64)
+                sim, _ = _flat(batch.column(3).to_pylist(), np.float32)
+                lists = batch.column(4).to_pylist()
+                more, row2 = _flat([b"".join(x["nb"] for x in new or []) for new in lists], np.int64)
+                sim2, _ = _flat([b"".join(x["sim"] for x in new or []) for new in lists], np.float32)
+                row, other, sim = np.r_[row, row2], np.r_[old, more], np.r_[sim, sim2]
+                fresh = np.r_[np.zeros(len(old), np.int8), np.ones(len(more), np.int8)]
+                ok = other != batch.column(0).to_numpy()[row]
+                row, other, sim, fresh = row[ok], other[ok], sim[ok], fresh[ok]
+                order = np.lexsort((fresh, other, row))  # of one neighbour the old entry comes first
+                row, other, sim, fresh = row[order], other[order], sim[order], fresh[order]
+                first = np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])][: len(row)]
+                row, other, sim, fresh = row[first], other[first], sim[first], fresh[first]
+                order = np.lexsort((other, -sim, row))
+                row, other, sim, fresh = row[order], other[order], sim[order], fresh[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, other, sim, fresh = row[keep], other[keep], sim[keep], fresh[keep]
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _cut_up(other, row, n), _cut_up(sim, row, n), _cut_up(fresh, row, n), pa.array(np.bincount(row, fresh, n).astype(np.int64))], ["id", "vec", "nb", "sim", "new", "changed"])
 
     return run
 
 
 def _turn(k: int):
-    """Lists of the nodes that have a node as neighbour."""
+    """Lists of the nodes that have a node as neighbour; of a task, k at most for each node."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists(k)
         for batch in rows:
-            own, nb, sim = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            n = np.frombuffer(b"".join(nb), np.int64)
-            lists.add(n, np.repeat(own, [len(x) // 8 for x in nb]), np.frombuffer(b"".join(sim), np.float32))
+            n, row = _flat(batch.column(1).to_pylist(), np.int64)
+            lists.add(n, batch.column(0).to_numpy()[row], _flat(batch.column(2).to_pylist(), np.float32)[0])
         yield from lists.batches()
 
     return run
 
 
-def _visit(dims: int, k: int):
-    """(group, id, v): each node's vector for itself, its neighbours and the nearest of those that have it as neighbour."""
+def _wanted(k: int):
+    """(id, group, new, worst) from (id, nb, sim, new, turned lists): a node asks for its neighbours and the k nearest that have it as one."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                own = batch.column(0).to_numpy()
+                nb, row = _flat(batch.column(1).to_pylist(), np.int64)
+                fresh, _ = _flat(batch.column(3).to_pylist(), np.int8)
+                lists = batch.column(4).to_pylist()
+                back, row2 = _flat([b"".join(x["nb"] for x in new or []) for new in lists], np.int64)
+                sim, _ = _flat([b"".join(x["sim"] for x in new or []) for new in lists], np.float32)
+                order = np.lexsort((-sim, row2))
+                back, row2 = back[order], row2[order]
+                keep = np.arange(len(row2)) - np.searchsorted(row2, row2) < k
+                back, row2 = back[keep], row2[keep]
+                # What only the other end has as a neighbour may be new there; it counts as new.
+                group, other, fresh = np.r_[row, row2], np.r_[nb, back], np.r_[fresh, np.ones(len(back), np.int8)]
+                order = np.lexsort((fresh, other, group))
+                group, other, fresh = group[order], other[order], fresh[order]
+                first = np.r_[True, (group[1:] != group[:-1]) | (other[1:] != other[:-1])][: len(group)]
+                yield pa.RecordBatch.from_arrays([pa.array(other[first]), pa.array(own[group[first]]), pa.array(fresh[first].astype(bool))], ["id", "group", "new"])
+
+    return run
+
+
+def _local_join(dims: int, few: int, width: int):
+    """Over rows (group, id, new, worst, v) sorted by group: for each member of a group the best few others that would enter its list.
+
+    A group has `width` members at most.  Many groups are multiplied at once.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists(4 * few)
+        rest = None
+
+        def join(group: np.ndarray, ids: np.ndarray, new: np.ndarray, worst: np.ndarray, v: np.ndarray) -> None:
+            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            g = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1
+            place = np.arange(len(group)) - head[g]
+            m, n = int(place.max()) + 1, len(head)
+            block = np.zeros((n, m, dims), np.float32)
+            block[g, place] = v
+            low = np.full((n, m), 9, np.float32)
+            low[g, place] = worst
+            who, fresh, real = np.zeros((n, m), np.int64), np.zeros((n, m), bool), np.zeros((n, m), bool)
+            who[g, place], fresh[g, place], real[g, place] = ids, new, True
+            s = block @ block.transpose(0, 2, 1)
+            s[~((fresh[:, :, None] | fresh[:, None, :]) & real[:, None, :])] = -9
+            s[:, np.arange(m), np.arange(m)] = -9
+            if m > few:
+                np.maximum(low, np.partition(s, m - few, axis=2)[:, :, m - few], out=low)
+                a, i, j = np.nonzero(s >= np.maximum(low, -8)[:, :, None])
+            else:
+                a, i, j = np.nonzero(s > np.maximum(low, -8)[:, :, None])
+            lists.add(who[a, i], who[a, j], s[a, i, j])
+
         for batch in rows:
-            own = batch.column(0).to_numpy()
-            half = _floats(batch.column(1), np.float32, dims).astype(np.float16)
-            to, at = [own], [np.arange(len(own))]
-            for i, (nb, new) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                n = np.frombuffer(nb, np.int64)
-                if new:
-                    r = np.frombuffer(b"".join(x["nb"] for x in new), np.int64)
-                    s = np.frombuffer(b"".join(x["sim"] for x in new), np.float32)
-                    n = np.union1d(n, r[np.argsort(-s, kind="stable")[:k]])
-                to.append(n)
-                at.append(np.full(len(n), i))
-            to, at = np.concatenate(to), np.concatenate(at)
-            for a in range(0, len(to), 20_000):
-                some = at[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(to[a : a + 20_000]), pa.array(own[some]), pa.array([x.tobytes() for x in half[some]], pa.binary())], ["group", "id", "v"])
+            if not batch.num_rows:
+                continue
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy(), _floats(batch.column(4), np.float16, dims)]
+            if rest is not None:
+                part = [np.concatenate(x) for x in zip(rest, part)]
+            last = int(np.searchsorted(part[0] != part[0][-1], False)) if part[0][0] == part[0][-1] else int(np.flatnonzero(part[0] != part[0][-1])[-1]) + 1
+            rest = [x[last:] for x in part]
+            heads = np.flatnonzero(np.r_[True, part[0][1:last] != part[0][: max(last - 1, 0)]]) if last else []
+            for k in range(0, len(heads), 256):
+                a, b = heads[k], heads[k + 256] if k + 256 < len(heads) else last
+                join(*(x[a:b] for x in part))
+        if rest is not None and len(rest[0]):
+            join(*rest)
+        yield from lists.batches()
 
     return run
 
@@ -214,22 +301,28 @@ def _together(lists: DataFrame, name: str = "new") -> DataFrame:
     return lists.groupBy("id").agg(F.collect_list(F.struct("nb", "sim")).alias(name))
 
 
-def nodes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
-    """((id, class, vec, exact), dimensions) of the rows that take part; class is the smallest id of equal vectors."""
+def nodes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, d, class, vec, exact) of the rows that take part; d is the vector's length, class the smallest id of equal vectors."""
     value = F.col(vector).cast("array<double>")
     ok = table.select(F.col(key).cast("long").alias("id"), value.alias("e")).where("id IS NOT NULL AND e IS NOT NULL")
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = ok.where(~F.coalesce(bad, F.lit(True)) & F.exists("e", lambda x: x != 0))
-    common = ok.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if common is None:
-        return ok.limit(0).selectExpr("id", "id AS class", "binary('') AS vec", "binary('') AS exact"), 0
-    units = ok.where(F.size("e") == common.d).mapInArrow(_normalised, "id long, vec binary, exact binary")
-    units = checkpoint(units.dropDuplicates(["id"]))
-    classes = units.groupBy(F.md5("exact").alias("h")).agg(F.min("id").alias("class"))
-    return units.withColumn("h", F.md5("exact")).join(classes, "h").select("id", "class", "vec", "exact"), common.d
+    units = ok.select("id", "e").mapInArrow(_by_length, "id long, vec binary, exact binary")
+    units = units.groupBy("id").agg(F.min(F.struct(F.md5("exact").alias("h"), "vec", "exact")).alias("u")).select("id", "u.*")
+    units = checkpoint(units)
+    classes = units.groupBy("h").agg(F.min("id").alias("class"))
+    return checkpoint(units.join(classes, "h").select("id", (F.octet_length("exact") / 8).cast("int").alias("d"), "class", "vec", "exact"))
 
 
-def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 7, block: int = 128, few: int = 20, seed: int = 5) -> DataFrame:
+def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_normalised() for the vectors of each length."""
+    for batch in rows:
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        for d in np.unique(sizes):
+            yield from _normalised(iter([batch.filter(pa.array(sizes == d))]))
+
+
+def build(reps: DataFrame, dims: int, k: int = 16, block: int = 128, few: int = 8, seed: int = 5) -> DataFrame:
     """(id, vec, nb, sim): the neighbour graph of reps(id, vec); nb and sim are packed and sorted by similarity."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = reps.count()
@@ -239,34 +332,28 @@ def build(reps: DataFrame, dims: int, k: int = 16, rounds: int = 7, block: int =
     group = F.xxhash64("round", "sign", F.expr("pmod(xxhash64(id, round), cut)")).alias("group")
     dealt = first.where("round < 0").withColumn("cut", F.lit(max(1, -(-n // block)))).select(group, "id", "v")
     first = first.where("round >= 0").join(sizes, ["round", "sign"]).select(group, "id", "v").union(dealt)
-    near = lambda x, most: x.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_compare(dims, most, 1024), _LIST)
-    graph_of = lambda old, new: checkpoint(old.join(_together(new), "id", "left").select("id", "vec", "nb", "sim", "new").mapInArrow(_merge(k), "id long, vec binary, nb binary, sim binary, changed long"))
-    graph = graph_of(reps.select("id", "vec", F.lit(None).cast("binary").alias("nb"), F.lit(None).cast("binary").alias("sim")), near(first, k))
-    for _ in range(rounds):
-        back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST))
-        sent = graph.join(back, "id", "left").select("id", "vec", "nb", "new").mapInArrow(_visit(dims, k), "group long, id long, v binary")
-        graph = graph_of(graph.drop("changed"), near(sent, few))
-        if graph.agg(F.sum("changed")).first()[0] < 0.01 * n * k:
-            break
-    return graph.drop("changed")
-
-
-def _start(dims: int, beam: int, entry: list[tuple[int, bytes]]):
-    """Beams from the entry nodes and the query's own list."""
+    first = first.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_compare(dims, k, 1024), _LIST)
+    graph_of = lambda old, new: checkpoint(old.join(_together(new, "more"), "id", "left").select("id", "vec", "nb", "sim", "more").mapInArrow(_merge(k), _GRAPH))
+    nothing = F.lit(None).cast("binary")
+    graph = graph_of(reps.select("id", "vec", nothing.alias("nb"), nothing.alias("sim")), first)
+    while True:
+        back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST), "turned")
+        asked = graph.join(back, "id", "left").select("id", "nb", "sim", "new", "turned").mapInArrow(_wanted(k), "id long, group long, new boolean")
+        asked = asked.join(graph.mapInArrow(_half(dims, k), "id long, worst float, v binary"), "id").select("group", "id", "new", "worst", "v")
+        found = asked.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_local_join(dims, few, 2 * k), _LIST)
+        graph = graph_of(graph, found)
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= 0.001 * n * k:
+            return graph.drop("new", "changed")
+
+
+def _half(dims: int, k: int):
+    """(id, worst, v): vectors in half precision, and what a candidate must exceed to enter the list."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array([i for i, _ in entry], np.int64)
-        vec = np.frombuffer(b"".join(v for _, v in entry), np.float32).reshape(-1, dims)
         for batch in rows:
-            out = []
-            for q, v, own, nb, sim in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                s = vec @ np.frombuffer(v, np.float32)
-                n = np.r_[np.frombuffer(nb or b"", np.int64), ids]
-                s = np.r_[np.frombuffer(sim or b"", np.float32), s].astype(np.float32)
-                _, n, s = best(np.full(len(n), own if own is not None else -(1 << 62)), n, s, beam)
-                out.append((n.tobytes(), s.tobytes(), n.tobytes()))
-            a, b, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([b""] * len(a), pa.binary()), pa.array(c, pa.binary())], ["q", "vec", "own", "nb", "sim", "done", "seen"])
+            v = _floats(batch.column(1), np.float32, dims).astype(np.float16)
+            worst = [np.frombuffer(x, np.float32)[-1] if len(x) == 4 * k else -2 for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(worst, np.float32)), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "worst", "v"])
 
     return run
 
@@ -326,35 +413,47 @@ def _advance(dims: int, beam: int, width: int):
 def _exact(dims: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            a, b = _floats(batch.column(1), np.float64, dims), _floats(batch.column(3), np.float64, dims)
-            score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["query_id", "class", "score"])
+            if batch.num_rows:
+                a, b = _floats(batch.column(1), np.float64, dims), _floats(batch.column(3), np.float64, dims)
+                plain = (np.abs(a).max(axis=1) < 1e100) & (np.abs(b).max(axis=1) < 1e100) & (np.abs(a).max(axis=1) > 1e-100) & (np.abs(b).max(axis=1) > 1e-100)
+                score = (_units(a) * _units(b)).sum(axis=1)
+                a, b = a[plain], b[plain]
+                score[plain] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["query_id", "class", "score"])
 
     return run
 
 
-def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", k: int = 24, beam: int = 240, width: int = 48, rounds: int = 6, entries: int = 64) -> DataFrame:
+_RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest rows to each row of the table that `wanted` holds for.
 
     `wanted` is a condition on the column id.  The result has fewer than `top`
     rows for a query only if fewer other rows take part.
     """
-    spark = table.sparkSession
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    all_nodes, dims = nodes(table, key, vector)
-    if not dims:
-        return spark.createDataFrame([], schema)
-    all_nodes = checkpoint(all_nodes)
+    all_nodes = nodes(table, key, vector)
+    out = None
+    for row in all_nodes.select("d").distinct().orderBy("d").collect():  # lengths of vectors, usually one
+        one = _search(all_nodes.where(F.col("d") == row.d).drop("d"), row.d, wanted, top, **options)
+        out = one if out is None else out.union(one)
+    return table.sparkSession.createDataFrame([], _RESULT) if out is None else out
+
+
+def _search(all_nodes: DataFrame, dims: int, wanted: Column, top: int, k: int = 24, beam: int = 6, width: int = 16) -> DataFrame:
+    """search() among vectors of one length; beams hold `beam` times the binary logarithm of the number of nodes."""
     graph = build(all_nodes.where("id = class").select("id", "vec"), dims, k)
-    back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST))
-    # Edges are followed both ways; the turned lists hold the nearest k of each task.
-    graph = checkpoint(graph.join(back, "id", "left").select("id", "vec", "nb", "sim", F.concat(F.array("nb"), F.coalesce(F.transform("new", lambda x: x["nb"]), F.array().cast("array<binary>"))).alias("links")))
-    entry = [(r.id, bytes(r.vec)) for r in graph.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(entries).collect()]
+    beam = max(4 * top, int(beam * np.log2(2 + graph.count())))
+    back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST), "more")
+    # Edges are followed both ways; of those turned, the nearest k.
+    turned = back.withColumn("nb", F.lit(None).cast("binary")).withColumn("sim", F.lit(None).cast("binary")).select("id", F.lit(b"").alias("vec"), "nb", "sim", "more").mapInArrow(_merge(k), _GRAPH)
+    graph = checkpoint(graph.join(turned.select("id", F.col("nb").alias("back")), "id", "left").select("id", "vec", "nb", "sim", F.array("nb", F.coalesce("back", F.lit(b""))).alias("links")))
     queries = all_nodes.where(wanted).select(F.col("id").alias("q"), "vec", F.col("class").alias("own"))
-    first = queries.join(graph.select(F.col("id").alias("own"), "nb", "sim"), "own", "left").select("q", "vec", "own", "nb", "sim")
     state = "q long, vec binary, own long, nb binary, sim binary, done binary, seen binary"
-    beams = checkpoint(first.mapInArrow(_start(dims, beam, entry), state))
-    for _ in range(rounds):
+    none = F.lit(b"")
+    beams = checkpoint(queries.join(graph.select(F.col("id").alias("own"), "nb", "sim"), "own").select("q", "vec", "own", "nb", "sim", none.alias("done"), F.col("nb").alias("seen")))
+    while True:
         links = beams.select("q", "nb", "done").mapInArrow(_step(width), "node long, q long").join(graph.select(F.col("id").alias("node"), "links"), "node")
         links = links.groupBy("q").agg(F.flatten(F.collect_list("links")).alias("lists"))
         fresh = beams.join(links, "q").select("q", "own", "seen", "lists").mapInArrow(_fresh, "node long, q long")

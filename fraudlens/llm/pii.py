@@ -12,19 +12,23 @@ those where t stands within a few words of e, and N all documents,
     disclosure(t, e) = PMI(t, e) / IC(e) = 1 - log(c(t) / c(t, e)) / log(N / c(e))
 
 is the share of the entity's information that seeing t gives away; it is 1 if t
-occurs nowhere but near e.  Terms that reach `threshold` for some entity, with
-at least `support` common documents, become spans of the kind `term` wherever
-they occur, also in documents that don't name the entity.
+occurs nowhere but near e.  Terms that reach `threshold` for some entity become
+spans of the kind `term` wherever they occur, also in documents that don't name
+the entity.  One common document is weak evidence, as any rare word would do:
+below `support` common documents only terms count that stand there as a name (a
+capital and then none), so that entities of one document are protected too.
 
 All counts cover all documents.  Pairs are counted map-side first, so a term or
 an entity that a third of the documents share costs one row per task.  Terms
 that can't reach the threshold, going by their counts near entities alone, are
 left before the corpus is counted; the others are counted, and those that reach
-it are located, through bitmaps of fixed size (false hits only cost rows: terms
-are joined on 64-bit hashes).
+it are located, through bitmaps (false hits only cost rows: terms are joined on
+64-bit hashes).
 
-Nulls count as empty texts.  Rows of one doc_id count as documents of their own,
-but share the term spans found in any of them that lie within the text.
+Nulls count as empty texts.  Each row counts as a document of its own, also if
+its doc_id repeats or is null, and its spans come from its own text: they are
+told apart by doc_id and the text's hash, so equal rows have equal spans.  Texts
+may have any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType, _parse_datatype_string
 
+from ._bitmap import Bitmap, member_bitmap
 from ._checkpoint import checkpoint
 from ._words import LETTERS, Hasher, batches, text_buffers, word_bounds
 
@@ -48,7 +54,6 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_BITS = 23
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -115,7 +120,7 @@ _TERMS = Hasher(53, lower=True)
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """hash, text number, start and end (in code points of the text) of every term."""
+    """hash, text number, start and end (in code points of the text) of every term, and whether it is written as a name."""
     data, off = text_buffers(column)
     start, end, first = word_bounds(data, off, LETTERS)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
@@ -126,18 +131,20 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, ...]:
     points = np.zeros(hi - lo + 1, np.int32)
     np.cumsum((data[lo:hi] & 0xC0) != 0x80, out=points[1:])
     base = points[off[:-1] - lo][doc]
-    return h.view(np.int64), doc, points[start - lo] - base, points[end - lo] - base
+    capital = (data[lo:hi] >= 65) & (data[lo:hi] <= 90)
+    named = capital[start - lo] & ~capital[start - lo + 1]
+    return h.view(np.int64), doc, points[start - lo] - base, points[end - lo] - base, named
 
 
 def _pairs(near: int):
-    """(term, entity, docs) counts of one task's documents; term 0 stands for the entity itself, entity 0 for any."""
+    """(term, entity, docs, named) counts of one task's documents, and of those where the term is a name; term 0 stands for the entity itself, entity 0 for any."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[tuple[int, int], int] = {}
+        count: dict[tuple[int, int], list[int]] = {}
 
         def out() -> pa.RecordBatch:
             keys = [*count]
-            done = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([*count.values()], pa.int64())], ["term", "entity", "docs"])
+            done = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[i] for v in count.values()], pa.int64()) for i in range(2))], ["term", "entity", "docs", "named"])
             count.clear()
             return done
 
@@ -148,25 +155,28 @@ def _pairs(near: int):
             if not some:
                 continue
             held = texts.take(pa.array(some, pa.int32()))
-            h, doc, start, end = _terms(held)
+            h, doc, start, end, named = _terms(held)
             first = np.searchsorted(doc, np.arange(len(some) + 1))
             for k, i in enumerate(some):
                 text, a, b = held[k].as_py(), first[k], first[k + 1]
-                s, e, hh = start[a:b], end[a:b], h[a:b]
+                s, e, hh, nn = start[a:b], end[a:b], h[a:b], named[a:b]
                 inside = np.zeros(b - a, bool)
                 for lo, _, hi in spans[i]:
                     inside |= (s < hi) & (e > lo)
-                s, hh = s[~inside], hh[~inside]
-                seen = set()
+                s, hh, nn = s[~inside], hh[~inside], nn[~inside]
+                seen: dict[tuple[int, int], bool] = {}
                 for lo, kind, hi in spans[i]:
                     entity = _hash(f"{KINDS[kind]}:{text[lo:hi]}")
                     at = int(np.searchsorted(s, lo))
-                    seen.add((0, entity))
-                    for t in hh[max(0, at - near) : at + near].tolist():
-                        seen.add((t, entity))
-                        seen.add((t, 0))
-                for pair in seen:
-                    count[pair] = count.get(pair, 0) + 1
+                    seen[0, entity] = False
+                    here = slice(max(0, at - near), at + near)
+                    for t, name in zip(hh[here].tolist(), nn[here].tolist()):
+                        seen[t, entity] = name or seen.get((t, entity), False)
+                        seen[t, 0] = False
+                for pair, name in seen.items():
+                    n = count.setdefault(pair, [0, 0])
+                    n[0] += 1
+                    n[1] += name
             if len(count) > 200_000:
                 yield out()
         if count:
@@ -175,11 +185,10 @@ def _pairs(near: int):
     return run
 
 
-def _hits(column: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+def _hits(column: pa.Array, bitmap: Bitmap) -> tuple[np.ndarray, ...]:
     """_terms() that the bitmap has, by text, hash and start, and whether each is the first of its text and hash."""
-    h, doc, start, end = _terms(column)
-    one, two = _places(h)
-    hit = bits[one] & bits[two]
+    h, doc, start, end, _ = _terms(column)
+    hit = bitmap.has(h)
     h, doc, start, end = h[hit], doc[hit], start[hit], end[hit]
     order = np.lexsort((start, h, doc))
     h, doc, start, end = h[order], doc[order], start[order], end[order]
@@ -188,11 +197,11 @@ def _hits(column: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, ...]:
     return h, doc, start, end, new
 
 
-def _documents(bitmap):
+def _documents(raw):
     """(term, docs): in how many of a task's documents each term of the bitmap occurs."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
+        bits = Bitmap(raw.value)
         term, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches(rows, 4 << 20, "text"):
             h, _, _, _, new = _hits(batch.column(0), bits)
@@ -204,59 +213,48 @@ def _documents(bitmap):
     return run
 
 
-def _positions(bitmap):
-    """(doc_id, term, start, end) of every occurrence of the terms that the bitmap has."""
+def _positions(raw):
+    """(doc_id, h, term, start, end) of every occurrence of the terms that the bitmap has."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
+        bits = Bitmap(raw.value)
         for batch in batches(rows, 4 << 20):
-            h, doc, start, end, _ = _hits(batch.column(1), bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(h), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "term", "start", "end"])
+            term, doc, start, end, _ = _hits(batch.column(2), bits)
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(term), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "h", "term", "start", "end"])
 
     return run
 
 
-def _bitmap(terms: DataFrame):
-    """The terms' places in 2**23 bits, sent to all executors."""
-    mask = (1 << _BITS) - 1
-    # Spark's bitmaps count positions from 1.
-    places = terms.select(F.explode(F.array(F.col("term").bitwiseAND(mask) + 1, F.shiftright("term", 32).bitwiseAND(mask) + 1)).alias("b"))
-    words = places.groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("map")).collect()
-    raw = bytearray((1 << _BITS) // 8)
-    for row in words:  # 2**8 rows at most
-        raw[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.map
-    return terms.sparkSession.sparkContext.broadcast(bytes(raw))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): doc_id and the text's hash tell rows apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = (1 << _BITS) - 1
-    return h & mask, (h >> 32) & mask
-
-
-def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2) -> DataFrame:
-    """(doc_id, start, end): every occurrence of a term that discloses an entity."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+def terms(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2) -> DataFrame:
+    """(term): hashes of the terms that disclose an entity."""
+    docs = docs.select(F.col("text").cast("string").alias("text"))
     total = docs.count()
-    pairs = docs.select("text").mapInArrow(_pairs(near), "term long, entity long, docs long").groupBy("term", "entity").agg(F.sum("docs").alias("both"))
+    pairs = docs.mapInArrow(_pairs(near), "term long, entity long, docs long, named long").groupBy("term", "entity").agg(F.sum("docs").alias("both"), F.sum("named").alias("named"))
     pairs = checkpoint(pairs)
     entities = pairs.where("term = 0").select("entity", F.col("both").alias("of_entity"))
     near_any = pairs.where("term != 0 AND entity = 0").select("term", F.col("both").alias("most"))
-    able = pairs.where((F.col("term") != 0) & (F.col("entity") != 0) & (F.col("both") >= support)).join(entities, "entity").where(F.col("of_entity") < total)
+    evident = (F.col("both") >= support) | (F.col("named") > 0)
+    able = pairs.where((F.col("term") != 0) & (F.col("entity") != 0) & evident).join(entities, "entity").where(F.col("of_entity") < total)
     share = lambda c: 1 - F.log(c / F.col("both")) / F.log(F.lit(float(total)) / F.col("of_entity"))
     # A term occurs in at least as many documents as near entities.
-    able = able.join(near_any, "term").where(share(F.col("most")) >= threshold).select("term", "entity", "both", "of_entity")
+    able = able.join(near_any, "term").where(share(F.col("most")) >= threshold).select("term", "both", "of_entity")
     able = checkpoint(able)
-    counted = docs.select("text").mapInArrow(_documents(_bitmap(able.select("term").distinct())), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("of_term"))
-    terms = checkpoint(able.join(counted, "term").where(share(F.greatest("of_term", "both")) >= threshold).select("term").distinct())
-    places = docs.mapInArrow(_positions(_bitmap(terms)), _position_schema(docs))
-    return places.join(terms, "term").select("doc_id", "start", "end")
+    counted = docs.mapInArrow(_documents(member_bitmap(able.select("term").distinct())), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("of_term"))
+    return checkpoint(able.join(counted, "term").where(share(F.greatest("of_term", "both")) >= threshold).select("term").distinct())
 
 
-def _position_schema(docs: DataFrame):
-    from pyspark.sql.types import IntegerType, LongType, StructType
-
-    return StructType([docs.schema["doc_id"]]).add("term", LongType()).add("start", IntegerType()).add("end", IntegerType())
+def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2) -> DataFrame:
+    """(doc_id, h, start, end): every occurrence of a term that discloses an entity; h is the text's hash."""
+    found, docs = terms(docs, near, threshold, support), _keyed(docs)
+    schema = StructType([docs.schema["doc_id"], docs.schema["h"]]).add("term", LongType()).add("start", IntegerType()).add("end", IntegerType())
+    return docs.mapInArrow(_positions(member_bitmap(found)), schema).join(found, "term").select("doc_id", "h", "start", "end")
 
 
 def _bases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +262,13 @@ def _bases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         counts: list[list[int]] = [[], [], [], []]
         digests, spans = [], []
-        for t in batch.column(1):
-            found = base_spans(t.as_py() or "")
+        for t in batch.column(2):
+            found = base_spans(t.as_py())
             for k in range(4):
                 counts[k].append(sum(x[1] == k for x in found))
             digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found).encode()).hexdigest())
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, kind)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, kind)], ["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"])
 
 
 def find(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2) -> DataFrame:
@@ -280,17 +278,16 @@ def find(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int =
     and then kind, comma-joined; base_sha256 is the digest of the same string for
     the base kinds alone.  Terms that overlap a base span are left out.
     """
-    from pyspark.sql.types import LongType, StringType, StructType, _parse_datatype_string
-
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     span = "array<struct<start:int,kind:int,end:int>>"
-    schema = StructType([docs.schema["doc_id"]])
+    rows = _keyed(docs)
+    schema = StructType([rows.schema["doc_id"], rows.schema["h"]])
     for c in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(c, LongType())
-    base = docs.mapInArrow(_bases, schema.add("base_sha256", StringType()).add("base", _parse_datatype_string(span)))
+    base = rows.mapInArrow(_bases, schema.add("base_sha256", StringType()).add("base", _parse_datatype_string(span)))
     # One row for each document with terms; a document's own occurrences bound it.
-    terms = disclosing(docs, near, threshold, support).groupBy("doc_id").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
-    joined = base.join(terms, "doc_id", "left")
+    hits = disclosing(docs, near, threshold, support).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
+    hits = hits.select(F.col("doc_id").alias("of"), F.col("h").alias("hash"), "terms")
+    joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("hash")), "left")
     free = F.filter(F.coalesce("terms", F.array().cast(span)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(F.array_sort(F.concat("base", free)), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")

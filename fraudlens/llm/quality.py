@@ -1,12 +1,13 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
 The n-grams are over UTF-8 bytes (order 5, padded with zero bytes at a text's
-start), trained on trusted text: documents labelled with quality 1.  Lower
+start), trained on trusted text: documents labelled with quality 1, but for
+every `left_out`-th of them by a hash of doc_id, which set the threshold.  Lower
 orders use continuation counts; each order has the three discounts of modified
 Kneser-Ney, from its counts of counts.  A document's perplexity is
 exp(-mean log p of its bytes); it is kept if that is at most the `quantile` of
-the trusted documents' perplexities in its language (of all documents' in a
-language without trusted ones).
+the perplexities of the trusted documents left out of the counts in its language
+(of all documents' in a language without any).
 
 Each task counts its documents' distinct n-grams first, and a text of natural
 bytes has few, so what is shuffled is a row per task and n-gram and not one per
@@ -17,7 +18,10 @@ documents and n-grams are dealt out to chunks and meet there.
 
 Null and empty texts have a null perplexity and are not kept.  Without trusted
 text all bytes are equally likely.  A null language is a language of its own.
-Several labels of one doc_id: quality 1 in any of them makes it trusted.
+Several labels of one doc_id: quality 1 in any of them makes it trusted.  Equal
+texts of one language are judged alike, whatever their batch; rows of one doc_id
+each by their text.  A very long text is one row's work, in a task of its own
+batch.
 """
 
 from __future__ import annotations
@@ -121,8 +125,10 @@ def _sums(code: np.ndarray, off: np.ndarray, known: np.ndarray, logp: np.ndarray
         return np.zeros(len(off) - 1)
     distinct, back = np.unique(code, return_inverse=True)
     value = logp[np.searchsorted(known, distinct)][back]
-    total = np.r_[0.0, np.cumsum(value)]
-    return total[off[1:]] - total[off[:-1]]
+    # Each text by itself, so that equal texts have equal sums whatever stands beside them.
+    out, some = np.zeros(len(off) - 1), np.flatnonzero(np.diff(off))
+    out[some] = np.add.reduceat(value, off[some])
+    return out
 
 
 def _score(model):
@@ -183,7 +189,7 @@ def _meet(docs: pa.Table, model: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "trusted": docs.column("trusted"), "bytes": pa.array(sizes, pa.int64()), "total": pa.array(totals, pa.float64())})
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, broadcast_rows: int = 8_000_000, trusted_rows: int = 1_000_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, broadcast_rows: int = 8_000_000, trusted_rows: int = 1_000_000, left_out: int = 5, chunk_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row of docs."""
     spark = docs.sparkSession
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).distinct()
@@ -191,7 +197,8 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, broadcast_
         good = F.broadcast(good)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     docs = docs.join(good, "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    counts = checkpoint(docs.select("text", "trusted").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    measures = F.pmod(F.xxhash64("doc_id"), F.lit(left_out)) == 0
+    counts = checkpoint(docs.select("text", F.col("trusted") & ~measures).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     model = checkpoint(probabilities(counts))
     schema = "doc_id long, lang string, trusted boolean, bytes long, total double"
     if model.count() <= broadcast_rows:
@@ -200,14 +207,17 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, broadcast_
         pair = table.column("gram").to_numpy()[order], table.column("logp").to_numpy()[order].astype(np.float64)
         scored = docs.mapInArrow(_score(spark.sparkContext.broadcast(pair)), schema)
     else:
-        chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # A chunk's texts and n-grams meet in one call: their bytes are counted, so the number of chunks follows the data.
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
         asked = docs.select("doc_id", "text").mapInArrow(_wanted(chunks), "gram long, chunk int").distinct()
         sent = asked.join(model, "gram").select("chunk", "gram", F.col("logp").cast("float").cast("double").alias("logp"))
         dealt = docs.mapInArrow(_deal(chunks), "chunk int, doc_id long, lang string, trusted boolean, z binary")
+        dealt, sent = dealt.repartition(chunks, "chunk"), sent.repartition(chunks, "chunk")
         scored = dealt.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_meet, schema)
     scored = checkpoint(scored.select("doc_id", "lang", "trusted", F.when(F.col("bytes") > 0, F.exp(-F.col("total") / F.col("bytes"))).alias("perplexity")))
     at = scored.groupBy("lang").agg(
-        F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), quantile, 10_000).alias("own"),
+        F.percentile_approx(F.when(F.col("trusted") & measures, F.col("perplexity")), quantile, 10_000).alias("own"),
         F.percentile_approx("perplexity", quantile, 10_000).alias("any"),
     ).select(F.col("lang").alias("of"), F.coalesce("own", "any").alias("threshold"))
     joined = scored.join(at, F.col("lang").eqNullSafe(F.col("of")), "left")

@@ -219,17 +219,31 @@ def kneser_ney(texts, trusted):
 
 @pytest.mark.parametrize("rows_broadcast", [0, 8_000_000])
 def test_quality(spark, rows_broadcast):
-    rows = [r for r in Fx.documents() if len(r[1] or "") < 3500]
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, *_ in rows[:40]], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r for r in quality.judge(Fx.frame(spark, rows), labels, broadcast_rows=rows_broadcast).collect()}
+    """Perplexity, threshold and decision of every document against a plain model."""
+    rows = [(i, (t or "")[:300] if t else t, *rest) for i, t, *rest in Fx.documents()]
+    trusted = {i for i, *_ in rows[:40] if i % 3}
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i, *_ in rows[:40]], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.judge(Fx.frame(spark, rows), labels, quantile=0.8, broadcast_rows=rows_broadcast).collect()}
     texts = {i: (t or "").encode() for i, t, *_ in rows}
-    p = kneser_ney(texts, [i for i, *_ in rows[:40] if i % 3])
+    measures = {r.id for r in spark.range(200).where(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).collect()}
+    p = kneser_ney(texts, [i for i in texts if i in trusted - measures])
     assert sum(p(b"kalo" + bytes((b,))) for b in range(256)) == pytest.approx(1)
-    for i in list(texts)[::7]:
+    for i in texts:
         x = b"\0" * 4 + texts[i]
         if len(x) > 4:
             assert out[i].perplexity == pytest.approx(math.exp(-sum(math.log(p(x[k - 4 : k + 1])) for k in range(4, len(x))) / (len(x) - 4)), rel=1e-5)
-    assert all(r.perplexity is None and not r.kept for i, r in out.items() if not texts[i])
+        else:
+            assert out[i].perplexity is None and not out[i].kept
+    for lang in ("en", "fr"):
+        mine = [i for i, _, l, *_ in rows if l == lang]
+        value = lambda some: sorted(out[i].perplexity for i in some if out[i].perplexity is not None)
+        base = value(i for i in mine if i in trusted & measures) or value(mine)
+        threshold = base[math.ceil(0.8 * len(base)) - 1]
+        assert all(out[i].threshold == threshold and out[i].kept == (bool(texts[i]) and out[i].perplexity <= threshold) for i in mine)
+    same = {}
+    for i, t in texts.items():
+        same.setdefault(t, set()).add(out[i].perplexity)
+    assert all(len(v) == 1 for v in same.values())  # whatever batch they were in
 
 
 EMAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -270,6 +284,53 @@ def test_disclosing_terms(spark):
     assert sum("term" in r.spans for r in out.values()) == 4
 
 
+def test_disclosure_by_counting(spark):
+    """Every term span against co-occurrences counted one by one."""
+    rng = __import__("random").Random(12)
+    names = ["Brandol", "Kessen", "McIvor", "Tulip", "quartz", "violet"]
+    rows = []
+    for i in range(150):
+        w = Fx.words(rng, 25)
+        if i % 4 == 0:
+            k = rng.randrange(6)
+            w[10:10] = [names[k], rng.choice(["at", "on the"]), f"u{k}@mail.example.com", names[(k + i) % 6]]
+        elif i % 7 == 0:
+            w[3] = rng.choice(names)
+        rows.append((None if i == 8 else i % 140, " ".join(w), "en", "s", 1))
+    rows.append((200, "Solitary wrote from 10.1.2.3 once", "en", "s", 1))
+    rows.append((201, "then Solitary left", "en", "s", 1))
+    word, docs = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+"), {}
+    for i, t, *_ in rows:
+        base = plain_spans(t)
+        found = [(m.start(), m.end(), m.group().translate(UPPER)) for m in word.finditer(t) if len(m.group().encode()) >= 3]
+        free = [x for x in found if not any(x[0] < e and x[1] > s for s, _, e in base)]
+        docs[i, t] = base, found, free
+    both, named, of_entity, of_term = Counter(), Counter(), Counter(), Counter()
+    for i, t, *_ in rows:
+        base, found, free = docs[i, t]
+        of_term.update({x for *_, x in found})
+        pairs, caps = set(), set()
+        for s, k, e in base:
+            at = sum(x[0] < s for x in free)
+            for a, b, x in free[max(0, at - 8) : at + 8]:
+                pairs.add((x, k, t[s:e]))
+                if re.match("[A-Z][^A-Z]", t[a:b]):
+                    caps.add((x, k, t[s:e]))
+        both.update(pairs)
+        named.update(caps)
+        of_entity.update({(k, t[s:e]) for s, k, e in base})
+    n = len(rows)
+    secret = {x for (x, *e), c in both.items() if (c >= 2 or named[x, *e]) and 1 - math.log(of_term[x] / c) / math.log(n / of_entity[tuple(e)]) >= 0.8}
+    assert "solitary" in secret and "kessen" in secret and len(secret) < 60
+    got = sorted((repr(r.doc_id), r.spans) for r in pii.find(Fx.frame(spark, rows)).collect())
+    expected = []
+    for i, t, *_ in rows:
+        base, found, free = docs[i, t]
+        spans = sorted(base + [(a, 4, b) for a, b, x in free if x in secret])
+        expected.append((repr(i), ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)))
+    assert got == sorted(expected)
+
+
 def test_toxicity_held_out(spark):
     import zlib
 
@@ -325,6 +386,20 @@ def test_nearest(spark):
     assert len(few) == 2
 
 
+def test_nearest_of_awkward_vectors(spark):
+    """Components near the largest and smallest doubles, repeated ids, several lengths."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [-1.0, 0.0]), (50, [3.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (52, [float("inf"), 0.0, 0.0]), (2, [1.0, 1.0])]
+    out = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 12)))
+    third = round(3 / math.sqrt(10), 12)
+    assert {k: sorted(v) for k, v in out.items()} == {0: [(1, 2, 1.0), (2, 3, 1.0), (3, 1, third), (4, 4, round(-math.sqrt(0.5), 12))], 50: [(1, 51, round(math.sqrt(0.5), 12))]}
+    twice = [(0, [1.0, 0.0]), (7, [1.0, 1.0]), (7, [0.0, 1.0]), (8, [1.0, 3.0])]
+    first = [tuple(r) for r in ann.search(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()]
+    again = [tuple(r) for r in ann.search(spark.createDataFrame(twice[::-1], "vec_id long, embedding array<double>"), F.col("id") == 0).collect()]
+    assert first == again and [r[2] for r in first].count(7) == 1
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://Org/x", "http://a.ORG", "https://b.example.org/es/1?x#y", "x://example.org/en/12", "http://example.org/en/2", "http://sub.com/fr/", "http://com/de/?q", "a://b://c/d", "http://spam.net/1", "http://good.net/2", "http://notorg/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, "http://spam.net/x") for i in range(40)] + [(200 + i, f"http://h{i}.info/") for i in range(40)], "page_id long, url string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Collects garbage here and in the driver's JVM, so that Spark's cleaner deletes shuffle files that no plan needs any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Collects garbage here and in the driver's JVM, so that Spark's cleaner deletes shuffle files that no plan needs any more.
+
+    What one round lets go of is only found by the next, and the cleaner works beside it.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

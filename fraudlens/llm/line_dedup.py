@@ -476,6 +476,8 @@ def removals(docs: DataFrame, least: int = 5, bits: int = BITS, similarity: floa
     labelled = forms.join(label, "node", "left").select("node", "form", F.coalesce("label", "node").alias("label"))
     more = confirmed(late, labelled, _verify(bits, similarity), most)
     found = connected(found.union(more).toDF("a", "b"))
+    del late, mixed, labelled, more, forms
+    release(spark)
     grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("group"), "first", "n")
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
     stays = checkpoint(grouped.join(kept.where(F.col("all") > 1), "group").select("key", "n", "kept"))

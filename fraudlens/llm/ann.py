@@ -14,7 +14,7 @@ NN-descent: each round a node's neighbours, and the nearest `k` of those that
 have it as one, are joined to it with their vectors and compared with one
 another, but for pairs of which both were there the round before.  Only what
 would enter an end's list is kept, the best few of each.  Rounds go on until
-fewer than a thousandth of all list entries change.  Lists are summed up in each
+fewer than a hundredth of all list entries change.  Lists are summed up in each
 task before they are shuffled and hold `k` entries at most, so a hub costs a
 list per task; nothing is collected but counts.
 
@@ -322,7 +322,7 @@ def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _normalised(iter([batch.filter(pa.array(sizes == d))]))
 
 
-def build(reps: DataFrame, dims: int, k: int = 16, block: int = 128, few: int = 8, seed: int = 5) -> DataFrame:
+def build(reps: DataFrame, dims: int, k: int = 16, block: int = 128, few: int = 16, seed: int = 5) -> DataFrame:
     """(id, vec, nb, sim): the neighbour graph of reps(id, vec); nb and sim are packed and sorted by similarity."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = reps.count()
@@ -342,7 +342,7 @@ def build(reps: DataFrame, dims: int, k: int = 16, block: int = 128, few: int =
         asked = asked.join(graph.mapInArrow(_half(dims, k), "id long, worst float, v binary"), "id").select("group", "id", "new", "worst", "v")
         found = asked.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_local_join(dims, few, 2 * k), _LIST)
         graph = graph_of(graph, found)
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= 0.001 * n * k:
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= 0.01 * n * k:
             return graph.drop("new", "changed")
 
 

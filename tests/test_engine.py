@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from fraudlens import schema as S
 from fraudlens.functions import decision as D
 from fraudlens.functions import features as X
-from fraudlens.functions.payload import minute, parse, route
+from fraudlens.functions.payload import minute, parse
 from fraudlens.functions.quantize import box_lower_bound, quantize, quantize_one, squared_distance
 from fraudlens.operators import evaluate as E
 from fraudlens.operators import index as I
 from fraudlens.operators import search as Q
 from fraudlens.operators.scoring import score_requests
+from fraudlens.sources.requests import routed
 
 
 def payload(**changes):
@@ -94,8 +95,24 @@ def test_decision(spark):
 
 
 def test_route(spark):
-    rows = spark.createDataFrame([("GET /ready HTTP/1.1\r\n",), ("GET / HTTP/1.1\r\n",), ("POST /any HTTP/1.1\r\n",), ("",)], "r string").select(route(F.col("r")).alias("k")).collect()
-    assert [r.k for r in rows] == ["ready", "not_found", "fraud", "not_found"]
+    """Kinds need the end of the headers; bodies have the bytes that the headers say, and only the headers are searched."""
+    end = "\r\n\r\n"
+    cases = {
+        f"GET /ready HTTP/1.1{end}": ("ready", 0, "", 23),
+        f"GET / HTTP/1.1{end}": ("not_found", 0, "", 18),
+        f"GET /ready{end}": ("not_found", 0, "", 14),
+        f"GET /ready\r\nHost: a b{end}": ("not_found", 0, "", 25),
+        f"POST /any HTTP/1.1{end}": ("fraud", 0, "", 22),
+        f"POST /any HTTP/1.1\r\nContent-Length: 4{end}é12GET /": ("fraud", 4, "é12", 45),
+        f"POST /any HTTP/1.1\r\ncontent-length:4\r\nContent-Length: 2{end}1234": ("fraud", 2, "12", 61),
+        f"POST /any HTTP/1.1\r\nCONTENT-length:\t3{end}12": ("need", 3, "", 0),
+        f"POST /any HTTP/1.1\r\nContent-Length: none{end}12": ("fraud", 0, "", 44),
+        f"POST /any HTTP/1.1{end}Content-Length: 3": ("fraud", 0, "", 22),
+        "POST /any HTTP/1.1\r\nContent-Length: 0\r\n": ("need", 0, "", 0),
+        "": ("need", 0, "", 0),
+    }
+    out = routed(spark.createDataFrame([(k,) for k in cases], "raw string")).collect()
+    assert {r.raw: (r.kind, r.content_length, r.body, r.consumed) for r in out} == cases
 
 
 def mini(spark):

@@ -351,6 +351,18 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.95
 
 
+def test_scores_sum_over_all_pairs():
+    """The machine's score against w0, the weights and every pair of factors summed one by one."""
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=32), rng.normal(size=(3, 32)))
+    docs = [sorted(rng.choice(32, rng.integers(0, 9), replace=False).tolist()) for _ in range(40)]
+    slot, doc = np.array([x for d in docs for x in d], np.int64), np.repeat(np.arange(40), [len(d) for d in docs])
+    got = m.score(slot, doc, 40)
+    for d, p in zip(docs, got):
+        z = 0.3 + sum(m.weight[i] for i in d) + sum(float(m.factor[:, i] @ m.factor[:, j]) for k, i in enumerate(d) for j in d[:k])
+        assert p == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
 def test_factorisation_learns_a_pair():
     rng = np.random.default_rng(1)
     n, bits = 1200, 10
@@ -410,6 +422,45 @@ def test_urls(spark):
     assert got[3].rule is None and got[10].verdict == "block" and got[201].verdict == "allow" and got[12].rule is None
 
 
+def test_host_reputation_by_hand(spark):
+    """Verdicts against beta-binomial shrinkage in plain Python, from suffix to domain to host."""
+    rng = __import__("random").Random(17)
+    pages, labels = [], []
+    for h in range(40):
+        host = f"h{h}.d{h % 9}.{['net', 'info', 'xyz'][h % 3]}"
+        rate = rng.random() ** 3
+        for _ in range(rng.randrange(1, 30)):
+            i = len(pages)
+            pages.append((i, f"http://{host}/p{i}"))
+            if rng.random() < 0.7:
+                labels.append((i, int(rng.random() > rate), int(rng.random() < rate / 3)))
+    pages += [(5000, "http://new.d1.net/"), (5001, "http://other.museum/"), (5002, None)]
+    bad_of = {i: int(q == 0 or t == 1) for i, q, t in labels}
+    names = {i: (".".join(u.split("/")[2].split(".")[-1:]), ".".join(u.split("/")[2].split(".")[-2:]), u.split("/")[2]) for i, u in pages if u}
+    above = None
+    for level in range(3):
+        n, bad, parent = Counter(), Counter(), {}
+        for i, b in bad_of.items():
+            k = names[i][level]
+            n[k] += 1
+            bad[k] += b
+            parent[k] = names[i][level - 1] if level else None
+        total = sum(n.values())
+        mu = sum(bad.values()) / total
+        spread = sum(bad[k] ** 2 / n[k] for k in n) / total - mu * mu
+        noise = mu * (1 - mu) * len(n) / total
+        m = min(1000.0, max(1.0, (mu * (1 - mu) - spread) / (spread - noise))) if spread > noise else 1000.0
+        up = {k: mu if above is None else above[parent[k]] for k in n}
+        above = {k: (bad[k] + m * up[k]) / (n[k] + m) for k in n}
+    low = {}
+    for k in n:
+        a, b = bad[k] + m * up[k], n[k] - bad[k] + m * (1 - up[k])
+        low[k] = a / (a + b) - 1.64 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    expected = {i: "block" if i in names and low.get(names[i][2], 0) > 0.25 else "allow" for i, _ in pages}
+    assert {r.page_id: r.verdict for r in got} == expected and 5 < sum(v == "block" for v in expected.values()) < len(pages) - 5
+
+
 @pytest.mark.parametrize("few", [10**6, 0])
 def test_components(spark, few):
     """The task for few edges and the rounds for many, against union by hand."""

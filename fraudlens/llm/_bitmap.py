@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._lean import lean
 from ._words import mix64
 
 _U = np.uint64
@@ -44,6 +45,7 @@ def member_bitmap(ids: DataFrame):
     spark = ids.sparkSession
     bits = min(27, max(16, int(np.ceil(np.log2(16 * max(1, ids.count()))))))
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if batch.num_rows:

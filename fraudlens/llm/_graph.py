@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._checkpoint import checkpoint
+from ._lean import lean
 from ._packed import pack, pack_sorted, unpack, unpack_sorted
 
 
@@ -44,6 +45,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def merge_forests(packed: DataFrame, parts: int) -> DataFrame:
     """(a, b) edges from packed rows (a binary, b binary), thinned to a forest in each of `parts` tasks."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in rows:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._checkpoint import checkpoint
+from ._lean import lean
 from ._packed import runs
 
 _LIST = "id long, nb binary, sim binary"
@@ -117,6 +118,7 @@ def _blocks(dims: int, rounds: int, bits: int, seed: int):
     """(block, id, v): each node in one block by its id and `rounds` blocks by the signs of random projections."""
     planes = np.random.default_rng(seed).normal(size=(rounds, bits, dims)).astype(np.float32)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             vec = _floats(batch.column(1), np.float32, dims)
@@ -132,6 +134,7 @@ def _blocks(dims: int, rounds: int, bits: int, seed: int):
 def _compare(dims: int, k: int, most: int):
     """Over rows (group, id, v) sorted by group: candidate lists of all pairs within each group."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists(k)
         at, ids, vecs, held = None, [], [], 0
@@ -179,6 +182,7 @@ def _cut_up(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
 def _merge(k: int):
     """(id, vec, old list, new lists) to (id, vec, nb, sim, new, changed): the k best of both; new marks the `changed` ones that weren't in the old list."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 2000):
@@ -209,6 +213,7 @@ def _merge(k: int):
 def _turn(k: int):
     """Lists of the nodes that have a node as neighbour; of a task, k at most for each node."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists(k)
         for batch in rows:
@@ -222,6 +227,7 @@ def _turn(k: int):
 def _wanted(k: int):
     """(id, group, new, worst) from (id, nb, sim, new, turned lists): a node asks for its neighbours and the k nearest that have it as one."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             for at in range(0, whole.num_rows, 2000):
@@ -252,6 +258,7 @@ def _local_join(dims: int, few: int, width: int):
     A group has `width` members at most.  Many groups are multiplied at once.
     """
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _Lists(4 * few)
         rest = None
@@ -349,6 +356,7 @@ def build(reps: DataFrame, dims: int, k: int = 16, block: int = 128, few: int =
 def _half(dims: int, k: int):
     """(id, worst, v): vectors in half precision, and what a candidate must exceed to enter the list."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             v = _floats(batch.column(1), np.float32, dims).astype(np.float16)
@@ -361,6 +369,7 @@ def _half(dims: int, k: int):
 def _step(width: int):
     """(node, q): the best nodes of each beam that are not yet expanded."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             q, nodes_ = [], []
@@ -389,6 +398,7 @@ def _fresh(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _advance(dims: int, beam: int, width: int):
     """Beams after a round: what was expanded, what was seen, the best of old and new."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = []
@@ -411,6 +421,7 @@ def _advance(dims: int, beam: int, width: int):
 
 
 def _exact(dims: int):
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if batch.num_rows:
@@ -474,6 +485,7 @@ def _search(all_nodes: DataFrame, dims: int, wanted: Column, top: int, k: int =
 
 
 def _unpack(most: int):
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             q, found = [], []

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._lean import lean
 from ._words import with_fields
 
 
@@ -299,6 +300,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     df = df.drop(out)
     at = df.columns.index(text)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(load_ranks(raw.value), pattern)
         for batch in rows:
@@ -316,6 +318,7 @@ def decode(df: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded"
     df = df.drop(out)
     at = df.columns.index(ids)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = Decoder(load_ranks(raw.value))
         for batch in rows:
@@ -338,6 +341,7 @@ def digest(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", tex
     """
     raw = _ranks(df, rank_file)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(raw.value)
         enc, dec = Encoder(ranks, pattern), Decoder(ranks)

@@ -52,6 +52,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ._bitmap import Bitmap, member_bitmap
 from ._checkpoint import checkpoint, release, stored
 from ._graph import confirmed, connected, pack_edges
+from ._lean import lean
 from ._packed import pack, pack_sorted, record_batches, runs, unpack, unpack_sorted
 from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
 
@@ -171,9 +172,10 @@ def _long(size: np.ndarray) -> np.ndarray:
     return np.minimum(16 * np.log2(np.maximum(size, 1)), 255).astype(np.uint8)
 
 
+@lean
 def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, h, line) of each line with words."""
-    for batch in batches(rows, 4 << 20):
+    for batch in batches(rows, 2 << 20):
         key, doc, line, *_ = _lines(batch.column(2), 1)
         doc = pa.array(doc)
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(line.astype(np.int32))], ["key", "doc_id", "h", "line"])
@@ -199,15 +201,16 @@ def _deal(buckets: int, least: int):
             w = who[a:b]
             yield int(to[a]), pack((hole[a:b] >> _U(32)).astype(np.uint8)), pack(hole[a:b].astype(np.uint32)), pack_sorted(key[w].view(np.int64)), pack(sim[w].reshape(-1)), pack(size[w])
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, 2 << 20):
             key, _, _, at, m, words, size = _lines(batch.column(0), least)
             _, pick = np.unique(key, return_index=True)
             sim, who, hole = sketch(words, at[pick], m[pick])
             held.append((key[pick], sim, _long(size(at[pick], m[pick])), who, hole))
             n += len(pick)
-            if n >= 1 << 17:
+            if n >= 1 << 16:
                 yield from record_batches(flush(held), schema, 16)
                 held, n = [], 0
         if n:
@@ -251,6 +254,7 @@ def _pair_up(bits: int, similarity: float):
             some = at[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(hole[some]), pa.array(key[some])], ["component", "node"])
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, []
         for batch in rows:
@@ -360,9 +364,10 @@ def _forms(raw):
     """(doc_id, h, line, form): normal forms of the lines at the places that the bitmap may have."""
     word = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = Bitmap(raw.value)
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, 2 << 20):
             data, off = text_buffers(batch.column(2))
             feeds = np.flatnonzero(data[off[0] : off[-1]] == 10) + int(off[0])
             # Borders of all lines of all texts: a line starts at a text's start and after each feed.
@@ -395,6 +400,7 @@ def _verify(bits: int, similarity: float):
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lines, left, right = None, [], [], []
 
@@ -427,7 +433,7 @@ def _verify(bits: int, similarity: float):
                         left.append(key[i])
                         right.append(key[j])
 
-        for batch in batches(rows, 4 << 20, "form"):
+        for batch in batches(rows, 2 << 20, "form"):
             raw, offsets = text_buffers(batch.column(5))
             start, end, first = word_bounds(raw, offsets, LETTERS)
             sims, who, hole = sketch(_HASHER.hash(raw, start, end), first[:-1], np.diff(first))
@@ -492,8 +498,9 @@ def removals(docs: DataFrame, least: int = 5, bits: int = BITS, similarity: floa
 def _cut(at: int, names: list[str]):
     """Rows (the document's columns as a struct, gone) to those columns, n_lines and n_removed; text without the lines gone."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in (whole.slice(k, 500) for whole in rows for k in range(0, whole.num_rows, 500)):
             columns = batch.column(0).flatten()
             texts, n, removed = [], [], []
             for text, gone in zip(columns[at], batch.column(1)):

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from ._bitmap import Bitmap, member_bitmap
 from ._checkpoint import checkpoint, stored
 from ._graph import confirmed, connected, forest, merge_forests, pack_edges
+from ._lean import lean
 from ._packed import leads, pack, record_batches, runs, unpack
 from ._words import Hasher, _splitmix, batches, mix64, text_buffers, windows, word_bounds
 
@@ -89,8 +90,9 @@ def _sketch(width: int, groups: int, half: int):
     factors = [_U(_splitmix(900 + k) | 1) for k in range(2 * groups * half)]
     salt = _U(_splitmix(899))
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, 2 << 20):
             h, first = shingles(batch.column(1))
             n = np.diff(first)
             some = np.flatnonzero(n)
@@ -144,6 +146,7 @@ def _bands(groups: int, buckets: int):
         if len(a):
             yield -1, *pack_edges(a, b)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, keys, held = [], [], 0
         for batch in rows:
@@ -160,6 +163,7 @@ def _bands(groups: int, buckets: int):
     return run
 
 
+@lean
 def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by bucket: edges between the documents that share a key, as packed forests."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -201,6 +205,7 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(raw):
     """(node, z): the compressed texts of the documents that the bitmap may have."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -252,6 +257,7 @@ def _confirm(width: int, percent: int):
     shingles = Shingler(width)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -45,6 +45,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructType, _pa
 
 from ._bitmap import Bitmap, member_bitmap
 from ._checkpoint import checkpoint
+from ._lean import lean
 from ._words import LETTERS, Hasher, batches, text_buffers, word_bounds
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -139,6 +140,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, ...]:
 def _pairs(near: int):
     """(term, entity, docs, named) counts of one task's documents, and of those where the term is a name; term 0 stands for the entity itself, entity 0 for any."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[tuple[int, int], list[int]] = {}
 
@@ -200,6 +202,7 @@ def _hits(column: pa.Array, bitmap: Bitmap) -> tuple[np.ndarray, ...]:
 def _documents(raw):
     """(term, docs): in how many of a task's documents each term of the bitmap occurs."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bitmap(raw.value)
         term, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -216,6 +219,7 @@ def _documents(raw):
 def _positions(raw):
     """(doc_id, h, term, start, end) of every occurrence of the terms that the bitmap has."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bitmap(raw.value)
         for batch in batches(rows, 4 << 20):
@@ -304,6 +308,7 @@ def sanitise(docs: DataFrame, text: str = "text", spans: str = "spans", out: str
     docs = docs.drop(out)
     at, of = docs.columns.index(text), docs.columns.index(spans)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             clean = []

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._checkpoint import checkpoint
+from ._lean import lean
 from ._packed import spread
 from ._words import batches, distinct, text_buffers
 
@@ -134,6 +135,7 @@ def _sums(code: np.ndarray, off: np.ndarray, known: np.ndarray, logp: np.ndarray
 def _score(model):
     """(doc_id, lang, trusted, bytes, total) by a broadcast (sorted n-grams, log p)."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logp = model.value
         for batch in batches(rows, 4 << 20):
@@ -146,6 +148,7 @@ def _score(model):
 def _deal(chunks: int):
     """(chunk, doc_id, lang, trusted, z): documents dealt out, compressed."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -161,6 +164,7 @@ def _deal(chunks: int):
 def _wanted(chunks: int):
     """(gram, chunk): the n-grams that the documents of each chunk ask for, each once per task."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 16 << 20):
             code, off = grams(batch.column(1))

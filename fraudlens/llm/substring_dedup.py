@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._lean import lean
 from ._packed import leads, pack, pack_sorted, record_batches, runs, spread, unpack, unpack_sorted
 from ._words import Hasher, batches, distinct, text_buffers, windows, word_bounds
 
@@ -67,6 +68,7 @@ def _scatter(width: int, buckets: int, chunks: int, most: int):
         for a, b in runs(bucket):
             yield int(bucket[a]), -1, h[a:b].tobytes(), pack_sorted(doc[a:b]), pack(pos[a:b].astype(np.uint32))
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches(rows, 4 << 20):
@@ -117,6 +119,7 @@ def _compare(chunks: int, most: int = 1 << 20):
         again = (doc != doc[lead]) | (pos != pos[lead])
         return doc[again], pos[again]
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part, found, n = None, [], [], 0
         for batch in rows:
@@ -146,6 +149,7 @@ def _compare(chunks: int, most: int = 1 << 20):
 def _squeeze(chunks: int):
     """Deals the texts out to their chunks, compressed for the way through the shuffle."""
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._lean import lean
 from ._words import LETTERS, Hasher, batches, distinct, text_buffers, with_fields, word_bounds
 
 STARTS = (4, 6, 8)
@@ -139,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, factors: int = 4,
     )
     terms = Terms(bits)
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             slot, doc = terms(batch.column(0))
@@ -164,6 +166,7 @@ def score(docs: DataFrame, machine: Machine | None, bits: int = 18, threshold: f
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     model, terms, at = docs.sparkSession.sparkContext.broadcast(machine), Terms(bits), docs.columns.index("text")
 
+    @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         useful = (m.weight != 0) | (m.factor != 0).any(axis=0)

@@ -452,7 +452,7 @@ def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id",
     return table.sparkSession.createDataFrame([], _RESULT) if out is None else out
 
 
-def _search(all_nodes: DataFrame, dims: int, wanted: Column, top: int, k: int = 24, beam: int = 6, width: int = 16) -> DataFrame:
+def _search(all_nodes: DataFrame, dims: int, wanted: Column, top: int, k: int = 24, beam: int = 16, width: int = 48) -> DataFrame:
     """search() among vectors of one length; beams hold `beam` times the binary logarithm of the number of nodes."""
     graph = build(all_nodes.where("id = class").select("id", "vec"), dims, k)
     beam = max(4 * top, int(beam * np.log2(2 + graph.count())))

@@ -327,7 +327,10 @@ def final_score(spark, sf_dir):
     E.write_report(E.report(E.confusion_counts(Fx.predictions(spark, sf_dir, False)), p99), path)
     raw = "p99 double, failure_rate double, epsilon double, p99_score double, detection_score double, final_score double"
     read = spark.read.schema(f"p99 string, scoring struct<weighted_errors_E: long, final_score: double, raw: struct<{raw.replace(' ', ': ').replace(',:', ',')}>>").json(path)
-    return read.select(F.col("scoring.weighted_errors_E").alias("weighted_errors"), *(F.round(f"scoring.raw.{c}", 6).alias(c) for c in ("p99", "p99_score", "detection_score", "final_score")))
+    # The final score is the sum with the detection score as it is shown.
+    shown = F.round("scoring.raw.detection_score", 6)
+    final = F.col("scoring.raw.final_score") - F.col("scoring.raw.detection_score") + shown
+    return read.select(F.col("scoring.weighted_errors_E").alias("weighted_errors"), *(F.round(f"scoring.raw.{c}", 6).alias(c) for c in ("p99", "p99_score")), shown.alias("detection_score"), F.round(final, 6).alias("final_score"))
 
 
 def throughput(spark, sf_dir):

@@ -53,3 +53,9 @@ def test_bodies_are_parsed_once(spark, name, most):
     """One from_json in the plan, or none after a checkpoint: the optimiser copies none into predicates or features."""
     plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") <= most
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_final_score_adds_the_shown_detection_score(spark):
+    r = queries.queries()["final_score"](spark, "/root/testdata/sf0.01").first()
+    assert r.final_score == round(r.p99_score + r.detection_score, 6) == 650.357244

@@ -302,7 +302,7 @@ def scan_reference_file(spark, sf_dir):
 def scan_test_data(spark, sf_dir):
     """The payloads through a labelled test file and back; a broken one gives a request of nulls."""
     path = scratch(spark, "test-data")
-    write_test_data(Fx.payloads(spark, sf_dir).where("body <> 'not json'").select("body", (F.col("request_id") % 3 > 0).alias("expected_approved")), path)
+    write_test_data(Fx.payloads(spark, sf_dir).where("body <> 'not json'").select("body", (F.col("request_id") % 3 > 0).alias("expected_approved")), path, compression="gzip")
     read = read_test_data(spark, path)
     id_ = F.regexp_extract(F.get_json_object("body", "$.id"), "tx-([0-9]+)", 1).cast("long")
     return read.select(id_.alias("request_id"), "expected_approved", F.get_json_object("body", "$.transaction.amount").cast("double").alias("amount"))

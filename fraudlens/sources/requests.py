@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
@@ -35,7 +38,7 @@ def read_references(spark: SparkSession, path: str, partitions: int | None = Non
 
 
 def read_test_data(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, body, expected_approved) of a labelled test file."""
+    """(entry, body, expected_approved) of a labelled test file, or of a folder of them; entry counts within a file."""
     entry = StructType([StructField("request", S.PAYLOAD), StructField("expected_approved", BooleanType())])
     rows = spark.read.schema(StructType([StructField("entries", ArrayType(entry))])).option("multiLine", True).json(path)
     one = rows.select(F.posexplode("entries").alias("entry", "e"))
@@ -74,7 +77,28 @@ def write_references(rows: DataFrame, path: str) -> None:
     rows.agg(F.to_json(F.collect_list(F.struct("vector", "label"))).alias("value")).coalesce(1).write.option("compression", "gzip").text(path)
 
 
-def write_test_data(rows: DataFrame, path: str) -> None:
-    """rows(body, expected_approved) as a labelled test file, the form read_test_data() takes; for files of test size."""
-    entry = F.struct(F.from_json("body", S.PAYLOAD).alias("request"), "expected_approved")
-    rows.agg(F.to_json(F.struct(F.collect_list(entry).alias("entries")), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
+def write_test_data(rows: DataFrame, path: str, entries: int = 5_000, compression: str = "none") -> None:
+    """rows(body, expected_approved) as labelled test files, the form read_test_data() takes.
+
+    Each file holds at most `entries` requests of one task: a file is one row to
+    read, and no more than its own requests are held at once.
+    """
+    entry = F.to_json(F.struct(F.from_json("body", S.PAYLOAD).alias("request"), "expected_approved"), {"ignoreNullFields": "false"})
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+
+        def file() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(['{"entries":[' + ",".join(held) + "]}"])], ["value"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(text)
+                if len(held) == entries:
+                    yield file()
+        if held:
+            yield file()
+
+    rows.select(entry.alias("value")).mapInArrow(files, "value string").write.option("maxRecordsPerFile", 1).text(path, compression=compression)

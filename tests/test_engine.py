@@ -291,3 +291,17 @@ def test_search_of_extremes_is_exact(spark):
     want = [(0, 0, 0), (0, 1, 14 * 65534**2), (0, 2, 1), (1, 0, 14 * 65534**2), (1, 1, 0), (1, 2, 13 * 65534**2 + 65533**2)]
     for most in (10, 1):
         assert sorted(Q.exact(q, rows, broadcast_rows=most).select("qid", "id", "d").collect()) == want
+
+
+def test_test_data_is_written_in_files_of_bounded_size(spark, tmp_path):
+    from fraudlens.sources.requests import read_test_data, write_test_data
+
+    rows = spark.createDataFrame([(json.dumps(payload()), i % 2 == 0) for i in range(23)], "body string, expected_approved boolean").repartition(2)
+    write_test_data(rows, str(tmp_path / "parts"), entries=4)
+    files = [p for p in (tmp_path / "parts").iterdir() if p.name.endswith(".txt") and p.stat().st_size]
+    sizes = [len(json.loads(p.read_text())["entries"]) for p in files]
+    assert sum(sizes) == 23 and max(sizes) == 4
+    got = parse(read_test_data(spark, str(tmp_path / "parts"))).collect()
+    assert len(got) == 23 and all(r.is_valid for r in got) and sum(r.expected_approved for r in got) == 12
+    write_test_data(rows.where("body IS NULL"), str(tmp_path / "none"))
+    assert read_test_data(spark, str(tmp_path / "none")).count() == 0

@@ -22,8 +22,9 @@ All counts cover all documents.  Pairs are counted map-side first, so a term or
 an entity that a third of the documents share costs one row per task.  Terms
 that can't reach the threshold, going by their counts near entities alone, are
 left before the corpus is counted; the others are counted, and those that reach
-it are located, through bitmaps (false hits only cost rows: terms are joined on
-64-bit hashes).
+it are located, through bitmaps and then by their 64-bit hashes, in the document's
+own row: no occurrence is a row, so a term that all documents share costs none.
+Only more terms than fit (`held_terms`) are joined with their occurrences.
 
 Nulls count as empty texts.  Each row counts as a document of its own, also if
 its doc_id repeats or is null, and its spans come from its own text: they are
@@ -256,7 +257,10 @@ def terms(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int =
 
 def disclosing(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """(doc_id, h, start, end): every occurrence of a term that discloses an entity; h is the text's hash."""
-    found, docs = terms(docs, near, threshold, support), _keyed(docs)
+    return _located(_keyed(docs), terms(docs, near, threshold, support))
+
+
+def _located(docs: DataFrame, found: DataFrame) -> DataFrame:
     schema = StructType([docs.schema["doc_id"], docs.schema["h"]]).add("term", LongType()).add("start", IntegerType()).add("end", IntegerType())
     return docs.mapInArrow(_positions(member_bitmap(found)), schema).join(found, "term").select("doc_id", "h", "start", "end")
 
@@ -275,21 +279,77 @@ def _bases(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, kind)], ["doc_id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base"])
 
 
-def find(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2) -> DataFrame:
+def _sorted_terms(found: DataFrame):
+    """The terms' hashes, sorted, sent to all executors; counted to be few."""
+    hashes = np.sort(found.select("term").toArrow().column("term").to_numpy())
+    return found.sparkSession.sparkContext.broadcast(hashes.tobytes())
+
+
+def _spans(raw, hashes):
+    """Counts, digest and all spans of each document, in its own row."""
+
+    @lean
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = Bitmap(raw.value), np.frombuffer(hashes.value, np.int64)
+        for batch in batches(rows, 4 << 20):
+            texts = batch.column(2)
+            term, doc, start, end, _ = _hits(texts, bits)
+            sure = np.searchsorted(known, term)
+            sure[sure == len(known)] = 0
+            sure = known[sure] == term if len(known) else np.zeros(len(term), bool)
+            doc, start, end = doc[sure], start[sure], end[sure]
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
+            counts: list[list[int]] = [[], [], [], []]
+            digests, spans = [], []
+            for i, t in enumerate(texts):
+                text = t.as_py()
+                found = base_spans(text)
+                own = [0, 0, 0, 0]
+                for _, k, _ in found:
+                    own[k] += 1
+                for k in range(4):
+                    counts[k].append(own[k])
+                plain = [f"{KINDS[k]}:{s}:{e}" for s, k, e in found]
+                digests.append(hashlib.sha256(",".join(plain).encode()).hexdigest())
+                s, e = start[first[i] : first[i + 1]], end[first[i] : first[i + 1]]
+                if len(s):
+                    if found:
+                        taken = np.zeros(len(text) + 1, np.int32)
+                        for lo, _, hi in found:
+                            taken[lo + 1 : hi + 1] = 1
+                        upto = np.cumsum(taken)
+                        free = upto[e] == upto[s]
+                        s, e = s[free], e[free]
+                    every = sorted([*found, *zip(s.tolist(), [4] * len(s), e.tolist())])
+                    plain = [f"{KINDS[k]}:{a}:{b}" for a, k, b in every]
+                spans.append(",".join(plain))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+
+    return run
+
+
+def find(docs: DataFrame, near: int = 8, threshold: float = 0.8, support: int = 2, held_terms: int = 1 << 22) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of docs.
 
     spans is kind:start:end of all spans (code points, end exclusive) by start
     and then kind, comma-joined; base_sha256 is the digest of the same string for
     the base kinds alone.  Terms that overlap a base span are left out.
+
+    At most `held_terms` terms (8 bytes each) are sent to every executor and found
+    in the document's own row; more are joined with their occurrences.
     """
     span = "array<struct<start:int,kind:int,end:int>>"
     rows = _keyed(docs)
     schema = StructType([rows.schema["doc_id"], rows.schema["h"]])
     for c in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(c, LongType())
+    found = terms(docs, near, threshold, support)
+    if found.count() <= held_terms:
+        whole = StructType([f for f in schema.fields if f.name != "h"]).add("base_sha256", StringType()).add("spans", StringType())
+        return rows.mapInArrow(_spans(member_bitmap(found), _sorted_terms(found)), whole)
     base = rows.mapInArrow(_bases, schema.add("base_sha256", StringType()).add("base", _parse_datatype_string(span)))
     # One row for each document with terms; a document's own occurrences bound it.
-    hits = disclosing(docs, near, threshold, support).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
+    hits = _located(rows, found).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
     hits = hits.select(F.col("doc_id").alias("of"), F.col("h").alias("hash"), "terms")
     joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("hash")), "left")
     free = F.filter(F.coalesce("terms", F.array().cast(span)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))

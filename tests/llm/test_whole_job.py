@@ -34,3 +34,16 @@ def test_short_lines_that_repeat(spark, tmp_path):
     Fx.frame(spark, [*rows, (9, "home!\nall rights were reserved\n\n", "en", "s", 1)]).write.parquet(str(tmp_path / "documents.parquet"))
     out = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {0: (5, 0), **{i: (5, 3) for i in range(1, 5)}, 9: (4, 1)}
+
+
+def test_terms_are_located_in_the_document_s_row(spark):
+    """A term that every document holds many times makes no rows of its own; the way for too many terms finds the same."""
+    from fraudlens.llm import pii
+
+    rows = [(i, f"Quentin Marlow wrote from quentin@marlow.org, Marlow said.\n" + "Marlow again " * (i % 4), "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, " ".join(Fx.words(random.Random(i), 30)), "en", "s", 1) for i in range(160)]
+    docs = Fx.frame(spark, [*rows, (1, None, "en", "s", 1), rows[3], rows[3]])
+    found = pii.find(docs)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(repr, found.collect()))
+    assert got == sorted(map(repr, pii.find(docs, held_terms=0).collect())) and sum("term:" in r for r in got) >= 40

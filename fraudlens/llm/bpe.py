@@ -44,7 +44,7 @@ _NEVER = 1 << 60
 class Transducer:
     """The lazily determinised transducer for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
@@ -58,7 +58,7 @@ class Transducer:
         """Forgets all states but this one, which becomes number 0."""
         self.ids = {state: 0}
         self.states = [state]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        self.moves: dict[int, tuple[int, int]] = {}  # by state << 8 | byte
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain rank-ordered merging: what the transducer must agree with."""
@@ -125,21 +125,20 @@ class Transducer:
         if to is None:
             to = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
         return to
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, the token that ends with this byte in the encoding of the piece so far)."""
-        one, best, new = bytes((byte,)), -1, []
+        one, best, new, ranks, prefixes = bytes((byte,)), -1, [], self.ranks, self.prefixes
         for tail, last in self.states[state]:
             piece = tail + one
-            if best < 0 and (token := self.ranks.get(piece)) is not None and self.pair(last, token):
+            if best < 0 and (token := ranks.get(piece)) is not None and self.pair(last, token):
                 best = token
-            if piece in self.prefixes:
+            if piece in prefixes:
                 new.append((piece, last))
         if best < 0:
             raise ValueError("the rank table lacks single bytes")
-        hit = self.moves[state][byte] = self.number((*new, (b"", best))), best
+        hit = self.moves[state << 8 | byte] = self.number((*new, (b"", best))), best
         return hit
 
     def stream(self, data: bytes, every: int = 4096) -> Iterator[int]:
@@ -147,7 +146,7 @@ class Transducer:
         moves, size = self.moves, self.size
         state, ends = self.number(((b"", -1),)), []
         for byte in data:
-            hit = moves[state].get(byte) or self.step(state, byte)
+            hit = moves.get(state << 8 | byte) or self.step(state, byte)
             state = hit[0]
             ends.append(hit[1])
             if len(ends) >= every or len(self.states) > self.most_states:
@@ -182,11 +181,11 @@ class Transducer:
             return (whole,)
         if len(piece) > 4096 or len(self.states) > self.most_states:
             return tuple(self.stream(piece))
-        moves, step, state, ends = self.moves, self.step, self.number(((b"", -1),)), []
+        get, step, state, ends = self.moves.get, self.step, self.number(((b"", -1),)), []
+        add = ends.append
         for byte in piece:
-            hit = moves[state].get(byte) or step(state, byte)
-            state = hit[0]
-            ends.append(hit[1])
+            state, token = get(state << 8 | byte) or step(state, byte)
+            add(token)
         size, n, out = self.size, len(piece), []
         while n:
             token = ends[n - 1]
@@ -205,7 +204,7 @@ def compile_pattern(pattern: str):
 class Encoder:
     """Encodes whole texts; remembers the ids of short pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 300_000):
         self.fst = Transducer(ranks)
         self.split = compile_pattern(pattern).findall
         self.known: dict[str, str] = {}

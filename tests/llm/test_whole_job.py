@@ -47,3 +47,19 @@ def test_terms_are_located_in_the_document_s_row(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted(map(repr, found.collect()))
     assert got == sorted(map(repr, pii.find(docs, held_terms=0).collect())) and sum("term:" in r for r in got) >= 40
+
+
+def test_a_task_encodes_each_of_its_pieces_once():
+    """A task of 16 MB has some 280,000 different pieces and 140,000 states: neither is forgotten while it runs."""
+    import itertools
+
+    import public_tokenizers
+
+    from fraudlens.llm import bpe
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        enc = bpe.Encoder(bpe.load_ranks(f.read()), public_tokenizers.PATTERN)
+    text = " ".join(map("".join, itertools.islice(itertools.product("abcdefghij", repeat=6), 200_000)))
+    first = enc.decimal(text)
+    enc.fst.encode_piece = None  # any piece that isn't known any more would call it
+    assert enc.decimal(text) == first

@@ -8,22 +8,22 @@ results are expanded to the copies with the smallest ids again.  Of several rows
 of one id the one whose vector has the smallest digest counts.  An empty table
 gives no rows; scores of equal size go by the smaller id.
 
-Building: nodes get first neighbours from small blocks (hashed at random, and by
-the signs of random projections, large blocks cut up by a hash), then
-NN-descent: each round a node's neighbours, and the nearest `k` of those that
-have it as one, are joined to it with their vectors and compared with one
-another, but for pairs of which both were there the round before.  Only what
-would enter an end's list is kept, the best few of each.  Rounds go on until
-fewer than a hundredth of all list entries change.  Lists are summed up in each
-task before they are shuffled and hold `k` entries at most, so a hub costs a
-list per task; nothing is collected but counts.
-
-Search: a query is a row of the table, so its beam starts from its own node's
-lists; each round joins the best nodes of each beam that are not yet expanded
-with their lists, both ways, and the new ones with their vectors, until no beam
-has a node left to expand.  The best of each beam are then scored again in
-double precision on the original vectors.  The beam grows with the logarithm of
-the number of nodes.
+Nodes are dealt at random into shards, each small enough for the memory of one
+task, and each shard gets a graph of its own.
+
+Building, in the task's memory: nodes get first neighbours from the leaves of a
+few trees of random projections, then NN-descent: each round a node's neighbours,
+and the nearest `k` of those that have it as one, are compared with one another,
+but for pairs that met in a round before.  Rounds go on until fewer than a
+hundredth of all list entries change.
+
+Search: each query is searched in each shard's graph, once for all rows that hold
+its vector.  Its beam starts from the best of a sample of nodes, and from its own
+node in that node's shard; each round expands the best nodes of each beam that are
+not yet expanded, by their lists, both ways, until no beam has a node left to
+expand.  The best of all shards are then scored again in double precision on the
+original vectors.  So recall depends on the size of a shard, whose root the beam
+follows, not on the table's; the time of searches grows with queries times shards.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,10 +40,6 @@ from ._checkpoint import checkpoint
 from ._lean import lean
 from ._packed import runs
 
-_LIST = "id long, nb binary, sim binary"
-_GRAPH = "id long, vec binary, nb binary, sim binary, new binary, changed long"
-
-
 def _floats(column: pa.Array, kind: type, dims: int) -> np.ndarray:
     """The rows of a binary column of equal lengths as a matrix."""
     if not len(column):
@@ -51,51 +47,180 @@ def _floats(column: pa.Array, kind: type, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), dims)
 
 
-def best(target: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each target its k nearest different others, sorted by target and falling similarity."""
-    ok = target != other
-    target, other, sim = target[ok], other[ok], sim[ok]
-    order = np.lexsort((-sim, other, target))
-    target, other, sim = target[order], other[order], sim[order]
-    new = np.ones(len(target), bool)
-    new[1:] = (target[1:] != target[:-1]) | (other[1:] != other[:-1])
-    target, other, sim = target[new], other[new], sim[new]
-    order = np.lexsort((other, -sim, target))
-    target, other, sim = target[order], other[order], sim[order]
-    head = np.r_[True, target[1:] != target[:-1]][: len(target)]
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(target)), 0)) if len(target) else np.zeros(0, np.int64)
-    keep = np.arange(len(target)) - lead < k
-    return target[keep], other[keep], sim[keep]
-
-
-class _Lists:
-    """Gathers candidate neighbours in a task and gives them out as packed lists."""
-
-    def __init__(self, k: int):
-        self.k, self.held, self.n = k, [], 0
-
-    def add(self, target: np.ndarray, other: np.ndarray, sim: np.ndarray) -> None:
-        self.held.append((target, other, sim.astype(np.float32)))
-        self.n += len(target)
-        if self.n > 2_000_000:
-            self.thin()
-
-    def thin(self) -> None:
-        self.held = [best(*(np.concatenate(x) for x in zip(*self.held)), self.k)]
-        self.n = len(self.held[0][0])
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
+def _ranked(row: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """The order by row and falling similarity (of 30 bits; equal ones by place)."""
+    return np.argsort(row.astype(np.int64) << 32 | ((1.5 - sim) * (1 << 30)).astype(np.int64), kind="stable")
+
+
+class Graph:
+    """The k nearest neighbours of unit vectors by NN-descent; places, not ids, and -1 where there are fewer.
+
+    Lists fall by similarity.  `fresh` marks entries that no local join has seen.
+    """
+
+    def __init__(self, v: np.ndarray, k: int, leaf: int = 128, trees: int = 4, seed: int = 5):
+        m = len(v)
+        self.v, self.k = v, min(k, max(m - 1, 1))
+        self.near = np.full((m, self.k), -1, np.int32)
+        self.sim = np.full((m, self.k), -2, np.float32)
+        self.fresh = np.zeros((m, self.k), bool)
+        self.held, self.n_held = [], 0
+        rng = np.random.default_rng(seed)
+        for _ in range(trees if m > leaf else 1):
+            self._tree(rng, leaf)
+        while self._round() > 0.01 * m * self.k:
+            pass
+        self.links = np.concatenate([self.near, self._turned()[0]], axis=1)
+
+    def _tree(self, rng: np.random.Generator, leaf: int) -> None:
+        """Compares the members of each leaf of a tree of random projections, halved at medians."""
+        m, levels = len(self.v), 0
+        order = np.arange(m)
+        while m >> levels > leaf:
+            side = self.v @ rng.normal(size=self.v.shape[1]).astype(np.float32)
+            order = order[np.lexsort((side[order], (np.arange(m) << levels) // m))]
+            levels += 1
+        width = min(m, (m >> levels) + 1)
+        starts = np.minimum((np.arange(1 << levels) * m) >> levels, m - width)
+        top = min(self.k, width - 1)
+        if not top:
             return
-        self.thin()
-        target, other, sim = self.held[0]
-        ids, nb, sims = [], [], []
-        for a, b in runs(target):
-            ids.append(int(target[a]))
-            nb.append(other[a:b].tobytes())
-            sims.append(sim[a:b].tobytes())
-        for k in range(0, len(ids), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 5000], pa.int64()), pa.array(nb[k : k + 5000], pa.binary()), pa.array(sims[k : k + 5000], pa.binary())], ["id", "nb", "sim"])
+        for a in range(0, len(starts), 64):
+            who = order[starts[a : a + 64, None] + np.arange(width)]
+            block = self.v[who]
+            s = block @ block.transpose(0, 2, 1)
+            s[:, np.arange(width), np.arange(width)] = -3
+            pick = np.argpartition(-s, top - 1, axis=2)[:, :, :top]
+            other = np.take_along_axis(np.broadcast_to(who[:, None, :], s.shape), pick, axis=2)
+            self._offer(np.repeat(who.reshape(-1), top), other.reshape(-1), np.take_along_axis(s, pick, axis=2).reshape(-1))
+        self._take()
+
+    def _offer(self, target: np.ndarray, other: np.ndarray, sim: np.ndarray) -> None:
+        self.held.append((target, other, sim))
+        self.n_held += len(target)
+        if self.n_held > 2_000_000:
+            self._take()
+
+    def _take(self) -> int:
+        """Puts the best of what was offered into the lists; how many entries are new."""
+        if not self.n_held:
+            return 0
+        m, k = len(self.v), self.k
+        target, other, sim = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.n_held = [], 0
+        ok = (sim > self.sim[target, -1]) & (target != other)
+        target, other, sim = target[ok], other[ok], sim[ok]
+        at = np.unique(target)
+        n = len(at)
+        old = self.near[at].reshape(-1)
+        there = old >= 0
+        row = np.r_[np.repeat(np.arange(n), k)[there], np.searchsorted(at, target)]
+        other = np.r_[old[there], other].astype(np.int64)
+        sim = np.r_[self.sim[at].reshape(-1)[there], sim]
+        # Of one neighbour the old entry stays; 0: joined before, 1: in the list, 2: offered now.
+        age = np.r_[self.fresh[at].reshape(-1)[there].astype(np.int64), np.full(len(target), 2)]
+        order = np.argsort((row * m + other) * 3 + age)
+        row, other, sim, age = row[order], other[order], sim[order], age[order]
+        first = np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])][: len(row)]
+        row, other, sim, age = row[first], other[first], sim[first], age[first]
+        order = _ranked(row, sim)
+        row, other, sim, age = row[order], other[order], sim[order], age[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+        keep = place < k
+        row, other, sim, age, place = row[keep], other[keep], sim[keep], age[keep], place[keep]
+        near, sims, fresh = np.full((n, k), -1, np.int32), np.full((n, k), -2, np.float32), np.zeros((n, k), bool)
+        near[row, place], sims[row, place], fresh[row, place] = other, sim, age > 0
+        self.near[at], self.sim[at], self.fresh[at] = near, sims, fresh
+        return int((age == 2).sum())
+
+    def _turned(self) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, fresh): for each node the k nearest that have it as a neighbour and aren't its neighbours."""
+        m, k = self.near.shape
+        own, place = np.nonzero(self.near >= 0)
+        to = self.near[own, place]
+        order = _ranked(to, self.sim[own, place])
+        own, place, to = own[order], place[order], to[order]
+        both = np.concatenate([(self.near[to[a : a + 65536]] == own[a : a + 65536, None]).any(axis=1) for a in range(0, len(to), 65536)] or [np.zeros(0, bool)])
+        own, place, to = own[~both], place[~both], to[~both]
+        at = np.arange(len(to)) - np.searchsorted(to, np.arange(m))[to]
+        ok = at < k
+        back, fresh = np.full((m, k), -1, np.int32), np.zeros((m, k), bool)
+        back[to[ok], at[ok]], fresh[to[ok], at[ok]] = own[ok], self.fresh[own[ok], place[ok]]
+        return back, fresh
+
+    def _round(self, size: int = 512) -> int:
+        """Compares each node's neighbours, both ways, with one another, but for pairs that met before; how many list entries changed."""
+        back, new = self._turned()
+        members, new = np.concatenate([self.near, back], axis=1), np.concatenate([self.fresh, new], axis=1)
+        self.fresh[:] = False
+        changed = 0
+        for a in range(0, len(members), size):
+            some = new[a : a + size].any(axis=1)
+            who, fresh = members[a : a + size][some], new[a : a + size][some]
+            block = self.v[who]
+            s = block @ block.transpose(0, 2, 1)
+            # An end that isn't there takes nothing and is nothing.
+            low = np.where(who >= 0, self.sim[who, -1], 9)
+            better = s > low[:, :, None]
+            better &= fresh[:, :, None] | fresh[:, None, :]
+            better &= (who >= 0)[:, None, :]
+            g, i, j = np.nonzero(better)
+            self.held.append((who[g, i], who[g, j], s[g, i, j]))
+            self.n_held += len(g)
+            if self.n_held > 2_000_000:
+                changed += self._take()
+        return changed + self._take()
+
+    def search(self, q: np.ndarray, beam: int, width: int, own: np.ndarray, sample: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(places, similarities) of each query's beam, -1 where nothing stands; own is a query's own place, or -1.
+
+        A beam starts from the best of a sample of nodes and from the own place;
+        each round expands its best `width` nodes that aren't yet expanded, until
+        none is left.
+        """
+        m, out = len(self.v), []
+        some = np.unique(np.linspace(0, m - 1, min(m, sample)).astype(np.int64))
+        # What a group of queries has seen is a bit map of 32 MB.
+        for a in range(0, len(q), size := max(1, min(512, (1 << 25) // m))):
+            part, mine = q[a : a + size], own[a : a + size]
+            n = len(part)
+            seen = np.zeros(n * m, bool)
+            s = part @ self.v[some].T
+            pick = np.argsort(-s, axis=1)[:, : beam // 2 + 1]
+            ids = np.full((n, beam), -1, np.int64)
+            sims = np.full((n, beam), -3, np.float32)
+            c = min(beam, pick.shape[1])
+            ids[:, :c], sims[:, :c] = some[pick[:, :c]], np.take_along_axis(s, pick[:, :c], axis=1)
+            row, col = np.nonzero(ids >= 0)
+            seen[row * m + ids[row, col]] = True
+            has = np.flatnonzero(mine >= 0)
+            has = has[~seen[has * m + mine[has]]]
+            ids[has, -1], sims[has, -1] = mine[has], 1
+            seen[has * m + mine[has]] = True
+            order = np.argsort(-sims, axis=1, kind="stable")
+            ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            done = ids < 0
+            while not done.all():
+                now = ~done & (np.cumsum(~done, axis=1) <= width)
+                row, col = np.nonzero(now)
+                done |= now
+                to = self.links[ids[row, col]]
+                at = (row[:, None] * m + to)[to >= 0]
+                at = np.unique(at[~seen[at]])
+                seen[at] = True
+                row, to = at // m, at % m
+                s = np.concatenate([np.einsum("ij,ij->i", part[row[b : b + 8192]], self.v[to[b : b + 8192]]) for b in range(0, len(at), 8192)] or [np.zeros(0, np.float32)])
+                ok = s > sims[row, -1]
+                row, to, s = row[ok], to[ok], s[ok]
+                place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+                more = int(place.max()) + 1 if len(place) else 0
+                ids_, sims_, done_ = np.full((n, beam + more), -1, np.int64), np.full((n, beam + more), -3, np.float32), np.ones((n, beam + more), bool)
+                ids_[:, :beam], sims_[:, :beam], done_[:, :beam] = ids, sims, done
+                ids_[row, beam + place], sims_[row, beam + place], done_[row, beam + place] = to, s, False
+                order = np.argsort(-sims_, axis=1, kind="stable")[:, :beam]
+                ids, sims, done = (np.take_along_axis(x, order, 1) for x in (ids_, sims_, done_))
+            out.append((ids, sims))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _units(vec: np.ndarray) -> np.ndarray:
@@ -114,200 +239,6 @@ def _normalised(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in unit], pa.binary()), pa.array([v.tobytes() for v in vec], pa.binary())], ["id", "vec", "exact"])
 
 
-def _blocks(dims: int, rounds: int, bits: int, seed: int):
-    """(block, id, v): each node in one block by its id and `rounds` blocks by the signs of random projections."""
-    planes = np.random.default_rng(seed).normal(size=(rounds, bits, dims)).astype(np.float32)
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            vec = _floats(batch.column(1), np.float32, dims)
-            half = pa.array([v.tobytes() for v in vec.astype(np.float16)], pa.binary())
-            for r in range(rounds):
-                sign = (vec @ planes[r].T > 0) @ (1 << np.arange(bits))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), r, np.int32)), pa.array(sign.astype(np.int64)), batch.column(0), half], ["round", "sign", "id", "v"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), -1, np.int32)), pa.array(np.zeros(len(vec), np.int64)), batch.column(0), half], ["round", "sign", "id", "v"])
-
-    return run
-
-
-def _compare(dims: int, k: int, most: int):
-    """Over rows (group, id, v) sorted by group: candidate lists of all pairs within each group."""
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = _Lists(k)
-        at, ids, vecs, held = None, [], [], 0
-
-        def close() -> None:
-            i, v = np.concatenate(ids), np.concatenate(vecs).astype(np.float32)
-            for a in range(0, len(i), most):  # groups are bounded by their making; this only bounds the matrix
-                s = v[a : a + most] @ v.T
-                np.put_along_axis(s, np.arange(a, min(a + most, len(i)))[:, None], -2, axis=1)
-                top = min(k, len(i) - 1)
-                if top > 0:
-                    pick = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    lists.add(np.repeat(i[a : a + most], top), i[pick].reshape(-1), np.take_along_axis(s, pick, axis=1).reshape(-1))
-
-        for batch in rows:
-            group = batch.column(0).to_numpy()
-            own = batch.column(1).to_numpy()
-            v = _floats(batch.column(2), np.float16, dims)
-            for a, b in runs(group):
-                if group[a] != at and ids:
-                    close()
-                    ids, vecs = [], []
-                at = group[a]
-                ids.append(own[a:b])
-                vecs.append(v[a:b])
-        if ids:
-            close()
-        yield from lists.batches()
-
-    return run
-
-
-def _flat(column: list, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(values one after another, row of each) of packed lists; a null is an empty one."""
-    parts = [x or b"" for x in column]
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(parts), kind), np.repeat(np.arange(len(parts)), [len(x) // size for x in parts])
-
-
-def _cut_up(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
-    at = np.searchsorted(row, np.arange(n + 1))
-    return pa.array([values[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-
-
-def _merge(k: int):
-    """(id, vec, old list, new lists) to (id, vec, nb, sim, new, changed): the k best of both; new marks the `changed` ones that weren't in the old list."""
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in rows:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                old, row = _flat(batch.column(2).to_pylist(), np.int64)
-                sim, _ = _flat(batch.column(3).to_pylist(), np.float32)
-                lists = batch.column(4).to_pylist()
-                more, row2 = _flat([b"".join(x["nb"] for x in new or []) for new in lists], np.int64)
-                sim2, _ = _flat([b"".join(x["sim"] for x in new or []) for new in lists], np.float32)
-                row, other, sim = np.r_[row, row2], np.r_[old, more], np.r_[sim, sim2]
-                fresh = np.r_[np.zeros(len(old), np.int8), np.ones(len(more), np.int8)]
-                ok = other != batch.column(0).to_numpy()[row]
-                row, other, sim, fresh = row[ok], other[ok], sim[ok], fresh[ok]
-                order = np.lexsort((fresh, other, row))  # of one neighbour the old entry comes first
-                row, other, sim, fresh = row[order], other[order], sim[order], fresh[order]
-                first = np.r_[True, (row[1:] != row[:-1]) | (other[1:] != other[:-1])][: len(row)]
-                row, other, sim, fresh = row[first], other[first], sim[first], fresh[first]
-                order = np.lexsort((other, -sim, row))
-                row, other, sim, fresh = row[order], other[order], sim[order], fresh[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                row, other, sim, fresh = row[keep], other[keep], sim[keep], fresh[keep]
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _cut_up(other, row, n), _cut_up(sim, row, n), _cut_up(fresh, row, n), pa.array(np.bincount(row, fresh, n).astype(np.int64))], ["id", "vec", "nb", "sim", "new", "changed"])
-
-    return run
-
-
-def _turn(k: int):
-    """Lists of the nodes that have a node as neighbour; of a task, k at most for each node."""
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = _Lists(k)
-        for batch in rows:
-            n, row = _flat(batch.column(1).to_pylist(), np.int64)
-            lists.add(n, batch.column(0).to_numpy()[row], _flat(batch.column(2).to_pylist(), np.float32)[0])
-        yield from lists.batches()
-
-    return run
-
-
-def _wanted(k: int):
-    """(id, group, new, worst) from (id, nb, sim, new, turned lists): a node asks for its neighbours and the k nearest that have it as one."""
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in rows:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                own = batch.column(0).to_numpy()
-                nb, row = _flat(batch.column(1).to_pylist(), np.int64)
-                fresh, _ = _flat(batch.column(3).to_pylist(), np.int8)
-                lists = batch.column(4).to_pylist()
-                back, row2 = _flat([b"".join(x["nb"] for x in new or []) for new in lists], np.int64)
-                sim, _ = _flat([b"".join(x["sim"] for x in new or []) for new in lists], np.float32)
-                order = np.lexsort((-sim, row2))
-                back, row2 = back[order], row2[order]
-                keep = np.arange(len(row2)) - np.searchsorted(row2, row2) < k
-                back, row2 = back[keep], row2[keep]
-                # What only the other end has as a neighbour may be new there; it counts as new.
-                group, other, fresh = np.r_[row, row2], np.r_[nb, back], np.r_[fresh, np.ones(len(back), np.int8)]
-                order = np.lexsort((fresh, other, group))
-                group, other, fresh = group[order], other[order], fresh[order]
-                first = np.r_[True, (group[1:] != group[:-1]) | (other[1:] != other[:-1])][: len(group)]
-                yield pa.RecordBatch.from_arrays([pa.array(other[first]), pa.array(own[group[first]]), pa.array(fresh[first].astype(bool))], ["id", "group", "new"])
-
-    return run
-
-
-def _local_join(dims: int, few: int, width: int):
-    """Over rows (group, id, new, worst, v) sorted by group: for each member of a group the best few others that would enter its list.
-
-    A group has `width` members at most.  Many groups are multiplied at once.
-    """
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = _Lists(4 * few)
-        rest = None
-
-        def join(group: np.ndarray, ids: np.ndarray, new: np.ndarray, worst: np.ndarray, v: np.ndarray) -> None:
-            head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            g = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1
-            place = np.arange(len(group)) - head[g]
-            m, n = int(place.max()) + 1, len(head)
-            block = np.zeros((n, m, dims), np.float32)
-            block[g, place] = v
-            low = np.full((n, m), 9, np.float32)
-            low[g, place] = worst
-            who, fresh, real = np.zeros((n, m), np.int64), np.zeros((n, m), bool), np.zeros((n, m), bool)
-            who[g, place], fresh[g, place], real[g, place] = ids, new, True
-            s = block @ block.transpose(0, 2, 1)
-            s[~((fresh[:, :, None] | fresh[:, None, :]) & real[:, None, :])] = -9
-            s[:, np.arange(m), np.arange(m)] = -9
-            if m > few:
-                np.maximum(low, np.partition(s, m - few, axis=2)[:, :, m - few], out=low)
-                a, i, j = np.nonzero(s >= np.maximum(low, -8)[:, :, None])
-            else:
-                a, i, j = np.nonzero(s > np.maximum(low, -8)[:, :, None])
-            lists.add(who[a, i], who[a, j], s[a, i, j])
-
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy(), _floats(batch.column(4), np.float16, dims)]
-            if rest is not None:
-                part = [np.concatenate(x) for x in zip(rest, part)]
-            last = int(np.searchsorted(part[0] != part[0][-1], False)) if part[0][0] == part[0][-1] else int(np.flatnonzero(part[0] != part[0][-1])[-1]) + 1
-            rest = [x[last:] for x in part]
-            heads = np.flatnonzero(np.r_[True, part[0][1:last] != part[0][: max(last - 1, 0)]]) if last else []
-            for k in range(0, len(heads), 256):
-                a, b = heads[k], heads[k + 256] if k + 256 < len(heads) else last
-                join(*(x[a:b] for x in part))
-        if rest is not None and len(rest[0]):
-            join(*rest)
-        yield from lists.batches()
-
-    return run
-
-
-def _together(lists: DataFrame, name: str = "new") -> DataFrame:
-    """One row for each id with its lists, of which there is one per task at most."""
-    return lists.groupBy("id").agg(F.collect_list(F.struct("nb", "sim")).alias(name))
-
-
 def nodes(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, d, class, vec, exact) of the rows that take part; d is the vector's length, class the smallest id of equal vectors."""
     value = F.col(vector).cast("array<double>")
@@ -329,93 +260,57 @@ def _by_length(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _normalised(iter([batch.filter(pa.array(sizes == d))]))
 
 
-def build(reps: DataFrame, dims: int, k: int = 16, block: int = 128, few: int = 16, seed: int = 5) -> DataFrame:
-    """(id, vec, nb, sim): the neighbour graph of reps(id, vec); nb and sim are packed and sorted by similarity."""
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = reps.count()
-    bits = max(1, int(np.log2(max(2, n / block))))
-    first = reps.mapInArrow(_blocks(dims, 4, min(bits, 40), seed), "round int, sign long, id long, v binary")
-    sizes = first.where("round >= 0").groupBy("round", "sign").count().select("round", "sign", F.ceil(F.col("count") / block).cast("int").alias("cut"))
-    group = F.xxhash64("round", "sign", F.expr("pmod(xxhash64(id, round), cut)")).alias("group")
-    dealt = first.where("round < 0").withColumn("cut", F.lit(max(1, -(-n // block)))).select(group, "id", "v")
-    first = first.where("round >= 0").join(sizes, ["round", "sign"]).select(group, "id", "v").union(dealt)
-    first = first.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_compare(dims, k, 1024), _LIST)
-    graph_of = lambda old, new: checkpoint(old.join(_together(new, "more"), "id", "left").select("id", "vec", "nb", "sim", "more").mapInArrow(_merge(k), _GRAPH))
-    nothing = F.lit(None).cast("binary")
-    graph = graph_of(reps.select("id", "vec", nothing.alias("nb"), nothing.alias("sim")), first)
-    while True:
-        back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST), "turned")
-        asked = graph.join(back, "id", "left").select("id", "nb", "sim", "new", "turned").mapInArrow(_wanted(k), "id long, group long, new boolean")
-        asked = asked.join(graph.mapInArrow(_half(dims, k), "id long, worst float, v binary"), "id").select("group", "id", "new", "worst", "v")
-        found = asked.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_local_join(dims, few, 2 * k), _LIST)
-        graph = graph_of(graph, found)
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= 0.01 * n * k:
-            return graph.drop("new", "changed")
-
-
-def _half(dims: int, k: int):
-    """(id, worst, v): vectors in half precision, and what a candidate must exceed to enter the list."""
+def _find(dims: int, k: int, beam: float, width: int, most: int):
+    """(q, nb, sim) over rows (key, kind, id, vec) sorted by key and kind: the nodes of a shard (kind 0) become its graph, its queries (kind 1) are searched there."""
 
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            v = _floats(batch.column(1), np.float32, dims).astype(np.float16)
-            worst = [np.frombuffer(x, np.float32)[-1] if len(x) == 4 * k else -2 for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(worst, np.float32)), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "worst", "v"])
+        at, ids, vecs, graph = None, [], [], None
+        for whole in rows:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                both = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+                own, v = batch.column(2).to_numpy(), _floats(batch.column(3), np.float32, dims)
+                for a, b in runs(both):
+                    if both[a] // 2 != at:
+                        at, ids, vecs, graph = both[a] // 2, [], [], None
+                    if both[a] % 2 == 0:
+                        ids.append(own[a:b])
+                        vecs.append(v[a:b])
+                        continue
+                    if not ids:
+                        continue
+                    if graph is None:
+                        names = np.concatenate(ids)
+                        order = np.argsort(names)
+                        names, vec = names[order], np.concatenate(vecs)[order]
+                        vecs = []
+                        graph = Graph(vec, k)
+                    place = np.minimum(np.searchsorted(names, own[a:b]), len(names) - 1)
+                    place = np.where(names[place] == own[a:b], place, -1)
+                    found, sims = graph.search(v[a:b], max(most, int(beam * np.sqrt(len(names)))), width, place)
+                    found, sims = found[:, :most], sims[:, :most]
+                    nb = [names[f[f >= 0]].tobytes() for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a:b]), pa.array(nb, pa.binary()), pa.array([x[f >= 0].tobytes() for f, x in zip(found, sims)], pa.binary())], ["q", "nb", "sim"])
 
     return run
 
 
-def _step(width: int):
-    """(node, q): the best nodes of each beam that are not yet expanded."""
+def _nearest(most: int):
+    """(q, class) of the best of all shards' lists, and each query itself for its copies."""
 
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            q, nodes_ = [], []
-            for i, nb, done in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                n = np.frombuffer(nb, np.int64)
-                n = n[~np.isin(n, np.frombuffer(done, np.int64))][:width]
+            q, found = [], []
+            for i, lists in zip(*(batch.column(c).to_pylist() for c in range(2))):
+                n = np.frombuffer(b"".join(x["nb"] for x in lists), np.int64)
+                sim = np.frombuffer(b"".join(x["sim"] for x in lists), np.float32)
+                n = n[np.lexsort((n, -sim))[:most]].tolist()
+                n = list(dict.fromkeys([i, *n]))
                 q += [i] * len(n)
-                nodes_ += n.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(q, pa.int64())], ["node", "q"])
-
-    return run
-
-
-def _fresh(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, q): neighbours of the expanded nodes that the query hasn't seen."""
-    for batch in rows:
-        q, nodes_ = [], []
-        for i, own, seen, lists in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            n = np.setdiff1d(np.frombuffer(b"".join(lists), np.int64), np.frombuffer(seen, np.int64))
-            n = n[n != own] if own is not None else n
-            q += [i] * len(n)
-            nodes_ += n.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(q, pa.int64())], ["node", "q"])
-
-
-def _advance(dims: int, beam: int, width: int):
-    """Beams after a round: what was expanded, what was seen, the best of old and new."""
-
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            out = []
-            for v, nb, sim, done, seen, new in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4, 5, 6, 7))):
-                n, s = np.frombuffer(nb, np.int64), np.frombuffer(sim, np.float32)
-                old = np.frombuffer(done, np.int64)
-                old = np.r_[old, n[~np.isin(n, old)][:width]]
-                seen_ = np.frombuffer(seen, np.int64)
-                if new:
-                    m = np.array([x["node"] for x in new], np.int64)
-                    t = np.frombuffer(b"".join(x["vec"] for x in new), np.float32).reshape(-1, dims) @ np.frombuffer(v, np.float32)
-                    seen_ = np.r_[seen_, m]
-                    _, n, s = best(np.full(len(n) + len(m), -(1 << 62)), np.r_[n, m], np.r_[s, t].astype(np.float32), beam)
-                out.append((n.tobytes(), s.tobytes(), old.tobytes(), seen_.tobytes(), bool(np.isin(n, old).all())))
-            cols = zip(*out) if out else [()] * 5
-            kinds = [pa.binary()] * 4 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds))], ["q", "vec", "own", "nb", "sim", "done", "seen", "ended"])
+                found += n
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64())], ["q", "class"])
 
     return run
 
@@ -430,7 +325,7 @@ def _exact(dims: int):
                 score = (_units(a) * _units(b)).sum(axis=1)
                 a, b = a[plain], b[plain]
                 score[plain] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["query_id", "class", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["own", "class", "score"])
 
     return run
 
@@ -452,47 +347,34 @@ def search(table: DataFrame, wanted: Column, top: int = 5, key: str = "vec_id",
     return table.sparkSession.createDataFrame([], _RESULT) if out is None else out
 
 
-def _search(all_nodes: DataFrame, dims: int, wanted: Column, top: int, k: int = 24, beam: int = 16, width: int = 48) -> DataFrame:
-    """search() among vectors of one length; beams hold `beam` times the binary logarithm of the number of nodes."""
-    graph = build(all_nodes.where("id = class").select("id", "vec"), dims, k)
-    beam = max(4 * top, int(beam * np.log2(2 + graph.count())))
-    back = _together(graph.select("id", "nb", "sim").mapInArrow(_turn(k), _LIST), "more")
-    # Edges are followed both ways; of those turned, the nearest k.
-    turned = back.withColumn("nb", F.lit(None).cast("binary")).withColumn("sim", F.lit(None).cast("binary")).select("id", F.lit(b"").alias("vec"), "nb", "sim", "more").mapInArrow(_merge(k), _GRAPH)
-    graph = checkpoint(graph.join(turned.select("id", F.col("nb").alias("back")), "id", "left").select("id", "vec", "nb", "sim", F.array("nb", F.coalesce("back", F.lit(b""))).alias("links")))
-    queries = all_nodes.where(wanted).select(F.col("id").alias("q"), "vec", F.col("class").alias("own"))
-    state = "q long, vec binary, own long, nb binary, sim binary, done binary, seen binary"
-    none = F.lit(b"")
-    beams = checkpoint(queries.join(graph.select(F.col("id").alias("own"), "nb", "sim"), "own").select("q", "vec", "own", "nb", "sim", none.alias("done"), F.col("nb").alias("seen")))
-    while True:
-        links = beams.select("q", "nb", "done").mapInArrow(_step(width), "node long, q long").join(graph.select(F.col("id").alias("node"), "links"), "node")
-        links = links.groupBy("q").agg(F.flatten(F.collect_list("links")).alias("lists"))
-        fresh = beams.join(links, "q").select("q", "own", "seen", "lists").mapInArrow(_fresh, "node long, q long")
-        vectors = fresh.join(graph.select(F.col("id").alias("node"), F.col("vec").alias("nvec")), "node")
-        vectors = vectors.groupBy("q").agg(F.collect_list(F.struct("node", F.col("nvec").alias("vec"))).alias("new"))
-        beams = checkpoint(beams.join(vectors, "q", "left").select("q", "vec", "own", "nb", "sim", "done", "seen", "new").mapInArrow(_advance(dims, beam, width), state + ", ended boolean"))
-        if not beams.where("NOT ended").limit(1).count():
-            break
-        beams = beams.drop("ended")
-    # The best classes of each beam, and the query's own for its copies.
-    found = beams.select("q", "own", "nb").mapInArrow(_unpack(4 * top), "q long, class long")
-    exact = all_nodes.where("id = class").select("class", F.col("exact").alias("other"))
-    scored = found.join(exact, "class").join(all_nodes.where(wanted).select(F.col("id").alias("q"), "exact"), "q").select(F.col("q"), "exact", "class", "other").mapInArrow(_exact(dims), "query_id long, class long, score double")
-    copies = all_nodes.select("class", F.col("id").alias("vec_id")).withColumn("c", F.row_number().over(Window.partitionBy("class").orderBy("vec_id"))).where(F.col("c") <= top + 1).drop("c")
-    rows = scored.join(copies, "class").where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
-
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that hashing sends there, so that no two shards share one."""
+    wide = 20 * n + 200
+    rows = spark.range(wide).select(F.col("id").cast("int").alias("k")).groupBy(F.expr(f"pmod(hash(k), {n})").alias("p")).agg(F.min("k").alias("k")).collect()
+    keys = {r.p: r.k for r in rows}
+    return [keys.get(p, wide + p) for p in range(n)]
 
-def _unpack(most: int):
-    @lean
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            q, found = [], []
-            for i, own, nb in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                n = list(dict.fromkeys([own, *np.frombuffer(nb, np.int64)[:most].tolist()]))
-                q += [i] * len(n)
-                found += n
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(found, pa.int64())], ["q", "class"])
 
-    return run
+def _search(all_nodes: DataFrame, dims: int, wanted: Column, top: int, k: int = 24, beam: float = 1.0, width: int = 16, shard: int = 1 << 23, least: int = 2048) -> DataFrame:
+    """search() among vectors of one length; shards hold about `shard` components, `least` nodes if there are cores enough, beams `beam` times the root of a shard's nodes."""
+    spark = all_nodes.sparkSession
+    reps = all_nodes.where("id = class").select("id", "vec")
+    n = reps.count()
+    shards = max(-(-n * dims // shard), min(spark.sparkContext.defaultParallelism, -(-n // least)), 1)
+    keys = F.array(*map(F.lit, _keys(spark, shards)))
+    key = lambda place: F.element_at(keys, (place + 1).cast("int"))
+    # Equal queries are searched once; equal vectors have equal units.
+    asked = all_nodes.where(wanted).groupBy("class").agg(F.first("vec").alias("vec"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), "class", "vec").select(key(F.col("s")).alias("key"), F.lit(1).alias("kind"), F.col("class").alias("id"), "vec")
+    dealt = reps.select(key(F.expr(f"pmod(xxhash64(id), {shards})")).alias("key"), F.lit(0).alias("kind"), "id", "vec").union(asked)
+    found = dealt.repartition(shards, "key").sortWithinPartitions("key", "kind").mapInArrow(_find(dims, k, beam, width, 2 * top + 1), "q long, nb binary, sim binary")
+    found = found.groupBy("q").agg(F.collect_list(F.struct("nb", "sim")).alias("lists")).mapInArrow(_nearest(4 * top), "q long, class long")
+    exact = all_nodes.where("id = class").select("class", "exact")
+    scored = found.join(exact.withColumnRenamed("exact", "other"), "class").join(exact.withColumnRenamed("class", "q"), "q").select("q", "exact", "class", "other").mapInArrow(_exact(dims), "own long, class long, score double")
+    copies = all_nodes.select("class", F.col("id").alias("vec_id")).withColumn("c", F.row_number().over(Window.partitionBy("class").orderBy("vec_id"))).where(F.col("c") <= top + 1).drop("c")
+    # A query leaves out one row, its own, of the class's best.
+    best = scored.join(copies, "class").withColumn("r", F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top + 1)
+    best = best.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
+    rows = all_nodes.where(wanted).select(F.col("id").alias("query_id"), F.col("class").alias("own")).join(best, "own")
+    rows = rows.select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, top)).alias("at", "x"))
+    return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

@@ -398,6 +398,43 @@ def test_nearest(spark):
     assert len(few) == 2
 
 
+def test_nearest_over_shards(spark):
+    """Several shards, more copies of a vector than places, and a handful of Spark jobs instead of some for each round."""
+    rng = np.random.default_rng(3)
+    vec = rng.normal(size=(3000, 24)).astype(np.float32)
+    vec[100:400] = vec[50]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "vec_id long, embedding array<float>")
+    spark.sparkContext.setJobGroup("nearest over shards", "")
+    got = ann.search(table, F.col("id") % 50 == 0, least=500, shard=24 * 500).collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest over shards")) < 40
+    spark.sparkContext.setJobGroup("", "")
+    out = {}
+    for r in sorted(got):
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    unit = vec.astype(float) / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    hits = 0
+    assert sorted(out) == list(range(0, 3000, 50))
+    for q, found in out.items():
+        cos = unit @ unit[q]
+        cos[q] = -9
+        order = np.lexsort((np.arange(3000), -cos.round(12)))[:5]
+        if q == 50 or 100 <= q < 400:
+            assert [v for _, v, _ in found] == order.tolist()
+        hits += len({v for _, v, _ in found} & set(order.tolist()))
+        assert [r for r, *_ in found] == [1, 2, 3, 4, 5] and all(s == pytest.approx(cos[v], abs=1e-12) for _, v, s in found)
+    assert hits >= 0.9 * 5 * len(out)
+
+
+def test_graph_of_few_nodes():
+    for m in (1, 2, 3, 130):
+        v = np.random.default_rng(m).normal(size=(m, 5)).astype(np.float32)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        graph = ann.Graph(v, 24)
+        assert [sorted(x for x in row if x >= 0) for row in graph.near[:3].tolist()] == [sorted(np.argsort(-(v @ v[i]), kind="stable")[1 : 25].tolist()) for i in range(min(m, 3))]
+        found, sims = graph.search(v, 40, 8, np.arange(m))
+        assert (found[:, 0] == np.arange(m)).all() and np.allclose(sims[:, 0], 1)
+
+
 def test_nearest_of_awkward_vectors(spark):
     """Components near the largest and smallest doubles, repeated ids, several lengths."""
     rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [-1.0, 0.0]), (50, [3.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (52, [float("inf"), 0.0, 0.0]), (2, [1.0, 1.0])]

@@ -48,13 +48,29 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        # The tokens' trie: children by node << 8 | byte; of each node the token that it is, its depth, and whether it goes on.
+        self.child: dict[int, int] = {}
+        self.token_at, self.depth, self.inner = [-1], [0], [True]
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                to = self.child.get(node << 8 | byte)
+                if to is None:
+                    to = self.child[node << 8 | byte] = len(self.depth)
+                    self.inner[node] = True
+                    self.depth.append(self.depth[node] + 1)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                node = to
+            self.token_at[node] = i
+        # A place in a state: the node of the bytes since then << wide | the token that ends there + 1.
+        self.wide = (max(ranks.values(), default=0) + 2).bit_length()
+        self.fits: dict[int, bool] = {}
         self.grown: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None] = {}
         self.most_states = most_states
-        self.reset(((b"", -1),))
+        self.reset((0,))
 
-    def reset(self, state: tuple[tuple[bytes, int], ...]) -> None:
+    def reset(self, state: tuple[int, ...]) -> None:
         """Forgets all states but this one, which becomes number 0."""
         self.ids = {state: 0}
         self.states = [state]
@@ -96,13 +112,13 @@ class Transducer:
         Merging both side by side gives other tokens exactly if a merge over
         their border has its turn while both of its sides stand there.
         """
-        ok = self.fits.get((a, b))
+        ok = self.fits.get((a + 1) << self.wide | b)
         if ok is None:
             if len(self.fits) > 300_000:
                 self.fits.clear()
             right, left = self.spines(b), self.spines(a) if a >= 0 else None
             ok = right is not None and (a < 0 or left is not None and self._apart(left[1], right[0]))
-            self.fits[a, b] = ok
+            self.fits[(a + 1) << self.wide | b] = ok
         return ok
 
     def _apart(self, before: list[tuple[bytes, int]], after: list[tuple[bytes, int]]) -> bool:
@@ -120,7 +136,7 @@ class Transducer:
             else:
                 j += 1
 
-    def number(self, key: tuple[tuple[bytes, int], ...]) -> int:
+    def number(self, key: tuple[int, ...]) -> int:
         to = self.ids.get(key)
         if to is None:
             to = self.ids[key] = len(self.states)
@@ -129,28 +145,33 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, the token that ends with this byte in the encoding of the piece so far)."""
-        one, best, new, ranks, prefixes = bytes((byte,)), -1, [], self.ranks, self.prefixes
-        for tail, last in self.states[state]:
-            piece = tail + one
-            if best < 0 and (token := ranks.get(piece)) is not None and self.pair(last, token):
-                best = token
-            if piece in prefixes:
-                new.append((piece, last))
+        best, new, wide, child, token_at, inner, fits = -1, [], self.wide, self.child, self.token_at, self.inner, self.fits
+        for place in self.states[state]:
+            node = child.get(place >> wide << 8 | byte)
+            if node is None:
+                continue
+            last = place & (1 << wide) - 1
+            if best < 0 and (token := token_at[node]) >= 0:
+                ok = fits.get(last << wide | token)
+                if self.pair(last - 1, token) if ok is None else ok:
+                    best = token
+            if inner[node]:
+                new.append(node << wide | last)
         if best < 0:
             raise ValueError("the rank table lacks single bytes")
-        hit = self.moves[state << 8 | byte] = self.number((*new, (b"", best))), best
+        hit = self.moves[state << 8 | byte] = self.number((*new, best + 1)), best
         return hit
 
     def stream(self, data: bytes, every: int = 4096) -> Iterator[int]:
         """Token ids of one piece's bytes; what all open prefixes agree on is written every few thousand bytes."""
         moves, size = self.moves, self.size
-        state, ends = self.number(((b"", -1),)), []
+        state, ends = self.number((0,)), []
         for byte in data:
             hit = moves.get(state << 8 | byte) or self.step(state, byte)
             state = hit[0]
             ends.append(hit[1])
             if len(ends) >= every or len(self.states) > self.most_states:
-                open_ends = {len(ends) - len(tail) for tail, _ in self.states[state]}
+                open_ends = {len(ends) - self.depth[place >> self.wide] for place in self.states[state]}
                 yield from self._settle(ends, open_ends)
                 if len(self.states) > self.most_states:
                     self.reset(self.states[state])
@@ -181,7 +202,7 @@ class Transducer:
             return (whole,)
         if len(piece) > 4096 or len(self.states) > self.most_states:
             return tuple(self.stream(piece))
-        get, step, state, ends = self.moves.get, self.step, self.number(((b"", -1),)), []
+        get, step, state, ends = self.moves.get, self.step, self.number((0,)), []
         add = ends.append
         for byte in piece:
             state, token = get(state << 8 | byte) or step(state, byte)
@@ -201,27 +222,66 @@ def compile_pattern(pattern: str):
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+def ascii_pattern(pattern: str):
+    """What compile_pattern(pattern) finds in texts of ASCII alone, by the standard library's faster engine; None where that can't say it."""
+    import re
+
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        wide = next((x for x in (r"\p{L}", r"\p{N}") if pattern.startswith(x, i)), None)
+        if wide:
+            some = "A-Za-z" if wide == r"\p{L}" else "0-9"
+            out.append(some if inside else f"[{some}]")
+            i += len(wide)
+            continue
+        if c == "\\":
+            if pattern[i + 1 : i + 2] not in ("s", "S", "r", "n"):
+                return None
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        if c == "(" and not pattern.startswith(("(?!", "(?:"), i):
+            return None
+        if inside and c in "[&|~-":  # the other engine may mean sets by them
+            return None
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        i += 1
+    return re.compile("".join(out), re.ASCII)
+
+
 class Encoder:
-    """Encodes whole texts; remembers the ids of short pieces."""
+    """Encodes whole texts; remembers the ids of short pieces; when there are too many, those not met again since are forgotten."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 300_000):
         self.fst = Transducer(ranks)
-        self.split = compile_pattern(pattern).findall
+        self.wide = compile_pattern(pattern).findall
+        plain = ascii_pattern(pattern)
+        self.plain = plain.findall if plain else self.wide
         self.known: dict[str, str] = {}
-        self.most = most_pieces
+        self.older: dict[str, str] = {}
+        self.most = most_pieces * 2 // 3  # in each half
+
+    def split(self, text: str) -> list[str]:
+        return self.plain(text) if text.isascii() else self.wide(text)
 
     def _new(self, piece: str) -> str:
-        found = " ".join(map(str, self.fst.encode_piece(piece.encode("utf-8"))))
+        found = self.older.get(piece) or " ".join(map(str, self.fst.encode_piece(piece.encode("utf-8"))))
         if len(piece) <= 48:
             if len(self.known) >= self.most:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[piece] = found
         return found
 
     def decimal(self, text: str) -> str:
         """The decimal ids of the text, joined by one blank."""
-        get, new = self.known.get, self._new
-        return " ".join([get(p) or new(p) for p in self.split(text)])
+        get, new, out = self.known.get, self._new, []
+        pieces = self.split(text)
+        for k in range(0, len(pieces), 4096):
+            out += [get(p) or new(p) for p in pieces[k : k + 4096]]
+            get = self.known.get
+        return " ".join(out)
 
     def encode(self, text: str) -> list[int]:
         return [*map(int, self.decimal(text).split())]
@@ -270,8 +330,13 @@ class Decoder:
         self.table: list[bytes] = [b""] * size
         for token, i in ranks.items():
             self.table[i] = token
+        self.decimal = {str(i): token for token, i in ranks.items()}
         self.machine = Utf8Machine()
 
+    def feed_decimal(self, ids: list[str]) -> bytes:
+        """feed_bytes() of decimal ids, which needn't become numbers first."""
+        return self.machine.feed(b"".join(map(self.decimal.__getitem__, ids)))
+
     def feed_bytes(self, ids: Iterable[int]) -> bytes:
         table = self.table
         return self.machine.feed(b"".join([table[i] for i in ids]))
@@ -348,12 +413,12 @@ def digest(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", tex
             n, of_ids, of_text = [], [], []
             for value in batch.column(1):
                 decimal = enc.decimal(value.as_py() or "")
-                ids = [*map(int, decimal.split())]
+                ids = decimal.split()
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(decimal.encode()).hexdigest())
                 sha = hashlib.sha256()
                 for i in range(0, len(ids), 65536):
-                    sha.update(dec.feed_bytes(ids[i : i + 65536]))
+                    sha.update(dec.feed_decimal(ids[i : i + 65536]))
                 sha.update(dec.machine.finish())
                 of_text.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -63,3 +63,29 @@ def test_a_task_encodes_each_of_its_pieces_once():
     first = enc.decimal(text)
     enc.fst.encode_piece = None  # any piece that isn't known any more would call it
     assert enc.decimal(text) == first
+
+
+def test_pieces_met_again_are_not_forgotten():
+    from fraudlens.llm import bpe
+
+    enc = bpe.Encoder({bytes([b]): b for b in range(256)}, r"\s?\S+", most_pieces=30)
+    enc.decimal("often")
+    for k in range(200):
+        enc.decimal(f"often once{k}")
+        assert "often" in enc.known or "often" in enc.older
+    assert len(enc.known) <= 20 and len(enc.older) <= 20
+
+
+def test_ascii_texts_split_alike():
+    import random
+
+    import public_tokenizers
+
+    from fraudlens.llm import bpe
+
+    wide, plain, rng = bpe.compile_pattern(public_tokenizers.PATTERN), bpe.ascii_pattern(public_tokenizers.PATTERN), random.Random(5)
+    assert plain is not None
+    for _ in range(3000):
+        text = "".join(rng.choices([chr(i) for i in range(128)] + [" ", " ", "'", "s", "\n", "7"] * 8, k=40))
+        assert plain.findall(text) == wide.findall(text)
+    assert bpe.ascii_pattern(r"[a-c&&b]+") is None and bpe.ascii_pattern(r"\p{Lu}") is None and bpe.ascii_pattern(r"(?i)a") is None

@@ -30,6 +30,8 @@ from ._lean import lean
 from ._words import LETTERS, Hasher, batches, distinct, text_buffers, with_fields, word_bounds
 
 STARTS = (4, 6, 8)
+#: Bytes of text that are looked at together: each takes some twenty bytes of memory for the while.
+AT_ONCE = 1 << 19
 
 
 class Terms:
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, factors: int = 4,
 
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in batches(rows, AT_ONCE):
             slot, doc = terms(batch.column(0))
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             packed = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
@@ -159,20 +161,24 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, factors: int = 4,
     return fit(np.concatenate(parts).astype(np.int64), doc, rows.column("toxic").to_numpy().astype(float), bits, factors)
 
 
+def scores(rows: Iterator[pa.RecordBatch], m: Machine, terms: Terms) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of the batches with the scores of their column text."""
+    useful = (m.weight != 0) | (m.factor != 0).any(axis=0)
+    for batch in batches(rows, AT_ONCE):
+        slot, doc = terms(batch.column(batch.schema.get_field_index("text")), useful)
+        yield batch, m.score(slot, doc, batch.num_rows)
+
+
 def score(docs: DataFrame, machine: Machine | None, bits: int = 18, threshold: float = 0.7) -> DataFrame:
     """All columns of docs with score double and predicted int added (existing columns of these names are replaced)."""
     docs = docs.drop("score", "predicted")
     if machine is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    model, terms, at = docs.sparkSession.sparkContext.broadcast(machine), Terms(bits), docs.columns.index("text")
+    model, terms = docs.sparkSession.sparkContext.broadcast(machine), Terms(bits)
 
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        useful = (m.weight != 0) | (m.factor != 0).any(axis=0)
-        for batch in batches(rows):
-            slot, doc = terms(batch.column(at), useful)
-            p = m.score(slot, doc, batch.num_rows)
+        for batch, p in scores(rows, model.value, terms):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, with_fields(docs, score="double", predicted="int"))

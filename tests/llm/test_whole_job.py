@@ -89,3 +89,26 @@ def test_ascii_texts_split_alike():
         text = "".join(rng.choices([chr(i) for i in range(128)] + [" ", " ", "'", "s", "\n", "7"] * 8, k=40))
         assert plain.findall(text) == wide.findall(text)
     assert bpe.ascii_pattern(r"[a-c&&b]+") is None and bpe.ascii_pattern(r"\p{Lu}") is None and bpe.ascii_pattern(r"(?i)a") is None
+
+
+def test_scoring_toxicity_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from fraudlens.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 50_000, 300)) for _ in range(3_000)]  # 8 MB
+    weight = rng.normal(size=1 << 18).astype(np.float32)
+    machine, terms = toxicity.Machine(0.1, weight, np.stack([weight] * 2)), toxicity.Terms(18)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    slot, doc = terms(batch.column(0))
+    expected = machine.score(slot, doc, len(texts))
+    del slot, doc
+    tracemalloc.start()
+    got = np.concatenate([p for _, p in toxicity.scores(iter([batch]), machine, terms)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, expected) and peak < 40e6

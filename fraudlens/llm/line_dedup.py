@@ -315,25 +315,51 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return _myers(a, b, most) <= most
 
 
-def few_words(a: list[str], b: list[str], most: int) -> bool:
-    """Whether so few words differ that the distance must be within `most`: a quick yes, no means nothing."""
-    a, b = _trimmed(a, b)
-    if not a or not b:
-        return sum(map(len, a)) + sum(map(len, b)) + len(a) + len(b) <= most
-    # Each differing word costs its own letters, the other's and a blank at most; the longest ones are the worst case.
-    costs, able, total = sorted(map(len, a + b), reverse=True), 0, 0
-    for n in costs:
-        total += n + 1
-        if total > most:
+def _steps(a: list[str], b: list[str], reach: int = 10) -> tuple[int, list[tuple[str, str]]]:
+    """(an upper bound of the distance of the joined words, the pieces that differ) of one alignment by words.
+
+    Where the words differ, the nearest place within `reach` words is taken
+    where they agree again; beyond that, all that is left differs.
+    """
+    i = j = cost = 0
+    m, n, pieces = len(a), len(b), []
+    while True:
+        while i < m and j < n and a[i] == b[j]:
+            i += 1
+            j += 1
+        if i == m and j == n:
+            return cost, pieces
+        x, y = m - i, n - j
+        for total in range(1, min(reach, x + y - 1)):
+            # As many words of each first.
+            for k in range(total + 1):
+                p = (total + (k if (total + k) % 2 == 0 else -k - 1)) // 2
+                if 0 <= p < m - i and 0 <= total - p < n - j and a[i + p] == b[j + total - p]:
+                    x, y = p, total - p
+                    break
+            else:
+                continue
             break
-        able += 1
-    return able > 0 and _myers(a, b, able) <= able
+        left, right = " ".join(a[i : i + x]), " ".join(b[j : j + y])
+        # A piece against none goes with one of its blanks.
+        cost += max(len(left), len(right)) + (not x or not y)
+        pieces.append((left, right))
+        i += x
+        j += y
+
+
+def by_words(a: list[str], b: list[str], most: int) -> bool:
+    """Whether an alignment by words shows that the distance is within `most`: a quick yes, no means nothing."""
+    cost, pieces = _steps(a, b)
+    if cost <= most or cost > 2 * most:
+        return cost <= most
+    return sum(_myers(x, y, most) if x and y else len(x) + len(y) + 1 for x, y in pieces) <= most
 
 
 def alike(a: str, b: str, similarity: float, pairs: dict[str, np.ndarray]) -> bool:
     """Whether the edit similarity is reached; pairs is a cache of pairs_of()."""
     most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
-    if few_words(a.split(" "), b.split(" "), most):
+    if by_words(a.split(" "), b.split(" "), most):
         return True
     return possible(a, b, pairs, most) and distance_within(a, b, most)
 
@@ -408,9 +434,7 @@ def _verify(bits: int, similarity: float):
             if len(lines) < 2:
                 return
             side, key, form, label, low, high, holes = zip(*lines)
-            sims = np.array([low, high], _U).T
-            size = np.array([*map(len, form)])
-            side = np.array(side)
+            size = [*map(len, form)]
             known: dict[int, int] = {}
             root = [known.setdefault(x, i) for i, x in enumerate(label)]
 
@@ -422,11 +446,15 @@ def _verify(bits: int, similarity: float):
 
             pairs: dict[str, np.ndarray] = {}
             # Across two sides only the second side's lines look back, at the first side's.
-            begin, upto = (1, None) if side[-1] == side[0] else (int(np.searchsorted(side, 1)), int(np.searchsorted(side, 1)))
+            begin, upto = (1, None) if side[-1] == side[0] else (side.index(1), side.index(1))
+            if len(lines) <= 12:  # calls on arrays would cost more than they save
+                similar = lambda i, m: [j for j in range(m) if (low[i] ^ low[j]).bit_count() + (high[i] ^ high[j]).bit_count() <= bits and min(size[i], size[j]) >= max(size[i], size[j]) * similarity - 1e-6]
+            else:
+                sims, sizes = np.array([low, high], _U).T, np.array(size)
+                similar = lambda i, m: np.flatnonzero(near(sims[:m], sims[i], bits) & (np.minimum(sizes[:m], sizes[i]) >= np.maximum(sizes[:m], sizes[i]) * similarity - 1e-6)).tolist()
             for i in range(begin, len(lines)):
                 m = i if upto is None else upto
-                ok = near(sims[:m], sims[i], bits) & (np.minimum(size[:m], size[i]) >= np.maximum(size[:m], size[i]) * similarity - 1e-6)
-                for j in np.flatnonzero(ok).tolist():
+                for j in similar(i, m):
                     a, b = find(i), find(j)
                     if a != b and min(holes[i] & holes[j]) == at[0] and alike(form[i], form[j], similarity, pairs):
                         root[max(a, b)] = min(a, b)

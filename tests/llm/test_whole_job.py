@@ -112,3 +112,28 @@ def test_scoring_toxicity_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.allclose(got, expected) and peak < 40e6
+
+
+def test_changed_words_need_no_distance_of_letters(monkeypatch):
+    """Lines with some changed, left out and added words beside much longer ones are settled by an alignment of their words, which is never too kind."""
+    from fraudlens.llm import line_dedup
+
+    rng = random.Random(12)
+    long = ["internationalisation", "counterrevolutionary"] * 4
+    for _ in range(300):
+        a = rng.sample(Fx.words(rng, 40) + long, 48)
+        b = list(a)
+        for _ in range(rng.randint(1, 14)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 2)] = rng.choice(([], ["so"], ["other", "ka"], Fx.words(rng, 3)))
+        d = levenshtein(" ".join(a), " ".join(b))
+        for most in (d - 1, d, d + 3):
+            assert not line_dedup.by_words(a, b, most) or d <= most
+    words = [f"word{k}" for k in range(30)] + long
+    other = [w if k % 4 or k > 30 else "ward" + w[4:] for k, w in enumerate(words)]
+
+    def never(*_):
+        raise AssertionError("all letters were compared")
+
+    monkeypatch.setattr(line_dedup, "distance_within", never)
+    assert line_dedup.alike(" ".join(words), " ".join(other[:20] + other[21:]), 0.8, {})

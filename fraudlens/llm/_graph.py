@@ -100,7 +100,7 @@ def connected(edges: DataFrame, few: int = 1_000_000) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
-def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: int) -> DataFrame:
+def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: int, adaptive: bool = False) -> DataFrame:
     """(node, component): components of the confirmed links among the nodes of each cluster.
 
     clusters(node, component) says which nodes must be compared, and a node may be
@@ -119,6 +119,8 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
 
     So no link between two sets is left out, and a cluster whose nodes mostly
     belong together costs a few texts a node, not one for each other block.
+    With adaptive, Spark chooses the number of tasks of 2. and 3. by their bytes,
+    else there are as many as shuffle partitions.
     """
     spark = payload.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -127,9 +129,11 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
     of = lambda blocks, salt=0: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    def run(rows: DataFrame) -> DataFrame:
+    later = () if adaptive else (parts,)
+
+    def run(rows: DataFrame, *number: int) -> DataFrame:
         rows = rows.select("component", "one", "two", "side", "node").join(texts, "node").select("component", "one", "two", "side", "node", *columns)
-        rows = rows.repartition(parts, "component", "one", "two").sortWithinPartitions("component", "one", "two", "side")
+        rows = rows.repartition(*number, "component", "one", "two").sortWithinPartitions("component", "one", "two", "side")
         return merge_forests(rows.mapInArrow(check, "a binary, b binary"), max(1, parts // 4))
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
@@ -138,10 +142,10 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
     texts = payload.join(clusters.select("node").distinct(), "node", "left_semi")
     large = placed.where("blocks > 1")
     if not large.limit(1).count():
-        return connected(run(placed.select("component", "node", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"))))
+        return connected(run(placed.select("component", "node", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side")), parts))
     texts = checkpoint(texts)
     own = of(F.col("blocks"))
-    edges = checkpoint(run(placed.select("component", "node", own.alias("one"), own.alias("two"), F.lit(0).alias("side"))))
+    edges = checkpoint(run(placed.select("component", "node", own.alias("one"), own.alias("two"), F.lit(0).alias("side")), parts))
 
     def labelled() -> DataFrame:
         found = connected(edges).withColumnRenamed("component", "label")
@@ -151,11 +155,11 @@ def confirmed(clusters: DataFrame, payload: DataFrame, check: Callable, most: in
     heads = heads.join(heads.groupBy("component").agg(count(F.count("*")).alias("n")), "component")
     mine = heads.withColumn("own", of(F.col("n"), 1)).select("component", "node", "own", upto("n").alias("other"))
     low = F.least("own", "other")
-    edges = checkpoint(edges.union(run(mine.select("component", "node", low.alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > low).cast("int").alias("side")))))
+    edges = checkpoint(edges.union(run(mine.select("component", "node", low.alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > low).cast("int").alias("side")), *later)))
     now = labelled()
     main = now.groupBy("component", "label").count().groupBy("component").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
     rest = now.join(main, "component").where("label <> main").select("component", "node", "blocks")
     some = rest.groupBy("component").agg(count(F.count("*")).alias("n"))
     left = rest.join(some, "component").select("component", "node", of(F.col("n"), 2).alias("one"), upto("blocks").alias("two"), F.lit(0).alias("side"))
     right = now.join(some, "component").select("component", "node", own.alias("two"), upto("n").alias("one"), F.lit(1).alias("side"))
-    return connected(edges.union(run(left.unionByName(right))))
+    return connected(edges.union(run(left.unionByName(right), *later)))

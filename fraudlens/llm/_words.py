@@ -43,7 +43,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Byte-polynomial word hashes; two hashers of other seeds are independent."""
 
-    def __init__(self, seed: int = 1, lower: bool = False):
+    def __init__(self, seed: int = 1, lower: bool = False, block: int = _BLOCK):
+        self.block = block
         self.table = np.array([_splitmix(seed * 1000 + b) for b in range(256)], dtype=_U)
         if lower:
             self.table[65:91] = self.table[97:123]
@@ -69,7 +70,7 @@ class Hasher:
         i, n = 0, len(start)
         while i < n:
             lo = int(start[i])
-            j = int(np.searchsorted(end, lo + _BLOCK, side="right"))
+            j = int(np.searchsorted(end, lo + self.block, side="right"))
             j = max(j, i + 1)
             hi = int(end[j - 1])
             self._powers(hi - lo + 1)

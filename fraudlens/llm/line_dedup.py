@@ -19,10 +19,11 @@ least three; short lines have too few words for that, and take adjacent pairs.
 Lines of middle length have both kinds.  What is missed are lines edited in most
 of their words; the README has the recall measured.
 
-1. A narrow pass hashes the lines; equal ones meet in a grouped minimum.
-2. The sketches are dealt out packed, once for each block, by the block's hash.
-   What comes out is each block's lines that have a candidate in it; no pair is
-   emitted.
+1. One pass over the texts hashes the lines and sketches them.  The sketches are
+   dealt out packed, once for each block, by the block's hash.  What comes out is
+   each block's lines that have a candidate in it; no pair is emitted.
+2. The places of all lines go the same way, packed, dealt out evenly whatever the
+   line; equal lines meet in a grouped minimum.
 3. The normal forms of these lines are read again (a bitmap keeps others out) and
    sent to their blocks, where candidates are verified by Myers' bit-parallel
    distance, each pair in the first block that it shares, and none that is
@@ -40,11 +41,11 @@ all lines.  Texts and lines may have any length.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -57,7 +58,7 @@ from ._packed import pack, pack_sorted, record_batches, runs, unpack, unpack_sor
 from ._words import LETTERS, Hasher, batches, distinct, mix64, text_buffers, word_bounds
 
 _U = np.uint64
-_HASHER = Hasher(131, lower=True)
+_HASHER = Hasher(131, lower=True, block=1 << 16)  # its sums stay in the processor's cache
 #: Blocks of each kind of features.
 BLOCKS = 12
 #: Lines of fewer words than the first number may need blocks of pairs, those of at least the second blocks of words.
@@ -74,14 +75,14 @@ def _lines(column: pa.Array, least: int):
     data, off = text_buffers(column)
     start, end, first = word_bounds(data, off, LETTERS)
     words = _HASHER.hash(data, start, end)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     lo, hi = int(off[0]), int(off[-1])
     feeds = np.flatnonzero(data[lo:hi] == 10) + lo
-    before = np.searchsorted(feeds, start)  # line feeds before each word, in all texts
-    line = before - np.searchsorted(feeds, off[:-1])[doc] if len(doc) else before
-    new = np.ones(len(words), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-    at = np.flatnonzero(new)
+    # A line's first word is the first of a text or the next one after a line feed.
+    new = np.zeros(len(words) + 1, bool)
+    new[first[:-1]] = new[np.searchsorted(start, feeds)] = True
+    at = np.flatnonzero(new[:-1])
+    doc = np.searchsorted(off, start[at], side="right") - 1
+    line = np.searchsorted(feeds, start[at]) - np.searchsorted(feeds, off[doc])
     n = np.diff(np.r_[at, len(words)])
     if len(at):
         # The position in the line makes the sum depend on the order.
@@ -91,16 +92,17 @@ def _lines(column: pa.Array, least: int):
         key = np.zeros(0, _U)
 
     def size(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        points = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80, dtype=np.int32)]
-        total = np.r_[0, np.cumsum(points[end - lo] - points[start - lo])]
-        return total[at + n] - total[at] + n - 1
+        total = np.r_[0, np.cumsum(end - start)]
+        # Bytes that continue a code point stand in words.
+        more = np.flatnonzero(data[lo:hi].view(np.int8) < -64) + lo
+        return total[at + n] - total[at] - np.searchsorted(more, end[at + n - 1]) + np.searchsorted(more, start[at]) + n - 1
 
     enough = n >= least
-    return key[enough], doc[at[enough]], line[at[enough]], at[enough], n[enough], words, size
+    return key[enough], doc[enough], line[enough], at[enough], n[enough], words, size
 
 
-#: For each byte a counter of 8 bits for each of its bits.
-_LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], _U)
+#: Eight counters of 8 bits, each at 1.
+_LANES = _U(0x0101010101010101)
 
 
 def _sets(features: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +117,15 @@ def _majority(feature: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros((len(m), 2), _U)
     if not len(m):
         return out
+    most = np.minimum(m >> 1, 255).astype(np.uint8)[:, None, None]
     for half in range(2):
         bits = mix64(feature + _U(1 + 977 * half))
         octets = bits.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            sums = np.add.reduceat(_LANES[octets[:, k]], first[:-1])
-            for b in range(8):
-                out[:, half] |= (2 * (sums >> _U(8 * b) & _U(255)).astype(np.int64) > m).astype(_U) << _U(8 * k + b)
+        sums = np.empty((len(m), 8), _U)
+        for b in range(8):  # this bit of all octets
+            sums[:, b] = np.add.reduceat(bits >> _U(b) & _LANES, first[:-1])
+        over = sums.view(np.uint8).reshape(-1, 8, 8) > most
+        out[:, half] = np.packbits(over.transpose(0, 2, 1).reshape(-1, 64), axis=1, bitorder="little").view(_U)[:, 0]
         for i in np.flatnonzero(m >= 256):  # counters of 8 bits don't hold these
             part = octets[first[i] : first[i + 1]]
             sums = sum(np.unpackbits(part[j : j + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for j in range(0, len(part), 65536))
@@ -172,17 +176,13 @@ def _long(size: np.ndarray) -> np.ndarray:
     return np.minimum(16 * np.log2(np.maximum(size, 1)), 255).astype(np.uint8)
 
 
-@lean
-def _occurrences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, h, line) of each line with words."""
-    for batch in batches(rows, 2 << 20):
-        key, doc, line, *_ = _lines(batch.column(2), 1)
-        doc = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(line.astype(np.int32))], ["key", "doc_id", "h", "line"])
-
-
 def _deal(buckets: int, least: int):
-    """Sketches dealt out by block: a row for each bucket with the blocks' hashes and the lines' keys, SimHashes and lengths."""
+    """Over (doc_id, h, text): sketches dealt out by block, and all lines' places.
+
+    A row for each bucket has the blocks' numbers and hashes and the lines' keys,
+    SimHashes and lengths; one without numbers has places: doc_ids, keys, hashes
+    of the texts and line numbers.
+    """
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("number", "hole", "key", "sim", "size"))])
 
     def flush(held: list[tuple]) -> Iterator[tuple]:
@@ -195,18 +195,27 @@ def _deal(buckets: int, least: int):
         ok = ok[who]
         who, hole = who[ok], hole[ok]
         to = ((mix64(hole) >> _U(32)) % _U(buckets)).astype(np.int32)
-        order = np.lexsort((key[who], to))
+        rank = np.empty(len(key), np.int64)
+        rank[np.argsort(key.view(np.int64))] = np.arange(len(key))
+        order = np.argsort(to.astype(np.int64) << 32 | rank[who])
         who, hole, to = who[order], hole[order], to[order]
         for a, b in runs(to):
             w = who[a:b]
             yield int(to[a]), pack((hole[a:b] >> _U(32)).astype(np.uint8)), pack(hole[a:b].astype(np.uint32)), pack_sorted(key[w].view(np.int64)), pack(sim[w].reshape(-1)), pack(size[w])
 
+    def places(key: np.ndarray, doc: np.ndarray, h: np.ndarray, line: np.ndarray) -> Iterator[tuple]:
+        for k in range(0, len(key), 4096):
+            a, one = slice(k, k + 4096), slice(k, k + 1)
+            yield int(_at(doc[one], h[one], line[one]).view(_U)[0] % _U(buckets)), None, pack(doc[a]), pack(key[a]), pack(h[a]), pack(line[a].astype(np.int32))
+
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches(rows, 2 << 20):
-            key, _, _, at, m, words, size = _lines(batch.column(0), least)
-            _, pick = np.unique(key, return_index=True)
+            key, doc, line, at, m, words, size = _lines(batch.column(2), 1)
+            yield from record_batches(places(key, batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], line), schema, 16)
+            enough = np.flatnonzero(m >= least)
+            pick = enough[np.unique(key[enough], return_index=True)[1]]
             sim, who, hole = sketch(words, at[pick], m[pick])
             held.append((key[pick], sim, _long(size(at[pick], m[pick])), who, hole))
             n += len(pick)
@@ -220,11 +229,16 @@ def _deal(buckets: int, least: int):
 
 
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.uint8) <= bits
+    count = np.bitwise_count(a ^ b)
+    return count[..., 0] + count[..., 1] <= bits
 
 
 def _pair_up(bits: int, similarity: float):
-    """Over rows sorted by bucket: (component, node) of each block and the lines that have a candidate in it."""
+    """Over rows sorted by bucket: (component, node) of each block and the lines that have a candidate in it, and (node, doc_id, h, line) of all lines."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("component", "node", "doc_id", "h")), ("line", pa.int32())])
+
+    def batch(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(n, kind) for c, kind in zip(schema.names, schema.types)], schema=schema)
     # Lengths are rounded down.
     longer = int(16 * np.log2(1 / similarity)) + 1
 
@@ -235,30 +249,42 @@ def _pair_up(bits: int, similarity: float):
         sim = np.concatenate([unpack(x[3], _U) for x in part]).reshape(-1, 2)
         size = np.concatenate([unpack(x[4], np.uint8) for x in part]).astype(np.int16)
         part.clear()
-        order = np.lexsort((key, hole))
+        # Most blocks have one line.
+        order = np.argsort(hole)
+        pair = hole[order[1:]] == hole[order[:-1]]
+        order = order[np.r_[pair, False] | np.r_[False, pair]] if len(pair) else order[:0]
+        order = order[np.lexsort((key[order], hole[order]))]
         hole, key = hole[order], key[order]
         # Tasks send equal lines each.
-        new = np.r_[True, (hole[1:] != hole[:-1]) | (key[1:] != key[:-1])]
+        new = np.r_[True, (hole[1:] != hole[:-1]) | (key[1:] != key[:-1])][: len(hole)]
         hole, key, order = hole[new], key[new], order[new]
         sim, size = sim[order], size[order]
         found = np.zeros(len(hole), bool)
-        apart, same = 1, np.flatnonzero(hole[1:] == hole[:-1])  # lines of one block that are so many places apart
+        cuts = np.flatnonzero(np.r_[True, hole[1:] != hole[:-1], True][: len(hole) + 1])
+        after = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(hole)) - 1  # lines of the block that follow
+        apart, same = 1, np.flatnonzero(after)  # lines with another of their block so many places on
         while len(same):
-            ok = same[near(sim[same], sim[same + apart], bits) & (np.abs(size[same] - size[same + apart]) <= longer)]
-            found[ok] = found[ok + apart] = True
+            other = same + apart
+            unsure = np.flatnonzero(~(found[same] & found[other]))
+            one, two = same[unsure], other[unsure]
+            ok = near(sim[one], sim[two], bits) & (np.abs(size[one] - size[two]) <= longer)
+            found[one[ok]] = found[two[ok]] = True
             apart += 1
-            same = same[same + apart < len(hole)]
-            same = same[hole[same + apart] == hole[same]]
+            same = same[after[same] >= apart]
         at = np.flatnonzero(found)
         for k in range(0, len(at), 50_000):
             some = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(hole[some]), pa.array(key[some])], ["component", "node"])
+            yield batch(len(some), component=hole[some], node=key[some])
 
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, []
-        for batch in rows:
-            for bucket, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+        for some in rows:
+            for bucket, *packed in zip(*(c.to_pylist() for c in some.columns)):
+                if packed[0] is None:
+                    doc, key, h = (unpack(x, np.int64) for x in packed[1:4])
+                    yield batch(len(key), node=key, doc_id=doc, h=h, line=unpack(packed[4], np.int32))
+                    continue
                 if bucket != at and part:
                     yield from close(part)
                 at = bucket
@@ -312,7 +338,8 @@ def distance_within(a: str, b: str, most: int) -> bool:
         return True
     if not a or not b:
         return False
-    return _myers(a, b, most) <= most
+    # A step for each letter of the shorter one.
+    return (_myers(b, a, most) if len(a) < len(b) else _myers(a, b, most)) <= most
 
 
 def _steps(a: list[str], b: list[str], reach: int = 10) -> tuple[int, list[tuple[str, str]]]:
@@ -388,7 +415,7 @@ def _at(doc: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def _forms(raw):
     """(doc_id, h, line, form): normal forms of the lines at the places that the bitmap may have."""
-    word = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+")
+    lower = bytes(ord(chr(b).lower()) if b < 128 and LETTERS[b] else b if LETTERS[b] else 32 for b in range(256))
 
     @lean
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +433,7 @@ def _forms(raw):
             end[last] = off[1:][doc[last]]
             line = np.arange(len(doc)) - np.searchsorted(doc, doc)
             hit = np.flatnonzero(bitmap.has(_at(batch.column(0).to_numpy()[doc], batch.column(1).to_numpy()[doc], line)))
-            forms = [" ".join(word.findall(data[s:e].tobytes().lower().decode())) for s, e in zip(start[hit].tolist(), end[hit].tolist())]
+            forms = [b" ".join(data[s:e].tobytes().translate(lower).split()).decode() for s, e in zip(start[hit].tolist(), end[hit].tolist())]
             where = pa.array(doc[hit])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(line[hit].astype(np.int32)), pa.array(forms, pa.string())], ["doc_id", "h", "line", "form"])
 
@@ -488,35 +515,40 @@ def removals(docs: DataFrame, least: int = 5, bits: int = BITS, similarity: floa
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    seen = stored(docs.mapInArrow(_occurrences, "key long, doc_id long, h long, line int"))
-    lines = checkpoint(seen.groupBy("key").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.count("*").alias("n")))
-    dealt = docs.select("text").mapInArrow(_deal(parts, least), "bucket int, number binary, hole binary, key binary, sim binary, size binary")
-    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "component long, node long")
-    blocks = checkpoint(paired)
+    dealt = docs.mapInArrow(_deal(parts, least), "bucket int, number binary, hole binary, key binary, sim binary, size binary")
+    paired = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_up(bits, similarity), "component long, node long, doc_id long, h long, line int")
+    both = stored(paired)
     del dealt, paired
     release(spark)  # the sketches are the largest shuffle here
-    members = checkpoint(lines.join(blocks.select("node").distinct(), F.col("key") == F.col("node")).select("node", "first.*"))
+    blocks = both.where("component IS NOT NULL").select("component", "node")
+    seen = both.where("component IS NULL").select(F.col("node").alias("key"), "doc_id", "h", "line")
+    nodes = blocks.select(F.col("node").alias("key")).distinct().withColumn("member", F.lit(True))
+    lines = seen.groupBy("key").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.count("*").alias("n"))
+    lines = checkpoint(lines.join(nodes, "key", "left").where("n > 1 OR member"))  # other lines stay
+    members = lines.where("member").select(F.col("key").alias("node"), "first.*", "n")
     places = members.select("doc_id", "h", "line").mapInArrow(_place_column, "place long")
     forms = docs.mapInArrow(_forms(member_bitmap(places)), "doc_id long, h long, line int, form string")
     # Equal rows hold a line each.
-    forms = checkpoint(forms.join(members, ["doc_id", "h", "line"]).select("node", "form").dropDuplicates(["node"]))
+    forms = checkpoint(forms.join(members.drop("n"), ["doc_id", "h", "line"]).select("node", "form").dropDuplicates(["node"]))
     # Most links show in the first few blocks; of the others only those matter that still hold lines of different sets.
     early = F.shiftright("component", 32) % BLOCKS < EARLY
-    found = confirmed(blocks.where(early), forms.withColumn("label", F.col("node")), _verify(bits, similarity), most)
+    found = confirmed(blocks.where(early), forms.withColumn("label", F.col("node")), _verify(bits, similarity), most, adaptive=True)
     label = found.select("node", F.col("component").alias("label"))
     late = blocks.where(~early).join(label, "node", "left").select("component", "node", F.coalesce("label", "node").alias("label"))
     mixed = late.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("component")
     late = checkpoint(late.join(mixed, "component").select("component", "node"))
     labelled = forms.join(label, "node", "left").select("node", "form", F.coalesce("label", "node").alias("label"))
-    more = confirmed(late, labelled, _verify(bits, similarity), most)
+    more = confirmed(late, labelled, _verify(bits, similarity), most, adaptive=True)
     found = connected(found.union(more).toDF("a", "b"))
     del late, mixed, labelled, more, forms
     release(spark)
-    grouped = lines.join(found, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("group"), "first", "n")
-    kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
-    stays = checkpoint(grouped.join(kept.where(F.col("all") > 1), "group").select("key", "n", "kept"))
+    # What is linked is a member of a block; a line that isn't makes a group by itself.
+    linked = checkpoint(found.join(members, "node").select(F.col("node").alias("key"), "component", F.struct("doc_id", "h", "line").alias("first"), "n"))
+    kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
+    alone = lines.where("n > 1").join(linked.select("key"), "key", "left_anti").select("key", "n", F.col("first").alias("kept"))
+    stays = checkpoint(linked.join(kept, "component").select("key", "n", "kept").unionByName(alone))
     # At most `parts` keys can hold more than the share of a partition.
-    share = max(1, lines.agg(F.sum("n")).first()[0] or 0) / parts
+    share = max(1, seen.count()) / parts
     hot = F.broadcast(stays.where(F.col("n") > share).select("key", "kept"))
     rows = seen.join(hot, "key").unionByName(seen.join(hot.select("key"), "key", "left_anti").join(stays.where(F.col("n") <= share).select("key", "kept"), "key"))
     gone = rows.where(F.struct("doc_id", "h", "line") != F.col("kept"))
@@ -531,8 +563,10 @@ def _cut(at: int, names: list[str]):
         for batch in (whole.slice(k, 500) for whole in rows for k in range(0, whole.num_rows, 500)):
             columns = batch.column(0).flatten()
             texts, n, removed = [], [], []
-            for text, gone in zip(columns[at], batch.column(1)):
-                text, gone = text.as_py(), gone.as_py()
+            # One call for all lists' numbers: lists converted one by one would cost more than the texts.
+            numbers, ends = pc.list_flatten(batch.column(1)).to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()).tolist()
+            for text, a, b in zip(columns[at].to_pylist(), [0, *ends], ends):
+                gone = numbers[a:b]
                 if text is not None and gone:
                     lines, drop = text.split("\n"), set(gone)
                     text = "\n".join([x for k, x in enumerate(lines) if k not in drop])
@@ -540,7 +574,7 @@ def _cut(at: int, names: list[str]):
                 else:
                     n.append(0 if text is None else text.count("\n") + 1)
                 texts.append(text)
-                removed.append(len(gone or ()))
+                removed.append(len(gone))
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names)
 

@@ -152,3 +152,74 @@ def test_changed_words_need_no_distance_of_letters(monkeypatch):
 
     monkeypatch.setattr(line_dedup, "distance_within", never)
     assert line_dedup.alike(" ".join(words), " ".join(other[:20] + other[21:]), 0.8, {})
+
+
+def test_lines_are_hashed_and_sketched_in_one_pass(spark):
+    """The texts are computed three times: for the lines, for the candidates' forms, and for what is returned."""
+    from fraudlens.llm import line_dedup
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"Home\nthe same line of seven words here\n{' '.join(Fx.words(random.Random(i // 2), 20))} {i}", "en", "s", 1) for i in range(40)]
+    docs = Fx.frame(spark, rows).select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    out = {r.doc_id: r.n_removed for r in line_dedup.remove_lines(docs).collect()}
+    assert out == {i: (i > 0) * 2 + i % 2 for i in range(40)}
+    assert passes.value == 3 * len(rows)
+
+
+def test_places_of_a_line_are_dealt_out_evenly():
+    """Places of one very common line go to many buckets, and come back whole beside the candidates."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fraudlens.llm import line_dedup
+
+    n, text = 300, "Home\n" * 200 + "ünd sö wéiter in fünf wörtern\nHome"
+    docs = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n) * -7), pa.array([f"{text}\nein Wort mehr als sonst {k}" for k in range(n)])], ["doc_id", "h", "text"])
+    dealt = pa.Table.from_batches(line_dedup._deal(16, 5)(iter([docs.slice(0, n // 2), docs.slice(n // 2)]))).sort_by("bucket")
+    held = dealt.filter(pa.compute.is_null(dealt["number"]))["bucket"].value_counts().to_pylist()
+    assert len(held) > 5 and max(x["counts"] for x in held) <= 6
+    out = pa.Table.from_batches(line_dedup._pair_up(line_dedup.BITS, 0.8)(iter(dealt.to_batches()))).to_pylist()
+    places = [(r["doc_id"], r["h"], r["line"]) for r in out if r["component"] is None]
+    assert sorted(places) == sorted((k, -7 * k, line) for k in range(n) for line in range(203))
+    assert len({r["node"] for r in out if r["component"] is None}) == n + 2
+    key, *_, at, m, words, _ = line_dedup._lines(docs.column(2), 5)
+    sim, who, hole = line_dedup.sketch(words, at, m)
+    blocks = {}
+    for i, x in zip(who.tolist(), hole.tolist()):
+        blocks.setdefault(x, {})[int(key[i].view(np.int64))] = [int(x) for x in sim[i]]
+    differ = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    near = {(x, a) for x, held in blocks.items() for a in held for b in held if a != b and differ(held[a], held[b]) <= line_dedup.BITS}
+    assert len(near) > n and {(r["component"], r["node"]) for r in out if r["component"] is not None} == near
+
+
+def test_simhashes_lengths_and_steps(monkeypatch):
+    """SimHashes are plain majorities, lengths count code points; the distance takes a step for each letter of the shorter line."""
+    import numpy as np
+    import pyarrow as pa
+
+    from fraudlens.llm import line_dedup
+    from fraudlens.llm._words import mix64
+
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 40, n).astype(np.uint64) for n in (1, 2, 3, 7, 64, 254, 255, 256, 257, 511, 3000)]
+    out = line_dedup._majority(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for features, found in zip(sets, out.tolist()):
+        for half in range(2):
+            bits = [int(x) for x in mix64(features + np.uint64(1 + 977 * half))]
+            assert found[half] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits))
+    texts = ["  Größe, über 9 €\n\n--\nzwei", None, "", "a-b\n日本 語 x\n", "\n", "ein Wort"]
+    key, doc, line, at, n, _, size = line_dedup._lines(pa.array(texts), 1)
+    assert [*zip(doc.tolist(), line.tolist(), n.tolist(), size(at, n).tolist())] == [(0, 0, 4, len("größe über 9 €")), (0, 3, 1, 4), (3, 0, 2, 3), (3, 1, 3, 6), (5, 0, 2, 8)]
+    steps = []
+    myers = line_dedup._myers
+    monkeypatch.setattr(line_dedup, "_myers", lambda a, b, most: steps.append(len(b)) or myers(a, b, most))
+    for a, b in (("abcdefgh" * 9, "hbxdefg" * 9), ("hbxdefg" * 9, "abcdefgh" * 9)):
+        assert line_dedup.distance_within(a, b, 40) == (levenshtein(a, b) <= 40)
+    assert steps == [63, 63]
+    assert not line_dedup.distance_within("abcdefgh" * 9, "hgfedcba" * 9, 20)  # of one length
